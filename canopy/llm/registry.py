@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from canopy.llm import bpe
+from canopy.llm import bpe, mixing, urls
 
 
 def queries() -> dict:
-    return {"op7_bpe": bpe.op7_bpe}
+    return {"op5_mixing": mixing.op5_mixing, "op6_urls": urls.op6_urls, "op7_bpe": bpe.op7_bpe}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op6_urls": urls.OP6_SQL}
