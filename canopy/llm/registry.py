@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from canopy.llm import bpe, mixing, urls
+from canopy.llm import bpe, langid, media, mixing, topk, urls
 
 
 def queries() -> dict:
-    return {"op5_mixing": mixing.op5_mixing, "op6_urls": urls.op6_urls, "op7_bpe": bpe.op7_bpe}
+    return {
+        "op4_media": media.op4_media,
+        "op5_mixing": mixing.op5_mixing,
+        "op6_urls": urls.op6_urls,
+        "op7_bpe": bpe.op7_bpe,
+        "op8_language": langid.op8_language,
+        "op9_topk": topk.op9_topk,
+        "pages_language": langid.pages_language,
+    }
 
 
 def oracle_sql() -> dict:
-    return {"op6_urls": urls.OP6_SQL}
+    return {"op6_urls": urls.OP6_SQL, "op9_topk": topk.OP9_SQL}
