@@ -18,6 +18,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,9 +28,10 @@ from pyspark.sql import functions as F
 
 from canopy.llm.shared import pick
 
-#: Entries of a worker's fragment caches before they start anew; bounds memory, never the result.
-CACHE_ENTRIES = 300_000
+#: Entries of each of a worker's three caches before it starts anew; bounds memory, never the result.
+CACHE_ENTRIES = 250_000
 
+LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 #: Python's split() takes these four for white space, Unicode and the tokenizers don't.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 BLANKS = re.compile("[ \t\n\x0b\x0c\r]+")
@@ -76,23 +79,19 @@ class Encoder:
         }
         self.names = {i: self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size())}
         self.words: dict[str, tuple[bytes, str]] = {}
+        self.older: dict[str, tuple[bytes, str]] = {}
         self.fragments: dict[str, tuple[bytes, str]] = {}
 
     def split(self, word: str) -> list[str]:
         """The fragments of a word without white space, ASCII ones in lower case."""
-        if not word.isascii():
-            parts, start, cut = [], 0, self.cut
-            if any(s in word for s in self.special):
-                return [word]
-            for i in range(1, len(word)):
-                # a mark after the pair could still compose with its right part, which stays with it
-                if word[i - 1 : i + 1] in cut:
-                    parts.append(word[start:i])
-                    start = i
-            return [*parts, word[start:]]
+        if word.isascii():
+            word = word.lower()
+        if word.isalpha():
+            return [word]
+        if word[:-1].isalpha() and word[-2:] in self.cut:
+            return [word[:-1], word[-1]]
         if any(s in word for s in self.special):
             return [word]
-        word = word.lower()
         parts, start = [], 0
         for i in range(1, len(word)):
             if word[i - 1 : i + 1] in self.cut:
@@ -100,31 +99,41 @@ class Encoder:
                 start = i
         return [*parts, word[start:]]
 
-    def learn(self, words: set[str]) -> None:
+    def learn(self, words: list[str]) -> None:
         """Put these words into the cache."""
-        parts = {w: self.split(w) for w in words}
-        new = list({p for ps in parts.values() for p in ps} - self.fragments.keys())
+        parts = [self.split(w) for w in words]
+        known = self.fragments
+        if len(known) > CACHE_ENTRIES:
+            known.clear()
+        new = list({p for ps in parts for p in ps if p not in known})
+        names = self.names
         for start in range(0, len(new), 20_000):
             some = new[start : start + 20_000]
             for part, coded in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
                 ids = coded.ids
-                self.fragments[part] = (b"".join(i.to_bytes(4, "little") for i in ids), " ".join(self.names[i] for i in ids))
-        for w, ps in parts.items():
-            got = [self.fragments[p] for p in ps]
-            self.words[w] = (b"".join(g[0] for g in got), " ".join(g[1] for g in got if g[0]))
+                known[part] = (array("I", ids).tobytes() if LITTLE else b"".join(i.to_bytes(4, "little") for i in ids), " ".join([names[i] for i in ids]))
+        for w, ps in zip(words, parts, strict=True):
+            if len(ps) == 1:
+                self.words[w] = known[ps[0]]
+            else:
+                got = [known[p] for p in ps]
+                self.words[w] = (b"".join([g[0] for g in got]), " ".join([g[1] for g in got if g[0]]))
 
     def encode(self, text: str) -> tuple[bytes, str]:
         """Ids as little-endian unsigned 32-bit integers, and the decoded text: the tokens joined by blanks."""
         words = text.split() if not SEPARATORS.search(text) else [w for w in BLANKS.split(text) if w]
-        unknown = set(words) - self.words.keys()
+        known, older, unknown = self.words, self.older, []
+        for w in set(words):
+            if w not in known:
+                if w in older:
+                    known[w] = older[w]
+                else:
+                    unknown.append(w)
         if unknown:
-            if len(self.words) + len(unknown) > CACHE_ENTRIES:
-                self.words.clear()
-                self.fragments.clear()
-                unknown = set(words)
             self.learn(unknown)
-        known = self.words
         got = [known[w] for w in words]
+        if len(known) > CACHE_ENTRIES:  # what is used goes on from one generation to the next
+            self.older, self.words = known, {}
         return b"".join([g[0] for g in got]), " ".join([g[1] for g in got if g[0]])
 
 
