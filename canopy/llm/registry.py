@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from canopy.llm import bpe, langid, media, mixing, topk, urls
+from canopy.llm import bpe, langid, lm, media, mixing, topk, urls
 
 
 def queries() -> dict:
     return {
+        "op3_lm": lm.op3_lm,
         "op4_media": media.op4_media,
         "op5_mixing": mixing.op5_mixing,
         "op6_urls": urls.op6_urls,
