@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from canopy.llm import bpe, langid, lm, media, mixing, topk, urls
+from canopy.llm import bpe, langid, licenses, lm, media, mixing, near, topk, urls
 
 
 def queries() -> dict:
     return {
+        "op1_licenses": licenses.op1_licenses,
         "op3_lm": lm.op3_lm,
         "op4_media": media.op4_media,
         "op5_mixing": mixing.op5_mixing,
@@ -14,9 +15,10 @@ def queries() -> dict:
         "op7_bpe": bpe.op7_bpe,
         "op8_language": langid.op8_language,
         "op9_topk": topk.op9_topk,
+        "op10_near": near.op10_near,
         "pages_language": langid.pages_language,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op6_urls": urls.OP6_SQL, "op9_topk": topk.OP9_SQL}
+    return {"op1_licenses": licenses.OP1_SQL, "op6_urls": urls.OP6_SQL, "op9_topk": topk.OP9_SQL}
