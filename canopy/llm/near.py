@@ -283,6 +283,18 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return rows.select("id", "key").join(named, F.col("key") == F.col("nk")).select(F.col("id").alias("doc_id"), "class_id", "class_size", "n_links")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each class, that of the least id (null last; of equal ids the first read)."""
+    names = docs.columns
+    flat = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    stored = materialize(flat.withColumn("row", F.monotonically_increasing_id()), "documents")
+    of = classes(stored.select("row", F.col(f"c{names.index(text_col)}").alias("text")), "row", "text")
+    ids = stored.select(F.col("row").alias("r"), F.coalesce(F.col(f"c{names.index(id_col)}").cast("long"), F.lit((1 << 63) - 1)).alias("id"))
+    best = of.join(ids, F.col("doc_id") == F.col("r")).groupBy("class_id").agg(F.min(F.struct("id", "r")).alias("m")).select(F.col("m.r").alias("kept"))
+    best = materialize(best, "kept")
+    return stored.join(best, F.col("row") == F.col("kept"), "left_semi").select(*flat.columns).toDF(*names)
+
+
 def _residual(placed: DataFrame, nodes: DataFrame, comp: DataFrame) -> DataFrame:
     """Pairs still to verify in buckets that hold several components."""
     owner = comp.select(F.col("key").alias("ck"), "comp")
