@@ -1 +1,681 @@
 """Queries over the synthetic document tree."""
+
+from __future__ import annotations
+
+import unicodedata
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from canopy.catalog import query
+from canopy.functions import canon, extract, kernels
+from canopy.functions import patterns as P
+from canopy.operators import graph, ignore, links, merge, state
+from canopy.plans import fixtures as fx
+from canopy.plans.fixtures import SQL, digest_sql, sha, uuid_sql
+
+NOW = "2024-02-02T00:00:00Z"
+MARK = '<!-- tree:child page_id="aaaaaaaa-bbbb-cccc-dddd-eeeeeeeeeeee" -->'
+
+
+def _d(spark, sf_dir):
+    return fx.documents(spark, sf_dir)
+
+
+def _parity(name: str, change, expected: str, mode: str = "local", title=None, prepare=None):
+    """Register a query: documents changed by ``change(text)``, canonicalised and hashed; the oracle hashes ``expected``."""
+
+    def run(spark, sf_dir: str) -> DataFrame:
+        d = _d(spark, sf_dir)
+        rows = d.select("doc_id", "title", change(F.col("text")).alias("raw"))
+        done = canon.canonical(rows, "raw", "canonical", mode, title)
+        return done.select("doc_id", canon.fingerprint(F.col("canonical")).alias("hash"))
+
+    query(name, SQL + f"SELECT doc_id, {sha(f'concat({expected}, chr(10))')} AS hash FROM d")(run)
+
+
+def _plus(tail: str):
+    return lambda text: F.concat(text, F.lit(tail))
+
+
+def _lit(text: str) -> str:
+    return " || ".join("'" + part.replace("'", "''") + "'" for part in [text]).replace("\n", "' || chr(10) || '")
+
+
+@F.arrow_udf(StringType())
+def _decomposed(text: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else unicodedata.normalize("NFD", x) for x in text.to_pylist()], pa.string())
+
+
+_parity("canon_hash_identity", lambda t: t, "text")
+_parity("canon_crlf_parity", lambda t: F.replace(t, F.lit("\n"), F.lit("\r\n")), "text")
+_parity("canon_blank_parity", lambda t: F.replace(t, F.lit("\n"), F.lit("\n\n\n")), "text")
+_parity("canon_escape_parity", lambda t: F.regexp_replace(t, "([" + P.ESCAPED + "])", r"\\$1"), "text")
+_parity("canon_nfc_parity", _decomposed, "text")
+_parity("canon_trailing_blank_parity", lambda t: F.replace(t, F.lit("\n"), F.lit(" \t\n")), "text")
+_parity("canon_autolink_parity", _plus("\nsee [https://x.com/a?b=1](https://x.com/a?b=1) and [click](https://x.com)"), "text || " + _lit("\nsee https://x.com/a?b=1 and [click](https://x.com)"))
+_parity("canon_bare_domain_parity", _plus("\nby [Sync.example](http://Sync.example) or [b.c](https://b.c)"), "text || " + _lit("\nby Sync.example or b.c"))
+_parity("canon_fence_parity", _plus("\n```python\na = \\$1  \n\n\nb\n```   \n\n\nend \\$"), "text || " + _lit("\n```\na = \\$1\n\n\nb\n```\nend $"))
+_parity("canon_table_parity", _plus("\n<table><thead><tr><th>a &amp; b</th><th> c </th></tr></thead><tr><td>1</td><td>2\n3</td></tr></table>"), "text || " + _lit("\n| a & b | c |\n| --- | --- |\n| 1 | 2 3 |"))
+_parity("canon_table_bail_parity", _plus('\n<table><tr><td rowspan="2">a</td></tr></table>'), "text || " + _lit('\n<table><tr><td rowspan="2">a</td></tr></table>'))
+_parity("canon_separator_parity", _plus("\n|a|b|c|\n |:--|-:|  :-:|"), "text || " + _lit("\n|a|b|c|\n| :--- | ---: | :---: |"))
+_parity("canon_h1_parity", lambda t: F.concat(F.lit("  # "), F.col("title"), F.lit("  \n\n"), t), "text", title=F.col("title"))
+_parity("canon_rich_tag_parity", _plus('\n<callout icon="i">\nhidden <b>x</b>\n</callout><embed src="u"/><empty-block/>'), "text", mode="remote")
+_parity("canon_rich_tag_local", _plus('\n<callout icon="i">\nshown\n</callout>'), "text || " + _lit('\n<callout icon="i">\nshown\n</callout>'))
+_parity("canon_unknown_tag_parity", _plus('\n<frobnicator a="b">inner</frobnicator><x-y z/>\n<b>kept</b>'), "text || " + _lit("\n<b>kept</b>"), mode="remote")
+_parity("canon_link_line_parity", lambda t: F.concat(F.lit(f"[A](./a.md) {MARK}\n"), t, F.lit('\n  [B](./b.md) <!-- tree:child -->\n<page url="https://wiki.example/x">C</page>')), "text")
+_parity("canon_image_line_parity", _plus("\n![alt](https://x/y.png) {w=1}\nsee ![i](u) here"), "text || " + _lit("\nsee ![i](u) here"), mode="remote")
+_parity(
+    "canon_full_roundtrip",
+    lambda t: F.concat(
+        F.lit("# "), F.col("title"), F.lit("\r\n\r\n"), F.replace(F.regexp_replace(t, r"([$~#|*_.])", r"\\$1"), F.lit("\n"), F.lit("\r\n\r\n\r\n")),
+        F.lit("\r\n\r\n<toggle>\r\nx\r\n</toggle>\r\n```sql\r\nselect \\$\r\n```\r\n[https://x.com](https://x.com)\r\n<table><tr><td>1</td></tr></table>\r\n![a](b)"),
+    ),
+    "text || " + _lit("\n```\nselect \\$\n```\nhttps://x.com\n| 1 |\n| --- |"),
+    mode="remote",
+    title=F.col("title"),
+)
+
+
+@query("local_vs_remote_modes", SQL + f"SELECT doc_id, {digest_sql('text || ' + _lit(chr(10) + '<callout>x</callout>'))} AS local_hash, {digest_sql('text')} AS remote_hash FROM d")
+def local_vs_remote_modes(spark, sf_dir):
+    rows = _d(spark, sf_dir).select("doc_id", F.concat("text", F.lit("\n<callout>x</callout>")).alias("raw"))
+    both = rows.withColumn("l", canon.normalize(F.col("raw"), "local")).withColumn("r", canon.normalize(F.col("raw"), "remote"))
+    return both.select("doc_id", canon.fingerprint(F.col("l")).alias("local_hash"), canon.fingerprint(F.col("r")).alias("remote_hash"))
+
+
+@query("unknown_tag_report", SQL + "SELECT 'frobnicator' AS tag, count(*) AS pages FROM d WHERE doc_id % 3 = 0 UNION ALL SELECT 'x-y' AS tag, count(*) AS pages FROM d WHERE doc_id % 3 = 0")
+def unknown_tag_report(spark, sf_dir):
+    rows = _d(spark, sf_dir).where("doc_id % 3 = 0").select(F.concat("text", F.lit("\n<frobnicator>i</frobnicator><x-y/>")).alias("raw"))
+    return rows.select(F.explode(kernels.unknown_tags(F.col("raw"))).alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("pages"))
+
+
+@query("strip_child_links", SQL + f"SELECT doc_id, {sha('text')} AS hash FROM d")
+def strip_child_links(spark, sf_dir):
+    rows = _d(spark, sf_dir).select("doc_id", F.concat("text", F.lit(f"\n[A](./a.md) {MARK}\r\n[B](./b.md) <!-- tree:child -->")).alias("raw"))
+    return rows.select("doc_id", canon.fingerprint(canon.strip_child_links(F.col("raw"))).alias("hash"))
+
+
+@query("batch_hash_duplicates", SQL + f", h AS (SELECT {digest_sql('text')} AS hash FROM d) SELECT hash, count(*) AS copies FROM h GROUP BY hash HAVING count(*) > 1")
+def batch_hash_duplicates(spark, sf_dir):
+    done = canon.canonical(_d(spark, sf_dir).select("text"), "text", "canonical")
+    return state.hash_duplicates(done.select(canon.fingerprint(F.col("canonical")).alias("hash")))
+
+
+def _envelope(d: DataFrame) -> DataFrame:
+    text = F.concat(
+        F.lit('Here is the page:\n<page url="https://wiki.example/'), F.replace("page_id", F.lit("-"), F.lit("")),
+        F.lit('">\n<ancestor-path><parent url="https://wiki.example/p/'), F.replace("parent_page_id", F.lit("-"), F.lit("")), F.lit('"/></ancestor-path>\n<properties>{"title":"'),
+        F.col("title"), F.lit('","n":1}</properties>\n<content>\n'), F.col("text"), F.lit("\n</content>\n</page>\n"),
+    )
+    return d.select("doc_id", "page_id", "parent_page_id", "path", "title", text.alias("envelope"))
+
+
+@query("extract_envelope_body", SQL + f"SELECT doc_id, {sha('text')} AS hash FROM d")
+def extract_envelope_body(spark, sf_dir):
+    return _envelope(_d(spark, sf_dir)).select("doc_id", canon.fingerprint(extract.body(F.col("envelope"))).alias("hash"))
+
+
+@query("extract_envelope_title", SQL + "SELECT doc_id, title FROM d")
+def extract_envelope_title(spark, sf_dir):
+    return _envelope(_d(spark, sf_dir)).select("doc_id", extract.title(F.col("envelope")).alias("title"))
+
+
+@query("extract_parent", SQL + "SELECT doc_id, parent_page_id FROM d")
+def extract_parent(spark, sf_dir):
+    above = extract.element(F.col("envelope"), "ancestor-path")
+    return _envelope(_d(spark, sf_dir)).select("doc_id", F.get(extract.ids(above), F.lit(0)).alias("parent_page_id"))
+
+
+@query("recover_json_envelope", SQL + f"SELECT doc_id, {sha('text')} AS hash FROM d")
+def recover_json_envelope(spark, sf_dir):
+    rows = _envelope(_d(spark, sf_dir)).select("doc_id", F.concat(F.lit("  "), F.to_json(F.struct(F.lit("t").alias("title"), F.col("envelope").alias("text")))).alias("raw"))
+    return rows.select("doc_id", canon.fingerprint(extract.body(F.col("raw"))).alias("hash"))
+
+
+@query("recover_escaped_envelope", SQL + f"SELECT doc_id, {sha('text')} AS hash FROM d")
+def recover_escaped_envelope(spark, sf_dir):
+    rows = _envelope(_d(spark, sf_dir)).select("doc_id", F.replace("envelope", F.lit("\n"), F.lit("\\n")).alias("raw"))
+    return rows.select("doc_id", canon.fingerprint(extract.body(F.col("raw"))).alias("hash"))
+
+
+@query("extract_article_body", "SELECT page_id, sha256(regexp_extract(html, '(?is)<article(?:\\s[^>]*)?>\\n?(.*?)\\n?</article>', 1)) AS body_sha256 FROM pages")
+def extract_article_body(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return pages.select("page_id", F.sha2(extract.element(F.col("html"), "article"), 256).alias("body_sha256"))
+
+
+@query("extract_page_links", "SELECT page_id, href, CAST(count(*) AS BIGINT) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM pages) GROUP BY page_id, href")
+def extract_page_links(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    rows = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href"))
+    return rows.groupBy("page_id", "href").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("extract_ids", SQL + "SELECT doc_id, concat_ws(',', page_id, parent_page_id, page_id) AS ids FROM d")
+def extract_ids(spark, sf_dir):
+    bare, above = F.replace("page_id", F.lit("-"), F.lit("")), F.replace("parent_page_id", F.lit("-"), F.lit(""))
+    text = F.concat(F.col("text"), F.lit(" https://wiki.example/dead-beef-"), bare, F.lit(' &lt;page url=&quot;https://wiki.example/p/'), above, F.lit("&quot;&gt; https://wiki.example/"), "page_id", F.lit("?x https://wiki.example/none-1234"))
+    return _d(spark, sf_dir).select("doc_id", F.array_join(extract.ids(text), ",").alias("ids"))
+
+
+@query(
+    "slug_titles",
+    """WITH t AS (SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title FROM pages),
+s AS (SELECT page_id, substr(regexp_replace(regexp_replace(lower(title), '\\s+', '-', 'g'), '[^a-z0-9\\-_.]', '', 'g'), 1, 80) AS s FROM t)
+SELECT page_id, CASE WHEN s = '' THEN 'untitled' ELSE s END AS slug FROM s""",
+)
+def slug_titles(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return pages.select("page_id", extract.slugify(F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)).alias("slug"))
+
+
+@query("relative_links", SQL + "SELECT doc_id, './index.md' AS up, concat('../../other/', lang, '/x.md') AS aside, concat('./doc-', CAST(doc_id AS VARCHAR), '.md') AS same, concat('../../', 'top.md') AS top FROM d")
+def relative_links(spark, sf_dir):
+    d = _d(spark, sf_dir)
+    to = {"up": F.concat("source", F.lit("/"), "lang", F.lit("/index.md")), "aside": F.concat(F.lit("other/"), "lang", F.lit("/x.md")), "same": F.col("path"), "top": F.lit("top.md")}
+    return d.select("doc_id", *[extract.relative_path(F.col("path"), t).alias(n) for n, t in to.items()])
+
+
+@query(
+    "render_links",
+    SQL + """SELECT d.doc_id, CASE WHEN m.page_id IS NOT NULL THEN concat('[Doc \\]', CAST(d.doc_id AS VARCHAR), '](./doc-', CAST(d.doc_id AS VARCHAR), '.md) <!-- tree:child page_id="', d.page_id, '" -->')
+ELSE concat('[Doc \\]', CAST(d.doc_id AS VARCHAR), '](https://wiki.example/', d.page_id, ') <!-- tree:child page_id="', d.page_id, '" external -->') END AS link
+FROM d LEFT JOIN manifest m ON d.page_id = m.page_id""",
+)
+def render_links(spark, sf_dir):
+    d = _d(spark, sf_dir)
+    to = fx.manifest(d).select("page_id", F.col("path").alias("target"))
+    source = F.concat("source", F.lit("/"), "lang", F.lit("/index.md"))
+    name = F.concat(F.lit(" Doc ]"), F.col("doc_id").cast("string"), F.lit("\n"))
+    return d.join(to, "page_id", "left").select("doc_id", extract.managed_link(source, F.col("page_id"), name, F.col("target")).alias("link"))
+
+
+@query(
+    "substitute_page_tags",
+    SQL + f"""SELECT d.doc_id, {sha('''concat('  [T](', CASE WHEN m.page_id IS NOT NULL THEN concat('./doc-', CAST(d.doc_id AS VARCHAR), '.md') ELSE concat('https://wiki.example/', d.page_id) END,
+') <!-- tree:child page_id="', d.page_id, '"', CASE WHEN m.page_id IS NULL THEN ' external' ELSE '' END, ' -->', chr(10), d.text)''')} AS hash FROM d LEFT JOIN manifest m ON d.page_id = m.page_id""",
+)
+def substitute_page_tags(spark, sf_dir):
+    d = _d(spark, sf_dir)
+    body = F.concat(F.lit('  <page url="https://wiki.example/p/'), F.replace("page_id", F.lit("-"), F.lit("")), F.lit('" icon="x"> T </page>\n'), "text")
+    bodies = d.select("page_id", F.concat("source", F.lit("/"), "lang", F.lit("/index.md")).alias("path"), body.alias("body"))
+    done = links.substitute_page_tags(bodies, fx.manifest(d).select("page_id", "path"))
+    return done.join(d.select("page_id", "doc_id"), "page_id").select("doc_id", canon.fingerprint(F.col("body")).alias("hash"))
+
+
+@query("compact_read_records", SQL + f"SELECT page_id, title, {digest_sql('text')} AS remote_hash, parent_page_id AS child_links FROM d")
+def compact_read_records(spark, sf_dir):
+    rows = _envelope(_d(spark, sf_dir).withColumn("text", F.concat("text", F.lit('\n<page url="https://wiki.example/'), F.replace("parent_page_id", F.lit("-"), F.lit("")), F.lit('">P</page>'))))
+    rows = rows.select("page_id", extract.body(F.col("envelope")).alias("body"), extract.title(F.col("envelope")).alias("title"))
+    done = canon.canonical(rows, "body", "canonical", "remote", F.coalesce("title", F.lit("")))
+    return done.select("page_id", "title", canon.fingerprint(F.col("canonical")).alias("remote_hash"), F.array_join(extract.child_ids(F.col("body")), ",").alias("child_links"))
+
+
+def _blocks(d: DataFrame) -> DataFrame:
+    kind = F.when(F.col("doc_id") % 2 == 0, "callout").otherwise("toggle")
+    text = F.concat(F.lit("## Part "), F.col("doc_id").cast("string"), F.lit("\n<"), kind, F.lit(">x</"), kind, F.lit(">\n"), "text", F.lit("\n<Equation>y</equation>"))
+    return d.select("doc_id", "page_id", text.alias("body"))
+
+
+@query("rich_block_catalogue", SQL + "SELECT page_id, CASE WHEN doc_id % 2 = 0 THEN 'callout' ELSE 'toggle' END AS type, concat('Part ', CAST(doc_id AS VARCHAR)) AS anchor FROM d UNION ALL SELECT page_id, 'equation' AS type, concat('Part ', CAST(doc_id AS VARCHAR)) AS anchor FROM d")
+def rich_block_catalogue(spark, sf_dir):
+    rows = _blocks(_d(spark, sf_dir))
+    return links.rich_block_catalogue(rows, F.col("body")).select("page_id", "type", "anchor")
+
+
+@query("rich_block_counts", SQL + "SELECT CASE WHEN doc_id % 2 = 0 THEN 'callout' ELSE 'toggle' END AS type, count(*) AS blocks FROM d GROUP BY 1 UNION ALL SELECT 'equation' AS type, count(*) AS blocks FROM d")
+def rich_block_counts(spark, sf_dir):
+    rows = _blocks(_d(spark, sf_dir))
+    return rows.select(F.explode(kernels.rich_block_spans(F.col("body"))).alias("b")).groupBy(F.col("b.type").alias("type")).agg(F.count(F.lit(1)).alias("blocks"))
+
+
+@query("rich_placeholders", SQL + f"SELECT doc_id, {sha('''concat('## Part ', CAST(doc_id AS VARCHAR), chr(10), '[rich block: ', CASE WHEN doc_id % 2 = 0 THEN 'callout' ELSE 'toggle' END, '] (not synced)', chr(10), text, chr(10), '[rich block: equation] (not synced)')''')} AS hash FROM d")
+def rich_placeholders(spark, sf_dir):
+    return _blocks(_d(spark, sf_dir)).select("doc_id", canon.fingerprint(extract.placeholder_spans(F.col("body"))).alias("hash"))
+
+
+IGNORE = ["src1/**", "!src1/en/", "*-7.md", "/src2/d?/doc-1*.md"]
+
+
+@query("ignore_filter", SQL + r"SELECT path, CASE WHEN regexp_matches(path, '^src2/d[^/]/doc-1[^/]*\.md$') THEN true WHEN regexp_matches(path, '-7\.md$') THEN true WHEN path LIKE 'src1/en/%' THEN false WHEN path LIKE 'src1/%' THEN true ELSE false END AS is_ignored FROM d")
+def ignore_filter(spark, sf_dir):
+    return _d(spark, sf_dir).select("path", ignore.ignored(F.col("path"), IGNORE).alias("is_ignored"))
+
+
+@query("diff_scope_prefix", SQL + "SELECT m.page_id, m.path, l.path IS NOT NULL AS on_disk FROM manifest m LEFT JOIN local_files l ON m.path = l.path WHERE NOT m.local_ignored AND (m.path LIKE 'src1%' OR m.path LIKE 'src2/en/%')")
+def diff_scope_prefix(spark, sf_dir):
+    d = _d(spark, sf_dir)
+    return state.fetch_list(fx.manifest(d), fx.local_files(d), ignore.in_scope(F.col("path"), ["src1", "src2/en/"])).select("page_id", "path", "on_disk")
+
+
+@query("pull_classify", SQL + "SELECT page_id, path, state FROM pull")
+def pull_classify(spark, sf_dir):
+    d = _d(spark, sf_dir)
+    return state.pull_classify(fx.manifest(d), fx.local_files(d), fx.remote_records(d))
+
+
+@query("status_scan", SQL + "SELECT page_id, path, state FROM status")
+def status_scan(spark, sf_dir):
+    d = _d(spark, sf_dir)
+    return state.status_classify(fx.manifest(d), fx.local_files(d), fx.remote_records(d))
+
+
+@query("status_counts", SQL + "SELECT state, count(*) AS pages FROM status GROUP BY state")
+def status_counts(spark, sf_dir):
+    return state.state_counts(status_scan(spark, sf_dir))
+
+
+@query("status_buckets", SQL + "SELECT state, string_agg(page_id, ',' ORDER BY page_id) AS ids FROM status WHERE state <> 'clean' GROUP BY state")
+def status_buckets(spark, sf_dir):
+    """A report for people; pages in step are counted elsewhere."""
+    rows = status_scan(spark, sf_dir).where("state <> 'clean'")
+    return rows.groupBy("state").agg(F.array_join(F.sort_array(F.collect_list("page_id")), ",").alias("ids"))
+
+
+@query("refetch_list", SQL + "SELECT page_id, state AS reason FROM pull WHERE state IN ('auto_merge_remote', 'conflict')")
+def refetch_list(spark, sf_dir):
+    return state.refetch_list(pull_classify(spark, sf_dir))
+
+
+@query("untracked_local", SQL + "SELECT path FROM local_files WHERE path NOT IN (SELECT path FROM manifest) AND path NOT LIKE 'src1/%'")
+def untracked_local(spark, sf_dir):
+    d = _d(spark, sf_dir)
+    return state.untracked_local(fx.manifest(d), fx.local_files(d), ignore.ignored(F.col("path"), ["src1/**"]))
+
+
+@query("tracked_missing", SQL + "SELECT page_id, path FROM manifest WHERE NOT local_ignored AND path NOT IN (SELECT path FROM local_files)")
+def tracked_missing(spark, sf_dir):
+    d = _d(spark, sf_dir)
+    return state.tracked_missing(fx.manifest(d), fx.local_files(d))
+
+
+@query("ignored_tracked", SQL + "SELECT page_id, path FROM manifest WHERE path LIKE 'src1/%'")
+def ignored_tracked(spark, sf_dir):
+    return state.ignored_tracked(fx.manifest(_d(spark, sf_dir)), ignore.ignored(F.col("path"), ["src1/**"]))
+
+
+@query(
+    "rename_candidates_basename",
+    SQL + """, a AS (SELECT regexp_extract(path, '[^/]*$') AS k, count(*) AS n, min(page_id) AS page_id, min(path) AS old_path FROM manifest WHERE path NOT IN (SELECT path FROM local_files) GROUP BY 1),
+b AS (SELECT regexp_extract(path, '[^/]*$') AS k, count(*) AS n, min(path) AS new_path FROM local_files WHERE path NOT IN (SELECT path FROM manifest) GROUP BY 1)
+SELECT page_id, old_path, new_path FROM a JOIN b ON a.k = b.k WHERE a.n = 1 AND b.n = 1""",
+)
+def rename_candidates_basename(spark, sf_dir):
+    d = _d(spark, sf_dir)
+    return state.rename_candidates(fx.manifest(d), fx.local_files(d))
+
+
+@query(
+    "rename_candidates_hash",
+    SQL + """, a AS (SELECT local_hash AS k, count(*) AS n, min(page_id) AS page_id, min(path) AS old_path FROM manifest WHERE path NOT IN (SELECT path FROM local_files) GROUP BY 1),
+b AS (SELECT hash AS k, count(*) AS n, min(path) AS new_path FROM local_files WHERE path NOT IN (SELECT path FROM manifest) GROUP BY 1)
+SELECT page_id, old_path, new_path FROM a JOIN b ON a.k = b.k WHERE a.n = 1 AND b.n = 1""",
+)
+def rename_candidates_hash(spark, sf_dir):
+    d = _d(spark, sf_dir)
+    return state.rename_candidates(fx.manifest(d), fx.local_files(d), "hash")
+
+
+COMMIT_SQL = """, part AS (
+  SELECT m.path, m.page_id, CASE WHEN l.hash IS NULL THEN 'deleted' WHEN l.hash <> m.local_hash THEN 'modified' END AS kind
+  FROM manifest m LEFT JOIN local_files l ON m.path = l.path WHERE NOT m.local_ignored
+  UNION ALL SELECT path, NULL, 'new' FROM local_files WHERE path NOT IN (SELECT path FROM manifest)
+)"""
+
+
+@query("commit_partition", SQL + COMMIT_SQL + "SELECT path, page_id, kind FROM part WHERE kind IS NOT NULL")
+def commit_partition(spark, sf_dir):
+    d = _d(spark, sf_dir)
+    return state.commit_partition(fx.manifest(d), fx.local_files(d))
+
+
+def _new_pages(d: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """New files, and a manifest in which each language of each source has its index page."""
+    pages = fx.manifest(d).select("page_id", "path")
+    index = d.select(F.col("parent_page_id").alias("page_id"), F.concat("source", F.lit("/"), "lang", F.lit("/index.md")).alias("path")).distinct()
+    own = d.where("doc_id % 19 = 0").select("path")
+    folders = d.where("doc_id % 19 = 0").select(F.concat("source", F.lit("/"), "lang", F.lit("/n"), F.col("doc_id").cast("string"), F.lit("/index.md")).alias("path"))
+    top = d.where("doc_id % 19 = 0").select(F.concat(F.lit("top-"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"))
+    lost = d.where("doc_id % 19 = 0").select(F.concat(F.lit("nowhere/x-"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"))
+    return own.union(folders).union(top).union(lost), pages.union(index)
+
+
+NEW_SQL = f""", n AS (
+  SELECT path, parent_page_id FROM d WHERE doc_id % 19 = 0
+  UNION ALL SELECT concat(source, '/', lang, '/n', CAST(doc_id AS VARCHAR), '/index.md'), parent_page_id FROM d WHERE doc_id % 19 = 0
+  UNION ALL SELECT concat('top-', CAST(doc_id AS VARCHAR), '.md'), '{fx.ROOT}' FROM d WHERE doc_id % 19 = 0
+  UNION ALL SELECT concat('nowhere/x-', CAST(doc_id AS VARCHAR), '.md'), NULL FROM d WHERE doc_id % 19 = 0
+)"""
+
+
+@query("new_page_parents", SQL + NEW_SQL + "SELECT path, parent_page_id FROM n")
+def new_page_parents(spark, sf_dir):
+    new, pages = _new_pages(_d(spark, sf_dir))
+    return state.new_page_parents(new, pages, fx.ROOT)
+
+
+@query("create_batches", SQL + NEW_SQL + "SELECT path, parent_page_id, CAST(floor((row_number() OVER (PARTITION BY parent_page_id ORDER BY path) - 1) / 10.0) AS BIGINT) AS batch FROM n")
+def create_batches(spark, sf_dir):
+    new, pages = _new_pages(_d(spark, sf_dir))
+    return state.create_batches(state.new_page_parents(new, pages, fx.ROOT), 10)
+
+
+TREE_SQL = f""", t AS (
+  SELECT '{fx.ROOT}' AS page_id, NULL AS parent_page_id, 'root' AS slug, -1 AS created_at
+  UNION ALL SELECT DISTINCT {uuid_sql("concat('s:', source)")}, '{fx.ROOT}', source, 0 FROM d
+  UNION ALL SELECT DISTINCT parent_page_id, {uuid_sql("concat('s:', source)")}, lang, 0 FROM d
+  UNION ALL SELECT page_id, parent_page_id, concat('doc-', CAST(doc_id % 50 AS VARCHAR)), doc_id FROM d
+), s AS (
+  SELECT page_id, parent_page_id, slug, row_number() OVER (PARTITION BY parent_page_id, slug ORDER BY created_at, page_id) AS nth FROM t
+), u AS (
+  SELECT page_id, parent_page_id, CASE WHEN nth > 1 THEN concat(slug, '-', CAST(nth AS VARCHAR)) ELSE slug END AS slug,
+    page_id IN (SELECT parent_page_id FROM t WHERE parent_page_id IS NOT NULL) AS folder FROM s
+), w AS (
+  SELECT page_id, '' AS dir, 'index.md' AS path, 0 AS depth FROM u WHERE parent_page_id IS NULL
+  UNION ALL SELECT u.page_id, concat(w.dir, u.slug, '/'), concat(w.dir, u.slug, CASE WHEN u.folder THEN '/index.md' ELSE '.md' END), w.depth + 1
+  FROM u JOIN w ON u.parent_page_id = w.page_id
+)"""
+
+
+@query("tree_paths", SQL + TREE_SQL + "SELECT page_id, path, CAST(depth AS INTEGER) AS depth FROM w")
+def tree_paths(spark, sf_dir):
+    return graph.tree_paths(fx.tree(_d(spark, sf_dir)))
+
+
+@query("has_children", SQL + TREE_SQL + "SELECT page_id, folder AS has_children FROM u")
+def has_children(spark, sf_dir):
+    return graph.has_children(fx.tree(_d(spark, sf_dir))).select("page_id", "has_children")
+
+
+@query("create_waves", SQL + TREE_SQL + "SELECT w.page_id, w.path, CAST(w.depth AS INTEGER) AS wave, w.path LIKE '%/index.md' AS folder_page FROM w WHERE w.page_id IN (SELECT page_id FROM d WHERE doc_id % 19 = 0 UNION ALL SELECT parent_page_id FROM d WHERE doc_id % 19 = 0)")
+def create_waves(spark, sf_dir):
+    d = _d(spark, sf_dir)
+    new = d.where("doc_id % 19 = 0")
+    every = new.select("page_id").union(new.select("parent_page_id")).distinct()
+    return graph.create_waves(every, graph.tree_paths(fx.tree(d)))
+
+
+@query("natural_order", SQL + "SELECT page_id, concat(source, '/', lang, '/doc-', lpad(CAST(doc_id AS VARCHAR), 20, '0'), '.md') AS k FROM d WHERE source IS NULL")
+def natural_order(spark, sf_dir):
+    d = _d(spark, sf_dir).where("source IS NULL")
+    return d.select("page_id", graph.natural_key(F.col("path")).alias("k"))
+
+
+def _reach(d: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links of the root's body, and records of parents that list their documents (but those divisible by 29)."""
+    tops = d.select(F.upper("parent_page_id").alias("page_id")).distinct()
+    listed = d.where("doc_id % 29 <> 0").groupBy("parent_page_id").agg(F.collect_list("page_id").alias("child_link_tags"))
+    return tops, listed.select(F.col("parent_page_id").alias("page_id"), F.lit(True).alias("has_children"), "child_link_tags")
+
+
+REACH_SQL = ", reach AS (SELECT DISTINCT parent_page_id AS page_id FROM d UNION SELECT page_id FROM d WHERE doc_id % 29 <> 0)"
+
+
+@query("reachable", SQL + REACH_SQL + "SELECT page_id FROM reach")
+def reachable(spark, sf_dir):
+    return graph.reachable(*_reach(_d(spark, sf_dir)))
+
+
+@query("remote_added", SQL + REACH_SQL + "SELECT page_id FROM reach WHERE page_id NOT IN (SELECT page_id FROM manifest)")
+def remote_added(spark, sf_dir):
+    d = _d(spark, sf_dir)
+    return graph.remote_added(graph.reachable(*_reach(d)), fx.manifest(d))
+
+
+@query("remote_trashed", SQL + REACH_SQL + "SELECT page_id FROM manifest WHERE page_id NOT IN (SELECT page_id FROM reach) AND parent_page_id IN (SELECT parent_page_id FROM d WHERE doc_id % 29 <> 0)")
+def remote_trashed(spark, sf_dir):
+    d = _d(spark, sf_dir)
+    top, records = _reach(d)
+    return graph.remote_trashed(fx.manifest(d), graph.reachable(top, records), fx.ROOT, records.select("page_id"))
+
+
+EDGE_SQL = """, e AS (
+  SELECT (b.doc_id - 1) // 2 AS src, b.doc_id AS dst FROM documents b WHERE b.doc_id > 0 AND b.doc_id % 6 <> 5
+  UNION ALL SELECT doc_id AS src, doc_id // 3 AS dst FROM documents
+), c AS (SELECT CAST(0 AS BIGINT) AS page_id UNION SELECT e.dst FROM e JOIN c ON e.src = c.page_id)"""
+
+
+@query("frontier_closure", SQL + EDGE_SQL + "SELECT CAST(page_id AS VARCHAR) AS page_id FROM c")
+def frontier_closure(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    down = d.where("doc_id > 0 AND doc_id % 6 <> 5").select(F.expr("(doc_id - 1) div 2").alias("src"), F.col("doc_id").alias("dst"))
+    edges = down.union(d.select(F.col("doc_id").alias("src"), F.expr("doc_id div 3").alias("dst")))
+    found, _ = graph.frontier_closure(edges, spark.createDataFrame([(0,)], "page_id long"), most=0)
+    return found.select(F.col("page_id").cast("string").alias("page_id"))
+
+
+@query("illusory_conflicts", SQL + "SELECT page_id, path FROM manifest WHERE doc_id % 31 = 0")
+def illusory_conflicts(spark, sf_dir):
+    """Both sides made the same edit."""
+    d = _d(spark, sf_dir)
+    both = F.when(F.col("doc_id") % 31 == 0, fx.digest(F.concat("text", F.lit("\nsame")))).otherwise(fx.digest(F.concat("text", F.lit("\nlocal"))))
+    local = d.select("path", both.alias("hash"))
+    remote = d.select("page_id", F.when(F.col("doc_id") % 31 == 0, both).otherwise(fx.digest(F.concat("text", F.lit("\nremote")))).alias("remote_hash"))
+    m = fx.manifest(d).withColumn("local_ignored", F.lit(False))
+    return state.illusory_conflicts(m, local, remote)
+
+
+@query("stale_pages", SQL + COMMIT_SQL + "SELECT m.page_id, m.path FROM part p JOIN manifest m ON p.page_id = m.page_id JOIN remote r ON m.page_id = r.page_id WHERE p.kind = 'modified' AND r.new_remote <> m.remote_hash AND m.doc_id % 3 <> 0")
+def stale_pages(spark, sf_dir):
+    d = _d(spark, sf_dir)
+    modified = commit_partition(spark, sf_dir).where("kind = 'modified'")
+    return state.stale(modified, fx.manifest(d), fx.remote_records(d), d.where("doc_id % 3 = 0"))
+
+
+def _hunks(d: DataFrame) -> DataFrame:
+    """Three lines appended; the middle one edited locally. Remote: as it was, changed there, doubled, or inside a callout."""
+    tail = "\nfirst {0}\nmiddle {0}\nlast {0}\n"
+    key = F.col("doc_id").cast("string")
+    said = lambda s: F.replace(F.lit(s), F.lit("{0}"), key)
+    snapshot = F.concat("text", said(tail))
+    local = F.concat("text", said(tail.replace("middle", "edited")))
+    remote = (
+        F.when(F.col("doc_id") % 4 == 0, snapshot)
+        .when(F.col("doc_id") % 4 == 1, F.concat("text", said(tail.replace("middle", "changed"))))
+        .when(F.col("doc_id") % 4 == 2, F.concat(snapshot, said(tail)))
+        .otherwise(F.concat("text", F.lit("\n<callout>"), said(tail), F.lit("</callout>\n")))
+    )
+    return d.select("doc_id", F.explode(kernels.hunks(snapshot, local, remote)).alias("h"))
+
+
+@query("hunks_single_edit", SQL + "SELECT doc_id, CAST(0 AS INTEGER) AS hunk_index, replace('first {0}\nmiddle {0}\nlast {0}\n', '{0}', CAST(doc_id AS VARCHAR)) AS old_str, replace('first {0}\nedited {0}\nlast {0}\n', '{0}', CAST(doc_id AS VARCHAR)) AS new_str FROM d")
+def hunks_single_edit(spark, sf_dir):
+    return _hunks(_d(spark, sf_dir)).select("doc_id", "h.hunk_index", "h.old_str", "h.new_str")
+
+
+@query("hunk_verdicts", SQL + "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'race_lost' WHEN 2 THEN 'ambiguous' ELSE 'rich_block_overlap' END AS verdict, CASE WHEN doc_id % 4 = 2 THEN CAST(2 AS INTEGER) END AS match_count FROM d")
+def hunk_verdicts(spark, sf_dir):
+    return _hunks(_d(spark, sf_dir)).select("doc_id", "h.verdict", "h.match_count")
+
+
+@query("hunks_to_push", SQL + "SELECT doc_id FROM d WHERE (doc_id % 4 = 0 AND doc_id % 3 <> 0) OR (doc_id % 4 IN (2, 3) AND doc_id % 3 = 1)")
+def hunks_to_push(spark, sf_dir):
+    d = _d(spark, sf_dir)
+    hunks = _hunks(d).select(F.col("doc_id").alias("page_id"), "h.*")
+    choices = d.where("doc_id % 3 < 2").select(F.col("doc_id").alias("page_id"), F.lit(0).alias("hunk_index"), F.when(F.col("doc_id") % 3 == 0, "S").otherwise("F").alias("choice"))
+    return merge.hunks_to_push(hunks, choices).select(F.col("page_id").alias("doc_id"))
+
+
+@query("unified_diff_stats", SQL + "SELECT doc_id, CAST(1 AS BIGINT) AS added, CAST(CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS removed FROM d")
+def unified_diff_stats(spark, sf_dir):
+    old = F.concat("text", F.when(F.col("doc_id") % 2 == 0, F.lit("\nold line\n")).otherwise(F.lit("\n")))
+    rows = _d(spark, sf_dir).select("doc_id", kernels.unified_diff(old, F.concat("text", F.lit("\nnew line\n"))).alias("diff"))
+    lines = F.split("diff", "\n")
+    count = lambda sign, head: F.size(F.filter(lines, lambda x: F.startswith(x, F.lit(sign)) & ~F.startswith(x, F.lit(head)))).cast("long")
+    return rows.select("doc_id", count("+", "+++").alias("added"), count("-", "---").alias("removed"))
+
+
+@query(
+    "child_link_regen",
+    SQL + f"""SELECT doc_id, {sha('''concat(text, chr(10), '[Parent](https://wiki.example/', parent_page_id, ') <!-- tree:child page_id="', parent_page_id, '" external -->', chr(10),
+'[', title, '](./doc-', CAST(doc_id AS VARCHAR), '.md) <!-- tree:child page_id="', page_id, '" -->', chr(10), 'end')''').replace("[Parent]", "[]")} AS hash, CAST(1 AS BIGINT) AS added, CAST(1 AS BIGINT) AS dropped FROM d WHERE doc_id % 19 <> 0""",
+)
+def child_link_regen(spark, sf_dir):
+    d = _d(spark, sf_dir).where("doc_id % 19 <> 0")
+    line = lambda target: F.concat(F.lit("[old \\] name](./x.md) <!-- tree:child page_id=\""), target, F.lit('" -->'))
+    body = F.concat("text", F.lit("\n"), line(F.lit("aaaaaaaa-bbbb-cccc-dddd-eeeeeeeeeeee")), F.lit("\n"), line(F.col("parent_page_id")), F.lit("\nend"))
+    bodies = d.select("page_id", "path", body.alias("body"))
+    expected = d.select("page_id", F.explode(F.array(F.struct(F.upper("parent_page_id").alias("child"), F.lit(0).alias("seq")), F.struct(F.col("page_id").alias("child"), F.lit(1).alias("seq")))).alias("e")).select("page_id", "e.*")
+    done = links.regenerate(bodies, expected, fx.manifest(d).select("page_id", "path", "title"))
+    return done.join(d.select("page_id", "doc_id"), "page_id").select("doc_id", canon.fingerprint(F.col("body")).alias("hash"), "added", "dropped")
+
+
+def _family(d: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each document as an index page with one child page, whose body names the child twice, a stranger and nothing."""
+    key = F.col("doc_id").cast("string")
+    child = fx.uuid_of(F.concat(F.lit("child "), key))
+    pages = d.select("page_id", F.concat(F.lit("p"), key, F.lit("/index.md")).alias("path"), "title", F.lit("up").alias("parent_page_id"))
+    kids = d.select(child.alias("page_id"), F.concat(F.lit("p"), key, F.lit("/kid.md")).alias("path"), F.lit("Kid").alias("title"), F.col("page_id").alias("parent_page_id"))
+    hollow = lambda to: F.concat(F.lit("[K]("), to, F.lit(") <!-- tree:child -->\n"))
+    body = F.concat(hollow(F.lit("./kid.md")), "text", F.lit("\n"), hollow(F.concat(F.lit("../p"), key, F.lit("/kid.md"))), hollow(F.concat(F.lit("../p"), (F.col("doc_id") + 1).cast("string"), F.lit("/kid.md"))), hollow(F.lit("gone.md")))
+    return pages.unionByName(kids), d.select("page_id", F.concat(F.lit("p"), key, F.lit("/index.md")).alias("path"), body.alias("body"))
+
+
+@query(
+    "placeholder_backfill",
+    SQL + f"""SELECT doc_id, {sha(f'''concat('[Kid](./kid.md) <!-- tree:child page_id="', {uuid_sql("concat('child ', CAST(doc_id AS VARCHAR))")}, '" -->', chr(10), text, chr(10),
+'[K](../p', CAST(doc_id AS VARCHAR), '/kid.md) <!-- tree:child -->', chr(10), '[K](../p', CAST(doc_id + 1 AS VARCHAR), '/kid.md) <!-- tree:child -->', chr(10), '[K](gone.md) <!-- tree:child -->', chr(10))''')} AS hash FROM d""",
+)
+def placeholder_backfill(spark, sf_dir):
+    d = _d(spark, sf_dir)
+    pages, bodies = _family(d)
+    done = links.backfill(bodies, pages, fx.ROOT)
+    return done.join(d.select("page_id", "doc_id"), "page_id").select("doc_id", canon.fingerprint(F.col("body")).alias("hash"))
+
+
+@query("pending_placeholders", SQL + "SELECT page_id, CAST(sum(n) AS BIGINT) AS open FROM (SELECT page_id, 3 AS n FROM d) GROUP BY page_id")
+def pending_placeholders(spark, sf_dir):
+    pages, bodies = _family(_d(spark, sf_dir))
+    return links.placeholders(bodies, pages, fx.ROOT).where("NOT good").groupBy("page_id").agg(F.count(F.lit(1)).alias("open"))
+
+
+@query("child_links_to_update", SQL + "SELECT page_id FROM d WHERE doc_id % 2 = 0")
+def child_links_to_update(spark, sf_dir):
+    d = _d(spark, sf_dir)
+    line = F.concat(F.lit('[x](./x.md) <!-- tree:child page_id="'), F.when(F.col("doc_id") % 2 == 0, F.col("page_id")).otherwise(F.col("parent_page_id")), F.lit('" -->'))
+    bodies = d.select("page_id", "path", F.concat("text", F.lit("\n"), line).alias("body"))
+    return links.links_to_update(bodies, d.select("page_id", F.col("parent_page_id").alias("child")))
+
+
+def _pulled(d: DataFrame) -> merge.Applied:
+    m, local, remote = fx.manifest(d), fx.local_files(d), fx.remote_bodies(d)
+    states = state.pull_classify(m, local, fx.remote_records(d))
+    merged = F.concat("remote_text", F.lit("merged\n"))
+    bodies = remote.where("doc_id % 37 <> 0").select("page_id", "remote_text", "remote_hash", merged.alias("merged_text"), canon.fingerprint(merged).alias("merged_hash"))
+    choice = F.element_at(F.array(*[F.lit(x) for x in "LRES"]), (F.col("doc_id") % 4 + 1).cast("int"))
+    decisions = d.select("page_id", F.explode(F.array(F.struct(F.lit("S").alias("choice"), F.lit(0).alias("pos")), F.struct(choice.alias("choice"), F.lit(1).alias("pos")))).alias("x")).select("page_id", "x.*")
+    return merge.pull_apply(m, local.select("path", "text", "hash"), states, bodies, decisions, NOW)
+
+
+PULL_SQL = f""", act AS (
+  SELECT p.*, CASE WHEN state = 'clean' THEN 'stamp' WHEN state = 'auto_merge_remote' THEN 'overwrite'
+    WHEN state = 'conflict' THEN CASE doc_id % 4 WHEN 0 THEN 'keep_local' WHEN 1 THEN 'keep_remote' WHEN 2 THEN 'merge' END END AS asked FROM pull p
+), did AS (
+  SELECT *, CASE WHEN asked <> 'stamp' AND doc_id % 37 = 0 THEN NULL ELSE asked END AS did FROM act
+), merged AS (
+  SELECT doc_id, {sha("concat(CASE WHEN doc_id % 5 = 0 THEN concat(text, chr(10), 'remote edit') ELSE text END, chr(10), 'merged', chr(10))")} AS merged_hash FROM d
+)"""
+
+
+@query(
+    "pull_apply",
+    SQL + PULL_SQL + f"""SELECT m.page_id, CASE WHEN did IN ('overwrite', 'keep_remote') THEN a.new_remote WHEN did = 'merge' THEN g.merged_hash WHEN did = 'keep_local' THEN coalesce(a.new_local, m.local_hash) ELSE m.local_hash END AS local_hash,
+CASE WHEN did IN ('overwrite', 'keep_remote', 'keep_local', 'merge') THEN a.new_remote ELSE m.remote_hash END AS remote_hash,
+CASE WHEN did IS NULL THEN '2024-01-01T00:00:00Z' ELSE '{NOW}' END AS last_synced_at, coalesce(did IN ('keep_local', 'merge'), false) AS push_pending
+FROM manifest m LEFT JOIN did a ON m.page_id = a.page_id LEFT JOIN merged g ON m.doc_id = g.doc_id""",
+)
+def pull_apply(spark, sf_dir):
+    return _pulled(_d(spark, sf_dir)).manifest.select("page_id", "local_hash", "remote_hash", "last_synced_at", "push_pending")
+
+
+@query("conflict_resolution", SQL + PULL_SQL + "SELECT page_id, path, coalesce(did, 'error') AS action, CASE WHEN did IS NULL THEN 'body missing' END AS error FROM did WHERE asked IS NOT NULL")
+def conflict_resolution(spark, sf_dir):
+    return _pulled(_d(spark, sf_dir)).report
+
+
+@query(
+    "verify_mismatches",
+    SQL + PULL_SQL + """, after AS (SELECT a.page_id, a.path, did, asked, local_hash, new_local FROM did a)
+SELECT m.page_id, m.path FROM manifest m JOIN local_files l ON m.path = l.path LEFT JOIN did a ON m.page_id = a.page_id
+WHERE NOT m.local_ignored AND m.local_hash <> l.hash AND coalesce(did NOT IN ('overwrite', 'keep_remote', 'keep_local', 'merge'), true)""",
+)
+def verify_mismatches(spark, sf_dir):
+    """Pages whose edits a pull leaves for a commit."""
+    done = _pulled(_d(spark, sf_dir))
+    return state.mismatches(done.manifest, done.local)
+
+
+def _committed(d: DataFrame) -> merge.Applied:
+    m, local = fx.manifest(d), fx.local_files(d)
+    part = state.commit_partition(m, local)
+    pushed = part.where("kind = 'modified'").join(d.select("page_id", "doc_id"), "page_id")
+    modified = pushed.join(local.select("path", F.col("hash").alias("new_remote_hash")), "path").select(
+        "page_id", (F.col("doc_id") % 2 == 0).alias("pushed"), "new_remote_hash", F.when(F.col("doc_id") % 2 == 1, "refused").alias("error")
+    )
+    choice = F.element_at(F.array(*[F.lit(x) for x in "OMTRE"]), (F.col("doc_id") % 5 + 1).cast("int"))
+    deleted = part.where("kind = 'deleted'").join(d.select("page_id", "doc_id"), "page_id").select("page_id", choice.alias("choice"))
+    fresh = d.where("doc_id % 19 = 0 AND doc_id % 11 <> 0 AND doc_id % 13 <> 0")
+    new = fresh.join(local.select("path", "hash"), "path").select(
+        "doc_id", "page_id", "path", "title", "parent_page_id", F.lit("").alias("url"), F.col("hash").alias("local_hash"), F.col("hash").alias("remote_hash"), F.lit(False).alias("has_children"), F.lit(False).alias("local_ignored")
+    )
+    trash = d.sparkSession.createDataFrame([], "page_id string, path string, trashed_at string, trashed_by string, title string, last_local_hash string")
+    return merge.commit_apply(m, trash, local, modified, new, deleted, NOW)
+
+
+@query(
+    "commit_apply",
+    SQL + COMMIT_SQL + f"""SELECT m.page_id, CASE WHEN p.kind = 'modified' AND m.doc_id % 2 = 0 THEN l.hash ELSE m.local_hash END AS local_hash,
+CASE WHEN p.kind = 'modified' AND m.doc_id % 2 = 0 THEN l.hash ELSE m.remote_hash END AS remote_hash,
+CASE WHEN p.kind = 'modified' AND m.doc_id % 2 = 0 THEN '{NOW}' ELSE '2024-01-01T00:00:00Z' END AS last_synced_at
+FROM manifest m LEFT JOIN part p ON m.page_id = p.page_id LEFT JOIN local_files l ON m.path = l.path
+WHERE NOT coalesce(p.kind = 'deleted' AND m.doc_id % 5 < 3, false)
+UNION ALL SELECT d.page_id, l.hash, l.hash, '{NOW}' FROM d JOIN local_files l ON d.path = l.path WHERE d.doc_id % 19 = 0""",
+)
+def commit_apply(spark, sf_dir):
+    return _committed(_d(spark, sf_dir)).manifest.select("page_id", "local_hash", "remote_hash", "last_synced_at")
+
+
+@query(
+    "trash_log",
+    SQL + COMMIT_SQL + f"""SELECT m.page_id, m.path, '{NOW}' AS trashed_at, CASE m.doc_id % 5 WHEN 0 THEN 'orphaned-to-workspace' WHEN 1 THEN 'remote-trashed' ELSE 'untracked-no-remote-action' END AS trashed_by, m.title, m.local_hash AS last_local_hash
+FROM part p JOIN manifest m ON p.page_id = m.page_id WHERE p.kind = 'deleted' AND m.doc_id % 5 < 3""",
+)
+def trash_log(spark, sf_dir):
+    return _committed(_d(spark, sf_dir)).trash
+
+
+@query("commit_errors", SQL + COMMIT_SQL + "SELECT m.page_id, 'refused' AS error FROM part p JOIN manifest m ON p.page_id = m.page_id WHERE p.kind = 'modified' AND m.doc_id % 2 = 1")
+def commit_errors(spark, sf_dir):
+    return _committed(_d(spark, sf_dir)).report
+
+
+@query("init_seed", SQL + f"SELECT page_id, path, {digest_sql('text')} AS local_hash, {digest_sql('text')} AS remote_hash, '{NOW}' AS last_synced_at FROM d")
+def init_seed(spark, sf_dir):
+    d = _d(spark, sf_dir).withColumns({"url": F.lit(""), "has_children": F.lit(False)})
+    d = canon.canonical(d, "text", "canonical", "remote").withColumn("remote_hash", canon.fingerprint(F.col("canonical")))
+    return merge.init_seed(d, NOW).select("page_id", "path", "local_hash", "remote_hash", "last_synced_at")
+
+
+@query("valid_records", SQL + "SELECT page_id, CASE WHEN doc_id % 3 = 0 THEN 'remote_hash' WHEN doc_id % 5 = 0 THEN 'has_children' END AS problem FROM d WHERE doc_id % 17 <> 0")
+def valid_records(spark, sf_dir):
+    d = _d(spark, sf_dir)
+    rows = fx.remote_records(d).join(d.select("page_id", "doc_id"), "page_id")
+    rows = rows.withColumn("remote_hash", F.when(F.col("doc_id") % 3 == 0, F.substring("remote_hash", 1, 20)).otherwise(F.col("remote_hash")))
+    rows = rows.withColumn("has_children", F.when(F.col("doc_id") % 5 != 0, F.col("has_children")))
+    return state.valid_records(rows).select("page_id", "problem")
+
+
+@query("new_page_titles", SQL + "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN concat('Head ', CAST(doc_id AS VARCHAR)) ELSE concat('doc-', CAST(doc_id AS VARCHAR)) END AS title FROM d")
+def new_page_titles(spark, sf_dir):
+    head = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("x\n# Head "), F.col("doc_id").cast("string"), F.lit("  \n"))).otherwise(F.lit(""))
+    plain = F.regexp_replace("text", "(?m)^#", "")
+    return _d(spark, sf_dir).select("doc_id", extract.title_of_new(F.concat(head, plain), F.col("path")).alias("title"))
+
+
+@query("merged_sections", SQL + f"SELECT doc_id, {sha('text')} AS hash FROM d")
+def merged_sections(spark, sf_dir):
+    scratch = extract.conflict_file(F.col("text"), F.concat(F.lit("remote "), "text"))
+    return _d(spark, sf_dir).select("doc_id", canon.fingerprint(extract.merged_section(scratch)).alias("hash"))
