@@ -59,13 +59,12 @@ def heading(line: Column) -> Column:
 
 def strip_title(text: Column, title: Column) -> Column:
     """Without the first non-blank line (and one blank line after it) where that is the title as a heading."""
-    lines = F.split(text, "\n", -1)
-    at = F.array_position(F.transform(lines, lambda x: ~is_blank(x)), F.lit(True)).cast("int")
-    here = F.element_at(lines, F.greatest(at, F.lit(1)))
-    after = F.get(lines, at)
-    rest = F.when(after.isNotNull() & is_blank(after), at + 2).otherwise(at + 1)
-    short = F.concat(F.slice(lines, F.lit(1), F.greatest(at - 1, F.lit(0))), F.slice(lines, rest, F.greatest(F.size(lines) - rest + 1, F.lit(0))))
-    return F.when((title != "") & (at > 0) & (heading(here) == title), F.array_join(short, "\n")).otherwise(text)
+    top = r"^((?:[^\S\n]*\n)*) {0,3}#[ \t]+"
+    # the heading and what it says, from the text's begin only
+    head = F.regexp_extract(text, "(?U)" + top + r"([^\n]+?)[ \t]*(?:\n|\z)", 2)
+    cut = F.regexp_replace(text, "(?U)" + top + r"[^\n]*(?:\n|\z)(?:[^\S\n]*(?:\n|\z))?", "$1")
+    ended = F.when(F.endswith(cut, F.lit("\n")) & ~F.endswith(text, F.lit("\n")) & F.regexp_replace(cut, r"(?U)\s", "").eqNullSafe(F.lit("")), F.regexp_replace(cut, r"\n\z", "")).otherwise(cut)
+    return F.when((title != "") & (head == title), ended).otherwise(text)
 
 
 def _separator(line: Column) -> Column:
@@ -134,32 +133,49 @@ def last_newline(text: Column) -> Column:
     return F.when(bare == "", F.lit("")).otherwise(F.concat(bare, F.lit("\n")))
 
 
-def _steps(text: Column, mode: str, title: Column | None, dialect: P.Dialect, python: bool) -> Column:
+def _steps(mode: str, title: Column | None, dialect: P.Dialect, python: bool) -> list:
+    """The steps in order, each from a column to a column."""
     remote = mode == "remote"
-    text = line_ends(kernels.nfc(text) if python else text)
+    steps = [kernels.nfc] if python else []
+    steps.append(line_ends)
     if remote:
-        text = strip_rich_tags(text)
-        text = kernels.swept(text) if python else text
-    text = strip_page_tags(text)
-    text = text if title is None else strip_title(text, title)
-    text = kernels.pipe_tables(text) if python else text
-    return last_newline(line_pass(prose_and_code(text), remote, dialect))
+        steps += [strip_rich_tags] + [kernels.swept] * python
+    steps.append(strip_page_tags)
+    if title is not None:
+        steps.append(lambda text: strip_title(text, title))
+    if python:
+        steps.append(kernels.pipe_tables)
+    return [*steps, prose_and_code, lambda text: line_pass(text, remote, dialect), last_newline]
 
 
-def normalize(text: Column, mode: str = "local", title: Column | None = None, dialect: P.Dialect = P.DEFAULT) -> Column:
-    """The canonical form as one column, through Arrow where text may need it. ``mode``: local or remote."""
+def _check(mode: str) -> None:
     if mode not in {"local", "remote"}:
         raise ValueError(mode)
-    return _steps(text, mode, title, dialect, True)
+
+
+def normalize(text: Column, mode: str = "local", title: Column | None = None, dialect: P.Dialect = P.DEFAULT) -> Column:
+    """The canonical form as one column, through Arrow. For whole tables ``canonical`` makes a far smaller plan."""
+    _check(mode)
+    return reduce(lambda c, step: step(c), _steps(mode, title, dialect, True), text)
 
 
 def canonical(df: DataFrame, text: str, out: str, mode: str = "local", title: Column | None = None, dialect: P.Dialect = P.DEFAULT) -> DataFrame:
-    """``df`` plus column ``out``. Rows without tags and composable characters never leave the JVM."""
-    if mode not in {"local", "remote"}:
-        raise ValueError(mode)
+    """``df`` plus column ``out`` (or with it replaced). Rows without tags and composable characters never leave the JVM.
+
+    Each step is a projection over the one before, so that no expression is repeated inside another.
+    """
+    _check(mode)
     hard = F.coalesce(F.col(text).rlike(NEEDS_PYTHON), F.lit(False))
-    easy_rows = df.where(~hard).withColumn(out, _steps(F.col(text), mode, title, dialect, False))
-    return easy_rows.unionByName(df.where(hard).withColumn(out, _steps(F.col(text), mode, title, dialect, True)))
+    named = df if title is None else df.withColumn("__title", title)
+    said = None if title is None else F.col("__title")
+
+    def through(rows: DataFrame, python: bool) -> DataFrame:
+        rows = rows.withColumn("__text", F.col(text))
+        for step in _steps(mode, said, dialect, python):
+            rows = rows.withColumn("__text", step(F.col("__text")))
+        return rows.withColumn(out, F.col("__text")).drop("__text", "__title")
+
+    return through(named.where(~hard), False).unionByName(through(named.where(hard), True))
 
 
 def fingerprint(text: Column) -> Column:
