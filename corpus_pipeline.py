@@ -23,10 +23,12 @@ def language_id(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = lines.dedup(docs).drop("n_lines", "n_removed", "removed").toDF(*docs.columns)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return out
+    names = docs.columns
+    out = lines.dedup(docs).drop("n_lines", "n_removed", "removed")
+    if "n_chars" in names:
+        chars = f"c{names.index('n_chars')}"
+        out = out.withColumn(chars, F.length(f"c{names.index('text')}").cast(docs.schema[names.index("n_chars")].dataType))
+    return out.toDF(*names)
 
 
 def near_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
