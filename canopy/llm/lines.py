@@ -31,7 +31,7 @@ LAST = (1 << 63) - 1
 
 
 def _is_text(line):
-    return F.length(F.trim(F.translate(line, "\t\r", "  "))) > 0
+    return F.trim(line, F.lit(" \t\r")) != ""
 
 
 def _lines(text):
@@ -103,15 +103,16 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     gone = repeats(stored.select("doc", F.col(f"c{names.index(id_col)}").cast("long").alias("id"), F.col(text).cast("string").alias("text")), least_words)
     gone = gone.select(F.col("doc").alias("gd"), "ks")
     joined = stored.join(gone, F.col("doc") == F.col("gd"), "left")
-    all_lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
-    places = F.transform(_lines(F.col(text)), lambda s: s["i"])
-    removed = F.when(F.col("ks").isNotNull(), F.array_sort(F.transform("ks", lambda k: F.get("__places", k)))).otherwise(F.array().cast("array<int>"))
-    joined = joined.withColumn("__places", F.when(F.col("ks").isNotNull(), places)).withColumn("removed", removed)
+    # texts that lose nothing are passed on unparsed
+    hit = F.col("ks").isNotNull()
+    joined = joined.withColumn("__all", F.when(hit, F.split(F.col(text), "\n"))).withColumn("__places", F.when(hit, F.transform(_lines(F.col(text)), lambda s: s["i"])))
+    removed = F.when(hit, F.array_sort(F.transform("ks", lambda k: F.get("__places", k)))).otherwise(F.array().cast("array<int>"))
+    joined = joined.withColumn("removed", removed)
     kept = F.array_except(F.sequence(F.lit(0), F.size("__all") - 1), "removed")
-    joined = joined.withColumn("__all", all_lines)
-    left = F.when(F.size("removed") == 0, F.col(text)).otherwise(F.array_join(F.transform(kept, lambda i: F.get("__all", i)), "\n"))
-    n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size("__all")).cast("long")
-    return joined.withColumns({"n_lines": n_lines, "n_removed": F.size("removed").cast("long")}).withColumn(text, left).select(*flat.columns, "n_lines", "n_removed", "removed")
+    left = F.when(hit, F.array_join(F.transform(kept, lambda i: F.get("__all", i)), "\n")).otherwise(F.col(text))
+    breaks = F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit("")))
+    n_lines = F.coalesce(breaks + 1, F.lit(0)).cast("long")
+    return joined.withColumns({"n_lines": n_lines, "n_removed": F.size("removed").cast("long"), text: left}).select(*flat.columns, "n_lines", "n_removed", "removed")
 
 
 def op2_lines(spark, sf_dir: str) -> DataFrame:
