@@ -30,7 +30,7 @@ def _parity(name: str, change, expected: str, mode: str = "local", title=None, p
     def run(spark, sf_dir: str) -> DataFrame:
         d = _d(spark, sf_dir)
         rows = d.select("doc_id", "title", change(F.col("text")).alias("raw"))
-        done = canon.canonical(rows, "raw", "canonical", mode, title)
+        done = canon.canonical(rows, "raw", "canonical", mode, None if title is None else F.col(title))
         return done.select("doc_id", canon.fingerprint(F.col("canonical")).alias("hash"))
 
     query(name, SQL + f"SELECT doc_id, {sha(f'concat({expected}, chr(10))')} AS hash FROM d")(run)
@@ -61,7 +61,7 @@ _parity("canon_fence_parity", _plus("\n```python\na = \\$1  \n\n\nb\n```   \n\n\
 _parity("canon_table_parity", _plus("\n<table><thead><tr><th>a &amp; b</th><th> c </th></tr></thead><tr><td>1</td><td>2\n3</td></tr></table>"), "text || " + _lit("\n| a & b | c |\n| --- | --- |\n| 1 | 2 3 |"))
 _parity("canon_table_bail_parity", _plus('\n<table><tr><td rowspan="2">a</td></tr></table>'), "text || " + _lit('\n<table><tr><td rowspan="2">a</td></tr></table>'))
 _parity("canon_separator_parity", _plus("\n|a|b|c|\n |:--|-:|  :-:|"), "text || " + _lit("\n|a|b|c|\n| :--- | ---: | :---: |"))
-_parity("canon_h1_parity", lambda t: F.concat(F.lit("  # "), F.col("title"), F.lit("  \n\n"), t), "text", title=F.col("title"))
+_parity("canon_h1_parity", lambda t: F.concat(F.lit("  # "), F.col("title"), F.lit("  \n\n"), t), "text", title="title")
 _parity("canon_rich_tag_parity", _plus('\n<callout icon="i">\nhidden <b>x</b>\n</callout><embed src="u"/><empty-block/>'), "text", mode="remote")
 _parity("canon_rich_tag_local", _plus('\n<callout icon="i">\nshown\n</callout>'), "text || " + _lit('\n<callout icon="i">\nshown\n</callout>'))
 _parity("canon_unknown_tag_parity", _plus('\n<frobnicator a="b">inner</frobnicator><x-y z/>\n<b>kept</b>'), "text || " + _lit("\n<b>kept</b>"), mode="remote")
@@ -75,7 +75,7 @@ _parity(
     ),
     "text || " + _lit("\n```\nselect \\$\n```\nhttps://x.com\n| 1 |\n| --- |"),
     mode="remote",
-    title=F.col("title"),
+    title="title",
 )
 
 
