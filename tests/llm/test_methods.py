@@ -216,3 +216,26 @@ def test_pipeline_stages_do_what_they_say(spark):
     counts = Counter(r.doc_id for r in mixed.collect())
     assert set(counts) <= set(range(40)) and max(counts.values()) <= 3
     assert stages["BPE"](spark, mixed, "").count() == sum(counts.values())
+
+
+def test_pages_have_the_language_of_their_paths(spark):
+    got = langid.pages_language(spark, SF)
+    paths = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", F.regexp_extract("url", "://[^/]*/(..)/", 1).alias("said"))
+    both = got.join(paths, "page_id")
+    assert both.where("said = lang_id").count() >= 0.95 * both.count()
+
+
+def test_pages_are_judged_by_markup_suffix_and_host(spark):
+    rows = [("the house is near the river and the town", "en", "h.uk", "uk")] * 5 + [("das haus ist nahe dem fluss und der stadt", "de", "h.de", "de")] * 5 + [("in", None, "h.uk", "uk"), ("in", None, "h.de", "de")]
+    df = spark.createDataFrame(rows, "text string, said string, host string, suffix string")
+    out = langid.identify(df, F.col("text"), F.col("said"), F.col("host"), F.col("suffix")).where("text = 'in'").collect()
+    assert {r.lang_id for r in out} == {"und"}  # two letters hold no trigram
+    longer = df.withColumn("text", F.concat("text", F.lit(" zqx")))
+    out = langid.identify(longer, F.col("text"), F.col("said"), F.col("host"), F.col("suffix")).where("text = 'in zqx'").collect()
+    assert {(r.host, r.lang_id) for r in out} == {("h.uk", "en"), ("h.de", "de")}
+
+
+def test_suffix(spark):
+    urls = ["https://a.b.DE/x.fr", "http://h.co.uk:80/", "ftp://localhost/a.es", "x.fr", None, "https://a.es?q=.de"]
+    df = spark.createDataFrame([(u,) for u in urls], "u string").select(langid.suffix_of(F.col("u")).alias("s"))
+    assert [r.s for r in df.collect()] == ["de", "uk", None, "fr", None, "es"]
