@@ -17,7 +17,8 @@ No machine holds the model. Texts are packed into blocks of bounded size. Each b
 it, once each: it sends sorted 64-bit hashes with its own training counts to shards by range of hash; a shard adds up
 and answers with the totals, so a frequent n-gram is one entry for each block, however often it occurs. Each block is
 thus joined with just the part of the automaton that its texts can reach. Shards grow in number with the input.
-(64-bit hashes: among 10^9 different n-grams the chance of any shared hash is 3 %; such a pair would add up its counts.)
+(Words have 64-bit hashes, bigrams 56-bit ones: two that share a hash add up their counts. Among 10^9 different words
+the chance of any such pair is 3 %; of 10^9 bigrams about 14 have a partner.)
 
 Rows whose id's CRC-32 (of its decimal text; null: of the empty text) is 1 modulo 5 are held out of training. Null texts
 count as empty: one token, the end. Repeated rows are separate texts. No training rows: N = V = 0, and all scores are
@@ -39,9 +40,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm.shared import materialize, pick
+from canopy.llm.shared import materialize, pick, release, small_batches
 
-BLOCK_TOKENS, SHARD_CHARS, CLASSES = 3_000_000, 4 << 20, 64
+BLOCK_TOKENS, SHARD_CHARS, CLASSES = 1_000_000, 8 << 20, 64
 END = np.uint64(0x9E3779B97F4A7C15)  # stands for the hash of the end, and of the begin as a context
 
 
@@ -59,13 +60,12 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _pack(x: np.ndarray) -> bytes:
-    """Sorted hashes as differences of six bytes if they fit."""
+    """Sorted hashes as differences, of as few bytes as the largest takes."""
     if not len(x):
         return b""
     d = np.diff(x, prepend=x[:1])
-    wide = bool((d >> np.uint64(48)).any())
-    body = d.astype("<u8").view(np.uint8).reshape(-1, 8)
-    return bytes([8 if wide else 6]) + int(x[0]).to_bytes(8, "little") + (body if wide else np.ascontiguousarray(body[:, :6])).tobytes()
+    n = max(1, (int(d.max()).bit_length() + 7) // 8)
+    return bytes([n]) + int(x[0]).to_bytes(8, "little") + np.ascontiguousarray(d.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n]).tobytes()
 
 
 def _unpack(b: bytes) -> np.ndarray:
@@ -89,6 +89,12 @@ def _large(b: bytes) -> np.ndarray:
     return np.frombuffer(pa.decompress(b[8:], 4 * n, codec="zstd", asbytes=True), "<u4") if n else np.zeros(0, "<u4")
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows one by one: a block is large."""
+    for i in range(batch.num_rows):
+        yield {name: batch.column(name)[i].as_py() for name in batch.schema.names}
+
+
 D_SCHEMA = "block string, doc_ids binary, nulls binary, lengths binary, hashes binary, tokens binary"
 
 
@@ -136,20 +142,22 @@ class _Block:
         self.nulls = np.frombuffer(row["nulls"], bool)
         self.lengths = _large(row["lengths"]).astype(np.int64) + 1
         words = _unpack(row["hashes"])
-        place = _large(row["tokens"]).astype(np.int64)
+        place = _large(row["tokens"])
         self.unigrams = np.unique(np.append(words, END))
         ends = np.cumsum(self.lengths) - 1
         total = int(self.lengths.sum())
         is_end = np.zeros(total, bool)
         is_end[ends] = True
-        self.token = np.full(total, np.searchsorted(self.unigrams, END))
-        self.token[~is_end] = np.searchsorted(self.unigrams, words)[place]
-        self.doc = np.repeat(np.arange(len(self.ids)), self.lengths)
+        self.token = np.full(total, np.searchsorted(self.unigrams, END), np.int32)
+        self.token[~is_end] = np.searchsorted(self.unigrams, words).astype(np.int32)[place]
         # the begin of a text, as a context, is the end of the text before
         self.context = np.concatenate((self.token[ends[-1:]], self.token[:-1]))
         self.held = np.array([held_out(None if null else int(i)) for i, null in zip(self.ids, self.nulls, strict=True)], bool)
-        self.train = ~self.held[self.doc]
-        self.bigrams, self.pair = np.unique(_mix(self.unigrams[self.context], self.unigrams[self.token]), return_inverse=True)
+        self.train = np.repeat(~self.held, self.lengths)
+        # 56 bits of a bigram's hash, kept at the top: they pack to fewer bytes
+        hashes = (_mix(self.unigrams[self.context], self.unigrams[self.token]) >> np.uint64(8)) << np.uint64(8)
+        self.bigrams, pair = np.unique(hashes, return_inverse=True)
+        self.pair = pair.astype(np.int32)
 
     def counts(self) -> tuple[np.ndarray, np.ndarray]:
         return (np.bincount(self.token[self.train], minlength=len(self.unigrams)), np.bincount(self.pair[self.train], minlength=len(self.bigrams)))
@@ -168,11 +176,11 @@ ASK = "shard int, block string, uh binary, uc binary, bh binary, bc binary"
 def _ask(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 b = _Block(row)
                 (uc, bc), ucut, bcut = b.counts(), _cuts(b.unigrams, shards), _cuts(b.bigrams, shards)
                 rows = [
-                    (s, row["block"], _pack(b.unigrams[u0:u1]), _small(uc[u0:u1]), _pack(b.bigrams[b0:b1]), _small(bc[b0:b1]))
+                    (s, row["block"], _pack(b.unigrams[u0:u1]), _small(uc[u0:u1]), _pack(b.bigrams[b0:b1] >> np.uint64(8)), _small(bc[b0:b1]))
                     for s, (u0, u1, b0, b1) in enumerate(zip(ucut, ucut[1:], bcut, bcut[1:], strict=False))
                     if u1 > u0 or b1 > b0
                 ]
@@ -230,7 +238,7 @@ def _novelty(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """By class of context frequency: training successors, and those seen once."""
     total = np.zeros((2, CLASSES), np.int64)
     for batch in batches:
-        for row in batch.to_pylist():
+        for row in _rows(batch):
             _, _, held, lengths, _, ch, chw = _counted(row)
             train = np.repeat(~held, lengths)
             kind = _class(ch[train])
@@ -248,15 +256,18 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``, see SCORES; base_score is that of P0 alone."""
+    small_batches(docs.sparkSession)
     source = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("long"), F.col("text").cast("string"))
     chars = source.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = 1 << max(0, math.ceil(math.log2(max(1, chars / SHARD_CHARS))))
     blocks = materialize(source.mapInArrow(_blocks, D_SCHEMA), "lm-blocks", "none")
     answers = materialize(blocks.mapInArrow(_ask(shards), ASK).groupBy("shard").applyInPandas(_answer, ANSWER), "lm-answers", "none")
+    release(docs.sparkSession)
     sums = answers.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n, v = sums["n"] or 0, sums["v"] or 0
     known = blocks.groupBy("block").cogroup(answers.select("block", "shard", "ut", "bt").groupBy("block")).applyInPandas(_join, KNOWN)
     known = materialize(known, "lm-known", "none")
+    release(docs.sparkSession)
     classes = known.mapInArrow(_novelty, "kind int, n long, once long").groupBy("kind").agg(F.sum("n").alias("n"), F.sum("once").alias("once")).collect()  # CLASSES rows
     leave = np.ones(CLASSES)
     for r in classes:
@@ -264,7 +275,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 ids, nulls, held, lengths, cw, ch, chw = _counted(row)
                 p0 = (cw + 0.5) / (n + 0.5 * (v + 1))
                 base = np.log10(p0)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,6 +62,21 @@ def drop_table(df: DataFrame) -> None:
     delete_path(df.sparkSession, df._canopy_path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop shuffle files of steps whose results are written: its cleaner acts when the driver collects garbage."""
+    for _ in range(2):  # the first round frees what this process holds in the JVM, the second what that held
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """At most a thousand rows go to a Python worker at once: whole texts in the default of ten thousand take much memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= 1000:
+        spark.conf.set(name, "1000")
+
+
 def pick(df: DataFrame, **cols: str) -> DataFrame:
     """``pick(df, id="doc_id")``: columns by exact name (the first of equal names) under new names.
 
