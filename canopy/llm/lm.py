@@ -209,25 +209,27 @@ def _answer(asked: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"shard": asked["shard"], "block": asked["block"], "ut": out["uh"], "bt": out["bh"], "n": np.where(first, n, 0), "v": np.where(first, v, 0)})
 
 
-KNOWN = "block string, doc_ids binary, nulls binary, lengths binary, cw binary, ch binary, chw binary"
+KNOWN = "block string, doc_ids binary, nulls binary, lengths binary, cw binary, chw binary"
 
 
 def _join(blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-    """For each token of a block: counts of the word, of its context and of both."""
+    """For each token of a block: counts of the word, and of it with its context."""
     if not len(blocks):
         return pd.DataFrame(columns=[x.split()[0] for x in KNOWN.split(", ")])
     row = blocks.iloc[0]
     b = _Block(row)
     answers = answers.sort_values("shard")
     unigrams, bigrams = (np.concatenate([_large(x) for x in answers[c]]) for c in ("ut", "bt"))
-    return pd.DataFrame([(row["block"], row["doc_ids"], row["nulls"], row["lengths"], _small(unigrams[b.token]), _small(unigrams[b.context]), _small(bigrams[b.pair]))], columns=[x.split()[0] for x in KNOWN.split(", ")])
+    return pd.DataFrame([(row["block"], row["doc_ids"], row["nulls"], row["lengths"], _small(unigrams[b.token]), _small(bigrams[b.pair]))], columns=[x.split()[0] for x in KNOWN.split(", ")])
 
 
 def _counted(row: dict):
     ids, nulls = np.frombuffer(row["doc_ids"], "<i8"), np.frombuffer(row["nulls"], bool)
     held = np.array([held_out(None if null else int(i)) for i, null in zip(ids, nulls, strict=True)], bool)
     lengths = _large(row["lengths"]).astype(np.int64) + 1
-    return ids, nulls, held, lengths, *(_large(row[c]).astype(np.int64) for c in ("cw", "ch", "chw"))
+    cw, chw = (_large(row[c]).astype(np.int64) for c in ("cw", "chw"))
+    ch = np.concatenate((cw[-1:], cw[:-1]))  # the context is the token before; the begin counts as often as the end
+    return ids, nulls, held, lengths, cw, ch, chw
 
 
 def _class(ch: np.ndarray) -> np.ndarray:
