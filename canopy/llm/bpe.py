@@ -26,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm.shared import pick
+from canopy.llm.shared import pick, small_batches
 
-#: Entries of each of a worker's three caches before it starts anew; bounds memory, never the result.
-CACHE_ENTRIES = 250_000
+#: Entries of each of the two generations of a worker's cache; bounds memory, never the result.
+CACHE_ENTRIES = 320_000
 
 LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 #: Python's split() takes these four for white space, Unicode and the tokenizers don't.
@@ -60,7 +60,7 @@ def inner_pairs(vocabulary: list[str], suffix: str) -> set[tuple[int, int]]:
 class Encoder:
     """A tokenizer behind a cache of fragments."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -78,9 +78,9 @@ class Encoder:
             if (kind[a] != kind[b] or kind[a] == "N") and chr(a) != "'" and (a, b) not in inner
         }
         self.names = {i: self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size())}
-        self.words: dict[str, tuple[bytes, str]] = {}
+        self.entries = entries
+        self.known: dict[str, tuple[bytes, str]] = {}  # words and fragments
         self.older: dict[str, tuple[bytes, str]] = {}
-        self.fragments: dict[str, tuple[bytes, str]] = {}
 
     def split(self, word: str) -> list[str]:
         """The fragments of a word without white space, ASCII ones in lower case."""
@@ -100,29 +100,31 @@ class Encoder:
         return [*parts, word[start:]]
 
     def learn(self, words: list[str]) -> None:
-        """Put these words into the cache."""
+        """Put these words and their fragments into the cache."""
+        known, older, names = self.known, self.older, self.names
         parts = [self.split(w) for w in words]
-        known = self.fragments
-        if len(known) > CACHE_ENTRIES:
-            known.clear()
-        new = list({p for ps in parts for p in ps if p not in known})
-        names = self.names
+        new = []
+        for p in {p for ps in parts for p in ps if p not in known}:
+            if p in older:
+                known[p] = older[p]
+            else:
+                new.append(p)
         for start in range(0, len(new), 20_000):
             some = new[start : start + 20_000]
-            for part, coded in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
+            for part, coded in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 ids = coded.ids
                 known[part] = (array("I", ids).tobytes() if LITTLE else b"".join(i.to_bytes(4, "little") for i in ids), " ".join([names[i] for i in ids]))
         for w, ps in zip(words, parts, strict=True):
             if len(ps) == 1:
-                self.words[w] = known[ps[0]]
+                known[w] = known[ps[0]]
             else:
                 got = [known[p] for p in ps]
-                self.words[w] = (b"".join([g[0] for g in got]), " ".join([g[1] for g in got if g[0]]))
+                known[w] = (b"".join([g[0] for g in got]), " ".join([g[1] for g in got if g[0]]))
 
     def encode(self, text: str) -> tuple[bytes, str]:
         """Ids as little-endian unsigned 32-bit integers, and the decoded text: the tokens joined by blanks."""
         words = text.split() if not SEPARATORS.search(text) else [w for w in BLANKS.split(text) if w]
-        known, older, unknown = self.words, self.older, []
+        known, older, unknown = self.known, self.older, []
         for w in set(words):
             if w not in known:
                 if w in older:
@@ -132,25 +134,31 @@ class Encoder:
         if unknown:
             self.learn(unknown)
         got = [known[w] for w in words]
-        if len(known) > CACHE_ENTRIES:  # what is used goes on from one generation to the next
-            self.older, self.words = known, {}
+        if len(known) > self.entries:  # what is used goes on from one generation to the next
+            self.older, self.known = known, {}
         return b"".join([g[0] for g in got]), " ".join([g[1] for g in got if g[0]])
 
+    def rest(self) -> None:
+        """Between tasks a worker holds no cache: the memory may be needed by other steps."""
+        self.known, self.older = {}, {}
+        pa.default_memory_pool().release_unused()
+
 
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def _encoder(path: str) -> Encoder:
+def _encoder(path: str, entries: int) -> Encoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
+    _ENCODERS[path].entries = entries
     return _ENCODERS[path]
 
 
-def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", digests_only: bool = False) -> DataFrame:
+def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", digests_only: bool = False, entries: int = CACHE_ENTRIES) -> DataFrame:
     """One row for each row of ``docs``: number of tokens, digests, and (unless ``digests_only``) ids and decoded text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _encoder(tokenizer_path)
+        coder = _encoder(tokenizer_path, entries)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             rows: list[list] = [[] for _ in range(6)]
@@ -169,7 +177,9 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
                     n = 4 if digests_only else 6
                     yield pa.RecordBatch.from_arrays([pa.array(r, k) if i else r.cast(k) for i, (r, k) in enumerate(zip(rows[:n], kinds[:n], strict=True))], names[:n])
                     rows, held, start = [[] for _ in range(6)], 0, at + 1
+        coder.rest()
 
+    small_batches(docs.sparkSession)
     source = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("long"), F.col("text").cast("string"))
     return source.mapInArrow(run, DIGESTS if digests_only else SCHEMA)
 
