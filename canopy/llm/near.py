@@ -11,11 +11,14 @@ the connected components of the verified links.
 
 Equal texts (after lower-casing and parting) are one node, so copies are never paired. No bucket is expanded into pairs:
 
-1. Every node of a bucket is paired with the bucket's least node alone. Verified links give first components.
-2. Buckets whose nodes then lie in one component are done. In the others the nodes of different components are paired
-   where their lengths allow the similarity and two sketches agree at least (a chance of 0.0002 to lose a pair at 0.8,
-   which other nodes of its class may link all the same). Buckets of more than ``BUCKET`` nodes are first divided by
-   their further agreements, sketch by sketch, which comes to the same.
+1. Every node of a bucket is verified against one node alone, the bucket's hub: the one that meets most other nodes in
+   all its buckets. Verified links give first components. A group of copies of one text meets in that text.
+2. Buckets whose nodes then lie in one component are done. For the nodes of the others an exact prefix filter follows:
+   under any fixed order of shingles, two texts at 0.8 share one of the first 20 % (and one) of each. The order is by
+   frequency among these nodes, rare ones first, as counted in a table of fixed size (collisions change the order, not
+   the result); shingles that no other node has are left out, and the place of a shingle bounds the lengths of the
+   texts that can meet there. So texts that share a passage or an origin but not enough of it hardly ever meet. Nodes that share such a shingle are verified against a hub again, and what then still lies
+   in several components is paired between these.
 
 Nulls count as empty texts; all empty texts are one class. Rows with equal ids share nothing but the id. Very long
 texts are taken whole. An empty table gives an empty result. Other columns are ignored.
@@ -33,10 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm.shared import materialize, pick
+from canopy.llm.shared import materialize, pick, small_batches
 from canopy.llm.urls import BLOCK, _places, bloom
 
-WORDS, SKETCHES, TUPLE, SIMILAR, BUCKET = 5, 16, 3, 0.8, 1000
+WORDS, SKETCHES, TUPLE, SIMILAR = 5, 16, 3, 0.8
+#: Counters of shingle frequencies are twice the shingles to count, up to this bound; and how many travel together.
+MOST_COUNTERS, PIECE = 1 << 24, 1 << 15
 MOST = np.uint64(2**64 - 1)
 SEEDS = np.random.default_rng(20240229).integers(1, 2**63, SKETCHES, dtype=np.uint64)
 
@@ -202,23 +207,111 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
-def _pairs(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one bucket between components that lengths and two agreeing sketches allow."""
-    n, comp = rows["n"].to_numpy(), pd.factorize(rows["comp"])[0]
-    sketch, keys = np.stack(rows["sketch"].to_list()), rows["key"].to_numpy()
-    order = np.argsort(n, kind="stable")
-    a, b = [], []
-    for x, i in enumerate(order):
-        reach = np.searchsorted(n[order], n[i] / SIMILAR + 1e-9, side="right")
-        for lo in range(x + 1, reach, 4096):
-            js = order[lo : min(lo + 4096, reach)]
-            js = js[comp[js] != comp[i]]
-            js = js[(sketch[js] == sketch[i]).sum(axis=1) >= 2]
-            a += [keys[i]] * len(js)
-            b += keys[js].tolist()
-    lo = [min(x, y) for x, y in zip(a, b, strict=True)]
-    hi = [max(x, y) for x, y in zip(a, b, strict=True)]
-    return pd.DataFrame({"a": hi, "b": lo})
+def _group_pairs(rows: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
+    """Pairs of one group (bucket, n, key, comp, most; by n) between components, as far as ``n`` and ``most`` allow."""
+    if len(rows) < 50:
+        for i, (_, n, key, comp, most) in enumerate(rows):
+            for _, m, other, of, reach in rows[i + 1 :]:
+                if m > most:
+                    break
+                if of != comp and reach >= n:
+                    yield key, other
+        return
+    _, n, keys, comps, most = zip(*rows, strict=True)
+    n, most, comp = np.array(n), np.array(most), pd.factorize(np.array(comps, dtype=object))[0]
+    for i in range(len(n)):
+        js = np.arange(i + 1, np.searchsorted(n, most[i], side="right"))
+        for j in js[(comp[js] != comp[i]) & (most[js] >= n[i])]:
+            yield keys[i], keys[j]
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by bucket and n, the pairs of each bucket. One bucket is held at a time."""
+    from itertools import chain, groupby
+    from operator import itemgetter
+
+    rows = chain.from_iterable(zip(*[c.to_pylist() for c in b.columns], strict=True) for b in batches)
+    left, right = [], []
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
+
+    for _, group in groupby(rows, itemgetter(0)):
+        for x, y in _group_pairs(list(group)):
+            left.append(max(x, y))
+            right.append(min(x, y))
+            if len(left) == 100_000:
+                yield out()
+                left, right = [], []
+    yield out()
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray]]:
+    for batch in batches:
+        for i, x in enumerate(batch.column("shingles")):
+            yield batch, i, np.frombuffer(x.as_buffer(), "<u8")
+
+
+def frequencies(texts: DataFrame, shingles: int) -> np.ndarray:
+    """Counts of hashed shingles over ``texts(shingles)``, about ``shingles`` in all, each up to 255."""
+    counters = min(MOST_COUNTERS, max(PIECE, 1 << (2 * shingles).bit_length()))
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(counters, np.uint32)
+        for _, _, x in _tokens(batches):
+            np.add.at(total, (x % np.uint64(counters)).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        cut = np.searchsorted(at, np.arange(0, counters + 1, PIECE))
+        rows = [(i, at[lo:hi].astype("<u4").tobytes(), total[at[lo:hi]].astype("<u4").tobytes()) for i, (lo, hi) in enumerate(zip(cut, cut[1:], strict=False)) if hi > lo]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["piece", "at", "n"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                one = held.setdefault(r["piece"], np.zeros(PIECE, np.uint32))
+                one[np.frombuffer(r["at"], "<u4") - r["piece"] * PIECE] += np.frombuffer(r["n"], "<u4")
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([np.minimum(v, 255).astype(np.uint8).tobytes() for v in held.values()], pa.binary())], ["piece", "n"])
+
+    merged = texts.select("shingles").mapInArrow(part, "piece int, at binary, n binary").repartition("piece").mapInArrow(merge, "piece int, n binary")
+    out = np.zeros(counters, np.uint8)
+    for r in merged.collect():  # MOST_COUNTERS bytes at most
+        out[r["piece"] * PIECE : (r["piece"] + 1) * PIECE] = np.frombuffer(r["n"], np.uint8)
+    return out
+
+
+def _prefix(counts):
+    """Of each text the shingles of its prefix that another text may have, and how long that text may be at most.
+
+    If two texts first meet at place p of one of n shingles, they share n - p at most; that bounds the other's length.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = counts.value
+        token, most, places, last = [], [], [], None
+        for batch, i, x in _tokens(batches):
+            if batch is not last:
+                if last is not None:
+                    yield _chosen(last, token, most, places)
+                token, most, places, last = [], [], [], batch
+            many = often[(x % np.uint64(len(often))).astype(np.int64)]
+            length = min(len(x), len(x) - int(np.ceil(SIMILAR * len(x) - 1e-9)) + 1)
+            first = np.lexsort((x, many))[:length]
+            longest = np.minimum((len(x) - np.arange(length)) * (1 + SIMILAR) / SIMILAR - len(x), len(x) / SIMILAR)
+            good = (many[first] > 1) & (longest >= SIMILAR * len(x) - 1e-9)
+            token.append(x[first[good]])
+            most.append(np.floor(longest[good] + 1e-9).astype(np.int64))
+            places.append(np.full(int(good.sum()), i))
+        if last is not None:
+            yield _chosen(last, token, most, places)
+
+    return run
+
+
+def _chosen(batch: pa.RecordBatch, token: list, most: list, places: list) -> pa.RecordBatch:
+    at = pa.array(np.concatenate(places))
+    tokens = pa.array(np.concatenate(token).view(np.int64))
+    return pa.RecordBatch.from_arrays([tokens, *(batch.column(c).take(at) for c in ("key", "comp", "n")), pa.array(np.concatenate(most))], ["bucket", "key", "comp", "n", "most"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -242,15 +335,15 @@ def components(links: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id (the least id of its class), class_size, n_links (verified links of its text), for each row."""
     spark = docs.sparkSession
+    small_batches(spark)
     source = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("long"), F.col("text").cast("string"))
     rows = materialize(source.mapInArrow(_sketch, SKETCHED), "sketched")
     nodes = rows.where("n is not null").groupBy("key").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     nodes = materialize(nodes, "nodes")
     spots = nodes.select("key", F.posexplode("sketch").alias("j", "v")).select("key", F.xxhash64("j", "v").alias("bucket"))
-    heads = spots.groupBy("bucket").agg(F.min("key").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    placed = materialize(spots.join(heads, "bucket").select("bucket", "key", "head", "size"), "buckets")
-    first = placed.where("key != head").select(F.col("key").alias("a"), F.col("head").alias("b")).distinct()
-    first = materialize(first, "pairs")
+    shared = spots.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    placed = materialize(spots.join(shared, "bucket").select("bucket", "key", "size"), "buckets")
+    first = _to_hubs(placed)
     needed = first.select("a").union(first.select("b")).distinct()
     count = needed.count()
     if not count:
@@ -270,9 +363,19 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
         links = verified(first)
         comp = components(links)
-        more = verified(_residual(placed, nodes, comp))
+        left = _mixed(placed, comp)
+        tokens = _shared_tokens(left.select("key", "comp").distinct(), nodes, texts)
+        sizes = tokens.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi")
+        again = materialize(tokens.join(sizes, "bucket").select("bucket", "key", "n", "most", "size"), "tokens")
+        more = verified(_to_hubs(again, bounded=True))
         links = links.unionByName(more).distinct()
         comp = components(links)
+        rest = _mixed(again, comp).select("bucket", "n", "key", "comp", "most").repartition("bucket").sortWithinPartitions("bucket", "n")
+        rest = rest.mapInArrow(_pairs, "a binary, b binary").distinct()
+        more = verified(materialize(rest, "pairs"))
+        if more.limit(1).count():
+            links = materialize(links.unionByName(more).distinct(), "links")
+            comp = components(links)
     degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("dk")).agg(F.count(F.lit(1)).alias("n_links"))
     by_key = rows.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
     comp = comp.select(F.col("key").alias("ck"), "comp")
@@ -295,28 +398,33 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return stored.join(best, F.col("row") == F.col("kept"), "left_semi").select(*flat.columns).toDF(*names)
 
 
-def _residual(placed: DataFrame, nodes: DataFrame, comp: DataFrame) -> DataFrame:
-    """Pairs still to verify in buckets that hold several components."""
+def _to_hubs(placed: DataFrame, bounded: bool = False) -> DataFrame:
+    """Pairs of each node of ``placed(bucket, key, size)`` with the hub of its bucket, once each; ``bounded``: by n and most."""
+    degree = placed.select("key", "size").groupBy("key").agg(F.sum("size").alias("degree")).withColumnRenamed("key", "dk")
+    own = ["n", "most"] if bounded else []
+    hub = F.max(F.struct("degree", "key", *own)).alias("hub")
+    hubs = placed.join(degree, F.col("key") == F.col("dk")).groupBy("bucket").agg(hub).select(F.col("bucket").alias("hb"), "hub")
+    pairs = placed.join(hubs, F.col("bucket") == F.col("hb")).where("key != hub.key")
+    if bounded:
+        pairs = pairs.where("n <= hub.most AND hub.n <= most")
+    return materialize(pairs.select(F.greatest("key", "hub.key").alias("a"), F.least("key", "hub.key").alias("b")).distinct(), "pairs")
+
+
+def _mixed(placed: DataFrame, comp: DataFrame) -> DataFrame:
+    """Rows of ``placed`` in buckets of several components, plus comp."""
     owner = comp.select(F.col("key").alias("ck"), "comp")
-    of = placed.join(owner, F.col("key") == F.col("ck"), "left").select("bucket", "key", F.coalesce("comp", "key").alias("comp"))
-    of = materialize(of, "owned")
-    out = None
-    for level in range(3):
-        mixed = of.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo != hi")
-        mixed = materialize(mixed.select(F.col("bucket").alias("mb"), "size"), "mixed")
-        open_ = of.join(mixed, F.col("bucket") == F.col("mb"))
-        data = nodes.select(F.col("key").alias("nk"), "n", "sketch")
-        small = open_.where(F.col("size") <= BUCKET) if level < 2 else open_
-        pairs = small.join(data, F.col("key") == F.col("nk")).select("bucket", "key", "comp", "n", "sketch").groupBy("bucket").applyInPandas(_pairs, "a binary, b binary")
-        out = pairs if out is None else out.unionByName(pairs)
-        if level == 2 or not mixed.where(F.col("size") > BUCKET).limit(1).count():
-            break
-        large = open_.where(F.col("size") > BUCKET).join(data, F.col("key") == F.col("nk"))
-        of = large.select("bucket", "key", "comp", F.posexplode("sketch").alias("j", "v")).select(F.xxhash64("bucket", "j", "v").alias("next"), "key", "comp", "bucket")
-        # the sketch that made the bucket is shared by all its nodes and would give the same bucket again
-        whole = of.groupBy("next").agg(F.count(F.lit(1)).alias("m"), F.first("bucket").alias("b")).join(mixed, F.col("b") == F.col("mb")).where("m < size").select(F.col("next").alias("nx"))
-        of = materialize(of.join(whole, F.col("next") == F.col("nx")).select(F.col("next").alias("bucket"), "key", "comp"), "owned")
-    return materialize(out.distinct(), "pairs")
+    of = materialize(placed.join(owner, F.col("key") == F.col("ck"), "left").withColumn("comp", F.coalesce("comp", "key")).drop("ck"), "owned")
+    mixed = of.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select(F.col("bucket").alias("mb"))
+    return of.join(mixed, F.col("bucket") == F.col("mb"), "left_semi")
+
+
+def _shared_tokens(keys: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """bucket (a shingle), key, comp, n: prefix shingles of the nodes ``keys(key, comp)`` that several of them may have."""
+    sized = keys.join(nodes.select(F.col("key").alias("nk"), "n"), F.col("key") == F.col("nk")).join(texts, F.col("key") == F.col("k")).select("key", "comp", "n", "shingles")
+    sized = materialize(sized, "residual", "none")
+    total = sized.agg(F.sum("n")).first()[0] or 0
+    counts = keys.sparkSession.sparkContext.broadcast(frequencies(sized, total))
+    return materialize(sized.mapInArrow(_prefix(counts), "bucket long, key binary, comp binary, n long, most long"), "tokens")
 
 
 def op10_near(spark, sf_dir: str) -> DataFrame:
