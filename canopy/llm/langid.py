@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm.shared import materialize
+from canopy.llm.shared import materialize, small_batches
 
 LANGUAGES = ("de", "en", "es", "fr")
 BUCKETS = 1 << 16
@@ -39,7 +39,7 @@ for _b in range(256):
         _FOLD[_b] = ord(chr(_b).lower())
     elif _b >= 128:
         _FOLD[_b] = _b
-PIECE = 2 << 20
+PIECE = 256 << 10
 
 
 def _trigrams(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -122,6 +122,7 @@ def identify(
 ) -> DataFrame:
     """``rows`` plus lang_id, lang_prob and lang_ok. The evidence is given as columns over ``rows``; their types are string."""
     spark = rows.sparkSession
+    small_batches(spark)
     none = F.lit(None).cast("string")
     declared, host, suffix = (none if c is None else c for c in (declared, host, suffix))
     declared = F.lower(F.substring(declared, 1, 2))
