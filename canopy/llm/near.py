@@ -256,14 +256,22 @@ def frequencies(texts: DataFrame, shingles: int) -> np.ndarray:
     """Counts of hashed shingles over ``texts(shingles)``, about ``shingles`` in all, each up to 255."""
     counters = min(MOST_COUNTERS, max(PIECE, 1 << (2 * shingles).bit_length()))
 
+    def counted(places: list[np.ndarray]) -> pa.RecordBatch:
+        at, n = np.unique(np.concatenate(places), return_counts=True)
+        cut = np.searchsorted(at, np.arange(0, counters + 1, PIECE))
+        rows = [(i, at[lo:hi].astype("<u4").tobytes(), n[lo:hi].astype("<u4").tobytes()) for i, (lo, hi) in enumerate(zip(cut, cut[1:], strict=False)) if hi > lo]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["piece", "at", "n"])
+
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(counters, np.uint32)
+        held, size = [], 0
         for _, _, x in _tokens(batches):
-            np.add.at(total, (x % np.uint64(counters)).astype(np.int64), 1)
-        at = np.flatnonzero(total)
-        cut = np.searchsorted(at, np.arange(0, counters + 1, PIECE))
-        rows = [(i, at[lo:hi].astype("<u4").tobytes(), total[at[lo:hi]].astype("<u4").tobytes()) for i, (lo, hi) in enumerate(zip(cut, cut[1:], strict=False)) if hi > lo]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["piece", "at", "n"])
+            held.append((x % np.uint64(counters)).astype(np.uint32))
+            size += len(x)
+            if size > 1_000_000:
+                yield counted(held)
+                held, size = [], 0
+        if held:
+            yield counted(held)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}

@@ -71,10 +71,10 @@ def release(spark: SparkSession) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """At most a thousand rows go to a Python worker at once: whole texts in the default of ten thousand take much memory."""
+    """At most 256 rows go to a Python worker at once: whole texts in the default of ten thousand take much memory."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= 1000:
-        spark.conf.set(name, "1000")
+    if not 0 < int(spark.conf.get(name)) <= 256:
+        spark.conf.set(name, "256")
 
 
 def pick(df: DataFrame, **cols: str) -> DataFrame:
