@@ -32,8 +32,11 @@ BINS, LEVELS = 1024, 2
 
 def word_count(text):
     """Number of runs of characters other than blank and U+0009 to U+000D; null: 0."""
-    text = F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     ")
-    return F.size(F.array_remove(F.split(text, " "), "")).cast("long")
+    text = F.replace(F.coalesce(text, F.lit("")), F.lit("\n"), F.lit(" "))
+    text = F.when(text.rlike("[\t\x0b\x0c\r]"), F.translate(text, "\t\x0b\x0c\r", "    ")).otherwise(text)
+    single = F.trim(F.when(F.contains(text, F.lit("  ")), F.regexp_replace(text, " +", " ")).otherwise(text))
+    blanks = F.length(single) - F.length(F.replace(single, F.lit(" "), F.lit("")))
+    return F.when(single == "", 0).otherwise(blanks + 1).cast("long")
 
 
 def targets(sizes: DataFrame, weights: list[int], most: int) -> DataFrame:

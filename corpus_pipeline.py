@@ -15,6 +15,8 @@ from canopy.llm import bpe, langid, lines, mixing, near
 from canopy.llm.shared import materialize
 
 WEIGHTS = [1, 2, 3]
+#: Of the encoder's cache; smaller than alone, since executors have other stages' memory still.
+CACHE_ENTRIES = 60_000
 
 
 def language_id(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +47,7 @@ def mix_sources(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), digests_only=True)
+    return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), digests_only=True, entries=CACHE_ENTRIES)
 
 
 STAGES = [
