@@ -10,8 +10,10 @@ is dropped.
 A repeated run counts from ``least_words`` words. For every suffix the shortest such prefix is known (l lines, at most
 one for each word), and the suffixes that share it are an interval by the pair of ranks (h lines at the place, h lines
 ending l lines on, h the power of two below). Within an interval the first place in the order of (id, row, line) stays
-and the prefix is deleted at all others. Longer common prefixes are unions of these, so all maximal repeated runs but
-their first copies go, and doubling ends where h reaches the longest shortest prefix.
+and the prefix is deleted at all others. That leaves the lines of a longer run that come after its last whole prefix.
+With ``whole_runs`` the shortest runs of enough words that end at each line are looked up likewise: a line of a maximal
+repeated run is in a prefix or ends such a run, so all maximal repeated runs but their first copies go. Both have at most
+one line for each word, so doubling ends where h reaches the longest of them. OP2_SQL states the prefixes alone.
 
 Repeats within a text count as well. Blank lines stay. Null texts stay null; a text can become empty and stays a row.
 Rows with equal ids (or null, which comes last) are in the order of their reading. Lines of any length are hashed whole;
@@ -48,7 +50,19 @@ def _doubled(ranks: DataFrame, h: int) -> DataFrame:
     return materialize(pairs.join(placed, (F.col("r") == F.col("p")) & (F.col("r2") == F.col("q"))).select("doc", "k", F.col("rank").alias("r")), "suffixes")
 
 
-def repeats(docs: DataFrame, least_words: int) -> DataFrame:
+def _shortest(run: DataFrame, least_words: int, back: bool = False) -> DataFrame:
+    """``doc, id, k, l``: the shortest runs of enough words from each line on; ``back``: those up to each line that are no such prefix."""
+    order = F.col("k").desc() if back else F.col("k")
+    near = Window.partitionBy("doc", "run").orderBy(order).rowsBetween(0, least_words - 1)
+    sums = F.aggregate("ws", F.struct(F.lit(0).alias("n"), F.lit(0).alias("sum")), lambda a, w: F.when(a["sum"] >= least_words, a).otherwise(F.struct((a["n"] + 1).alias("n"), (a["sum"] + w).alias("sum"))))
+    out = run.withColumn("ws", F.collect_list("w").over(near)).select("doc", "id", "k", "w", sums.alias("a")).where(F.col("a.sum") >= least_words)
+    if not back:
+        return out.select("doc", "id", "k", F.col("a.n").alias("l"))
+    full = F.col("a.sum") - F.col("w") >= least_words  # enough without the last line: no shortest prefix
+    return out.where(full).select("doc", "id", (F.col("k") - F.col("a.n") + 1).alias("k"), F.col("a.n").alias("l"))
+
+
+def repeats(docs: DataFrame, least_words: int, whole_runs: bool = False) -> DataFrame:
     """``docs(doc, id, text)`` with unique doc: doc and ks, the places (among lines that are not blank) of lines to delete."""
     words = F.length("x") - F.length(F.replace(F.col("x"), F.lit(" "), F.lit(""))) + 1
     lines = docs.select("doc", F.coalesce("id", F.lit(LAST)).alias("id"), F.posexplode(_lines(F.col("text"))).alias("k", "s"))
@@ -60,11 +74,10 @@ def repeats(docs: DataFrame, least_words: int) -> DataFrame:
     # the shortest prefix of enough words, inside the run of neighbouring repeated lines
     in_doc = Window.partitionBy("doc").orderBy("k")
     run = at.withColumn("run", F.col("k") - F.row_number().over(in_doc))
-    ahead = Window.partitionBy("doc", "run").orderBy("k").rowsBetween(0, least_words - 1)
-    run = run.withColumn("ws", F.collect_list("w").over(ahead))
-    sums = F.aggregate("ws", F.struct(F.lit(0).alias("n"), F.lit(0).alias("sum")), lambda a, w: F.when(a["sum"] >= least_words, a).otherwise(F.struct((a["n"] + 1).alias("n"), (a["sum"] + w).alias("sum"))))
-    run = run.select("doc", "id", "k", sums.alias("a")).where(F.col("a.sum") >= least_words).select("doc", "id", "k", F.col("a.n").alias("l"))
-    starts = materialize(run, "starts")
+    starts = _shortest(run, least_words)
+    if whole_runs:
+        starts = starts.unionByName(_shortest(run, least_words, back=True))
+    starts = materialize(starts, "starts")
     longest = starts.agg(F.max("l")).first()[0] or 0
     ranks, h, found = at.select("doc", "k", "r"), 1, None
     while h <= longest:
@@ -91,16 +104,17 @@ def repeats(docs: DataFrame, least_words: int) -> DataFrame:
     return gone.groupBy("doc").agg(F.collect_set("k").alias("ks"))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, whole_runs: bool = False) -> DataFrame:
     """``docs`` by position (c0, c1, ...), its text without the deleted lines, plus n_lines, n_removed and removed.
 
-    removed: the places of deleted lines among all lines of the text, in order.
+    removed: the places of deleted lines among all lines of the text, in order. ``whole_runs``: all lines of maximal
+    repeated runs, else those in shortest prefixes.
     """
     names = docs.columns
     flat = docs.toDF(*[f"c{i}" for i in range(len(names))])
     text = f"c{names.index(text_col)}"
     stored = materialize(flat.withColumn("doc", F.monotonically_increasing_id()), "documents")
-    gone = repeats(stored.select("doc", F.col(f"c{names.index(id_col)}").cast("long").alias("id"), F.col(text).cast("string").alias("text")), least_words)
+    gone = repeats(stored.select("doc", F.col(f"c{names.index(id_col)}").cast("long").alias("id"), F.col(text).cast("string").alias("text")), least_words, whole_runs)
     gone = gone.select(F.col("doc").alias("gd"), "ks")
     joined = stored.join(gone, F.col("doc") == F.col("gd"), "left")
     # texts that lose nothing are passed on unparsed

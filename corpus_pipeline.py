@@ -26,7 +26,7 @@ def language_id(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     names = docs.columns
-    out = lines.dedup(docs).drop("n_lines", "n_removed", "removed")
+    out = lines.dedup(docs, whole_runs=True).drop("n_lines", "n_removed", "removed")
     if "n_chars" in names:
         chars = f"c{names.index('n_chars')}"
         out = out.withColumn(chars, F.length(f"c{names.index('text')}").cast(docs.schema[names.index("n_chars")].dataType))
