@@ -10,8 +10,12 @@ The posterior of a language is proportional to the product of
 * the prior of the host, smoothed hierarchically: counts of a host are smoothed by those of its suffix, these by those
   of all rows (``PRIOR_WEIGHT`` pseudo-counts each). The counts are of languages by text alone, in grouped aggregates.
 
+A further class stands for text of no language of the model: its trigrams are drawn evenly from all buckets, and its
+prior is ``OTHER``. So languages that were not trained and letters at random are rejected as ``und``, the surer the
+larger the training text; texts that mix languages of the model stay with the likeliest. A few trigrams say little.
+
 Missing evidence (null or unknown declared language, suffix or host) counts as none. Rows whose text is null or has
-no three letters in a row have language ``und`` and are rejected; so are rows whose language is not among ``accept``
+no three letters in a row, or in which the further class is likeliest, have language ``und`` and are rejected; so are rows whose language is not among ``accept``
 or whose posterior is below ``least``. Repeated rows repeat; very long texts are taken whole, in pieces of bounded
 size. An empty table gives an empty result. Further columns are carried by position, so their names can't clash.
 """
@@ -30,6 +34,8 @@ from canopy.llm.shared import materialize, small_batches
 LANGUAGES = ("de", "en", "es", "fr")
 BUCKETS = 1 << 16
 DECLARED_RIGHT, SUFFIX_RIGHT, PRIOR_WEIGHT = 0.9, 0.8, 20.0
+#: The prior of text in no language of the model.
+OTHER = 0.1
 #: Suffixes that stand for one language.
 SUFFIXES = {"de": "de", "at": "de", "uk": "en", "us": "en", "ie": "en", "es": "es", "mx": "es", "ar": "es", "fr": "fr"}
 
@@ -71,7 +77,7 @@ def _trigrams(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def train(docs: DataFrame) -> np.ndarray:
-    """Log-probabilities, languages x BUCKETS, from ``docs(text, declared)``: every row with a declared language of the model."""
+    """Log-probabilities, languages and the further class x BUCKETS, from ``docs(text, declared)``: every row with a declared language of the model."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(LANGUAGES), BUCKETS), np.int64)
@@ -88,15 +94,16 @@ def train(docs: DataFrame) -> np.ndarray:
     model = np.full((len(LANGUAGES), BUCKETS), 0.5)
     got = counted.toPandas()  # languages x BUCKETS rows at most
     model[got["lang"].to_numpy(np.int64), got["bucket"].to_numpy(np.int64)] += got["n"].to_numpy(np.float64)
-    return np.log(model / model.sum(axis=1, keepdims=True))
+    model /= model.sum(axis=1, keepdims=True)
+    return np.log(np.vstack((model, np.full(BUCKETS, 1 / BUCKETS))))
 
 
 def text_likelihood(text: Column, model) -> Column:
-    """array<double>: number of trigrams, then the log-likelihood under each language. ``model``: a broadcast of train()."""
+    """array<double>: number of trigrams, then the log-likelihood under each class. ``model``: a broadcast of train()."""
 
     @F.arrow_udf("array<double>")
     def run(texts: pa.Array) -> pa.Array:
-        out = np.zeros((len(texts), 1 + len(LANGUAGES)))
+        out = np.zeros((len(texts), 1 + len(model.value)))
         for rows, bucket in _trigrams(texts):
             out[:, 0] += np.bincount(rows, minlength=len(texts))
             for i, logs in enumerate(model.value):
@@ -161,12 +168,14 @@ def identify(
         said = F.when(F.col("__declared").isin(*LANGUAGES), F.when(F.col("__declared") == lang, float(np.log(DECLARED_RIGHT))).otherwise(float(np.log(wrong_declared)))).otherwise(0.0)
         tld = F.when(implied.isNotNull(), F.when(implied == lang, float(np.log(SUFFIX_RIGHT))).otherwise(float(np.log(wrong_suffix)))).otherwise(0.0)
         logs.append(likely[i] + said + tld + F.coalesce(F.col(f"q{i}"), F.lit(float(np.log(overall[i])))))
+    logs = [x + float(np.log(1 - OTHER)) for x in logs]
+    logs.append(F.col("__ll")[n + 1] / 3 + float(np.log(OTHER)))
     joined = joined.select(*[F.col(c) for c in scored.columns if not c.startswith("__")], (F.col("__ll")[0] > 0).alias("__any"), F.array(*logs).alias("__logs"))
     best = F.array_max("__logs")
-    name = F.element_at(F.array(*[F.lit(x) for x in LANGUAGES]), F.array_position("__logs", best).cast("int"))
+    name = F.element_at(F.array(*[F.lit(x) for x in (*LANGUAGES, "und")]), F.array_position("__logs", best).cast("int"))
     share = 1 / F.aggregate("__logs", F.lit(0.0), lambda a, x: a + F.exp(x - best))
     lang = F.when(F.col("__any"), name).otherwise(F.lit("und"))
-    prob = F.when(F.col("__any"), share).otherwise(F.lit(0.0))
+    prob = F.when(F.col("__any") & (lang != "und"), share).otherwise(F.lit(0.0))
     return joined.withColumns({"lang_id": lang, "lang_prob": prob}).withColumn("lang_ok", F.col("lang_id").isin(*accept) & (F.col("lang_prob") >= least)).drop("__any", "__logs")
 
 

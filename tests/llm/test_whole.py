@@ -6,7 +6,10 @@ from collections import defaultdict
 import pytest
 
 import corpus_pipeline
-from canopy.llm import lines
+from canopy.llm import langid, lines
+
+
+SF = "/root/testdata/sf0.01"
 
 
 def brute_runs(rows, least):
@@ -39,3 +42,20 @@ def test_pipeline_deletes_the_short_last_lines_of_a_run(spark):
     docs = spark.createDataFrame([(1, f"one\n{run}\nmore"), (2, f"two\n{run}\nelse"), (3, run)], "doc_id long, text string")
     out = corpus_pipeline.line_dedup(spark, docs, "").collect()
     assert {r.doc_id: r.text for r in out} == {1: f"one\n{run}\nmore", 2: "two\nelse", 3: ""}
+
+
+def test_other_languages_and_junk_are_rejected(spark):
+    rnd = random.Random(2)
+    junk = " ".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(3, 9))) for _ in range(40))
+    other = [
+        "la casa si trova vicino al fiume e la citt\u00e0 \u00e8 molto bella quando il sole scende dietro le montagne e gli uccelli cantano",
+        "\u0434\u043e\u043c \u0441\u0442\u043e\u0438\u0442 \u0440\u044f\u0434\u043e\u043c \u0441 \u0440\u0435\u043a\u043e\u0439 \u0438 \u0433\u043e\u0440\u043e\u0434 \u043e\u0447\u0435\u043d\u044c \u043a\u0440\u0430\u0441\u0438\u0432\u044b\u0439 \u043a\u043e\u0433\u0434\u0430 \u0441\u043e\u043b\u043d\u0446\u0435 \u0441\u0430\u0434\u0438\u0442\u0441\u044f",
+        "\u623f\u5b50\u5728\u6cb3\u8fb9\u57ce\u5e02\u5f88\u7f8e\u4e3d\u592a\u9633\u4e0b\u5c71\u7684\u65f6\u5019\u9e1f\u513f\u5728\u5531\u6b4c",
+        junk,
+    ]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("text", "lang", "source")
+    more = spark.createDataFrame([(t, None, None) for t in other], "text string, lang string, source string")
+    out = langid.identify_documents(docs.unionByName(more))
+    assert {(r.lang_id, r.lang_ok) for r in out.where(out.c0.isin(other)).collect()} == {("und", False)}
+    known = out.where("c1 IS NOT NULL")
+    assert known.where("lang_ok AND lang_id = c1").count() == known.count() == docs.count()
