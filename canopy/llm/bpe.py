@@ -83,15 +83,15 @@ class Encoder:
         self.older: dict[str, tuple[bytes, str]] = {}
 
     def split(self, word: str) -> list[str]:
-        """The fragments of a word without white space, ASCII ones in lower case."""
+        """The fragments of a word without white space, ASCII ones in lower case but for those that may hold a special token."""
+        if any(s in word for s in self.special):  # the library finds special tokens before it lower-cases
+            return [word]
         if word.isascii():
             word = word.lower()
         if word.isalpha():
             return [word]
         if word[:-1].isalpha() and word[-2:] in self.cut:
             return [word[:-1], word[-1]]
-        if any(s in word for s in self.special):
-            return [word]
         parts, start = [], 0
         for i in range(1, len(word)):
             if word[i - 1 : i + 1] in self.cut:

@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 
 import corpus_pipeline
-from canopy.llm import langid, lines
+from canopy.llm import bpe, langid, lines
 
 
 SF = "/root/testdata/sf0.01"
@@ -59,3 +59,18 @@ def test_other_languages_and_junk_are_rejected(spark):
     assert {(r.lang_id, r.lang_ok) for r in out.where(out.c0.isin(other)).collect()} == {("und", False)}
     known = out.where("c1 IS NOT NULL")
     assert known.where("lang_ok AND lang_id = c1").count() == known.count() == docs.count()
+
+
+def test_bpe_special_tokens_in_any_case():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, ours = Tokenizer.from_file(path), bpe.Encoder(path)
+    rnd = random.Random(7)
+    some = ["<|endoftext|>", "<|ENDOFTEXT|>", "a<|EndOfText|>b", "<|StartOfText|>", "<|STARTOFTEXT|>", "<|", "|>", "Word", "X<|Y", "\u00c9", " ", "9"]
+    for text in [*some, *("".join(rnd.choices(some, k=rnd.randint(1, 6))) for _ in range(1000))]:
+        raw, decoded = ours.encode(text)
+        ids = plain.encode(text, add_special_tokens=False).ids
+        assert [int.from_bytes(raw[j : j + 4], "little") for j in range(0, len(raw), 4)] == ids, repr(text)
+        assert decoded == plain.decode(ids, skip_special_tokens=False)
