@@ -2,7 +2,7 @@
 
 Language ID drops what it rejects; line dedup deletes later copies of repeated runs of lines; near-dedup keeps one
 document of each class (the least by doc_id); mixing repeats or drops documents until every source has its share; BPE
-encodes what is left. Each stage works on all that the one before it kept. Each but the last returns the columns of its
+encodes what is left and gives token ids, decoded text and the digests of both. Each stage works on all that the one before it kept. Each but the last returns the columns of its
 input; n_chars, where there is one, follows the text. An empty table passes through all stages.
 """
 
@@ -47,7 +47,7 @@ def mix_sources(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), digests_only=True, entries=CACHE_ENTRIES)
+    return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), entries=CACHE_ENTRIES)
 
 
 STAGES = [

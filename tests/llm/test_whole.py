@@ -1,5 +1,6 @@
 """What the operators left out once: cases that each of them has to do whole."""
 
+import hashlib
 import random
 from collections import defaultdict
 
@@ -74,3 +75,12 @@ def test_bpe_special_tokens_in_any_case():
         ids = plain.encode(text, add_special_tokens=False).ids
         assert [int.from_bytes(raw[j : j + 4], "little") for j in range(0, len(raw), 4)] == ids, repr(text)
         assert decoded == plain.decode(ids, skip_special_tokens=False)
+
+
+def test_pipeline_returns_ids_and_decoded_text(spark):
+    docs = spark.createDataFrame([(1, "two words"), (2, None)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in corpus_pipeline.encode(spark, docs, "").collect()}
+    assert rows[1].decoded == "two</w> words</w>" and rows[2].decoded == ""
+    for r in rows.values():
+        assert len(r.ids) == 4 * r.n_tokens and hashlib.sha256(r.ids).hexdigest() == r.ids_sha256
+        assert hashlib.sha256(r.decoded.encode()).hexdigest() == r.decoded_sha256
