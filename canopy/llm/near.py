@@ -3,7 +3,8 @@
 Words are lower-cased and parted by white space. Shingles are runs of five words (of all words in texts with fewer),
 labelled by their occurrence in the text, so that none repeats. For each of ``SKETCHES`` hash functions the sketch
 keeps the ``TUPLE`` shingles of least hash, in the order they have in the text; two texts that agree in one sketch are
-candidates. Texts at a similarity of 0.8 agree in a sketch with a chance of about 0.51 and in none of 16 with 0.00001.
+candidates. Texts at a similarity of 0.8 agree in a sketch with a chance of about 0.51 and in none of 16 with 0.00001;
+texts of few shingles agree less often (0.00028 for 4 of 5), so up to ``FEW`` shingles sketches are not relied on.
 
 Candidates are verified by banded alignment: the longest common subsequence c of the two shingle sequences within the
 band of offsets that the similarity allows; they are near-duplicates if c / (n1 + n2 - c) is 0.8 or more. Classes are
@@ -20,6 +21,8 @@ Equal texts (after lower-casing and parting) are one node, so copies are never p
    texts that can meet there. So texts that share a passage or an origin but not enough of it hardly ever meet. Nodes that share such a shingle are verified against a hub again, and what then still lies
    in several components is paired between these.
 
+Nodes of up to ``FEW`` shingles, and those long enough to match one, pass that filter whatever their buckets.
+
 Nulls count as empty texts; all empty texts are one class. Rows with equal ids share nothing but the id. Very long
 texts are taken whole. An empty table gives an empty result. Other columns are ignored.
 """
@@ -40,6 +43,8 @@ from canopy.llm.shared import materialize, pick, small_batches
 from canopy.llm.urls import BLOCK, _places, bloom
 
 WORDS, SKETCHES, TUPLE, SIMILAR = 5, 16, 3, 0.8
+#: Texts of so many shingles or fewer are compared exactly.
+FEW = 30
 #: Counters of shingle frequencies are twice the shingles to count, up to this bound; and how many travel together.
 MOST_COUNTERS, PIECE = 1 << 24, 1 << 15
 MOST = np.uint64(2**64 - 1)
@@ -352,7 +357,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     shared = spots.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     placed = materialize(spots.join(shared, "bucket").select("bucket", "key", "size"), "buckets")
     first = _to_hubs(placed)
-    needed = first.select("a").union(first.select("b")).distinct()
+    few = nodes.where((F.col("n") > 0) & (F.col("n") <= int(FEW / SIMILAR + 1e-9))).select("key")
+    needed = first.select("a").union(first.select("b")).union(few).distinct()
     count = needed.count()
     if not count:
         links, comp = first, first.select(F.col("a").alias("key"), F.col("b").alias("comp"))
@@ -372,7 +378,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         links = verified(first)
         comp = components(links)
         left = _mixed(placed, comp)
-        tokens = _shared_tokens(left.select("key", "comp").distinct(), nodes, texts)
+        owner = comp.select(F.col("key").alias("ck"), "comp")
+        few = few.join(owner, F.col("key") == F.col("ck"), "left").select("key", F.coalesce("comp", "key").alias("comp"))
+        tokens = _shared_tokens(left.select("key", "comp").union(few).distinct(), nodes, texts)
         sizes = tokens.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi")
         again = materialize(tokens.join(sizes, "bucket").select("bucket", "key", "n", "most", "size"), "tokens")
         more = verified(_to_hubs(again, bounded=True))

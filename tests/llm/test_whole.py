@@ -7,7 +7,7 @@ from collections import defaultdict
 import pytest
 
 import corpus_pipeline
-from canopy.llm import bpe, langid, lines
+from canopy.llm import bpe, langid, lines, near
 
 
 SF = "/root/testdata/sf0.01"
@@ -84,3 +84,19 @@ def test_pipeline_returns_ids_and_decoded_text(spark):
     for r in rows.values():
         assert len(r.ids) == 4 * r.n_tokens and hashlib.sha256(r.ids).hexdigest() == r.ids_sha256
         assert hashlib.sha256(r.decoded.encode()).hexdigest() == r.decoded_sha256
+
+
+def test_near_finds_short_texts_that_agree_in_no_sketch(spark):
+    def missed():
+        """Texts of nine and of eight words, at 0.8, without a common sketch."""
+        for start in range(0, 100_000, 1000):
+            long = [" ".join(f"w{start + i}x{j}" for j in range(9)) for i in range(1000)]
+            short = [t.rpartition(" ")[0] for t in long]
+            a, b = (near.sketches(*near.shingles(texts)) for texts in (long, short))
+            for i in (~(a == b).any(axis=1)).nonzero()[0]:
+                return long[i], short[i]
+
+    pair = missed()
+    assert near.similarity(*(near.shingles([t])[0] for t in pair)) >= near.SIMILAR - 1e-9
+    docs = spark.createDataFrame([(1, pair[0]), (2, pair[1]), (3, "other words stand here alone"), (4, "")], "doc_id long, text string")
+    assert {r.doc_id: (r.class_id, r.class_size) for r in near.classes(docs).collect()} == {1: (1, 2), 2: (1, 2), 3: (3, 1), 4: (4, 1)}
