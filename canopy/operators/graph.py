@@ -68,16 +68,21 @@ def slugs(pages: DataFrame) -> DataFrame:
     return named.withColumn("nth", nth).withColumn("slug", F.when(F.col("nth") > 1, F.concat("slug", F.lit("-"), "nth")).otherwise(F.col("slug"))).drop("nth")
 
 
-def tree_paths(pages: DataFrame, most_levels: int = 64) -> DataFrame:
+def tree_paths(pages: DataFrame) -> DataFrame:
     """page_id, path, depth by parents' folders: leaves are <slug>.md, others <slug>/index.md, the root index.md.
 
-    One join a level; pages on cycles or under unknown parents have no path and are left out.
+    One join a level, until a level is empty; pages on cycles or under unknown parents have no path and are left out.
+    Only repeated page ids could lead into a cycle: beyond 64 levels they are an error.
     """
     named = has_children(slugs(pages)).select("page_id", "parent_page_id", "slug", "has_children")
     level = named.where("parent_page_id IS NULL").select("page_id", F.lit("").alias("folder"), F.lit("index.md").alias("path"), F.lit(0).alias("depth"))
     level = settle(level)
     out = level
-    for depth in range(1, most_levels + 1):
+    depth = 0
+    while True:
+        depth += 1
+        if depth == 65 and named.groupBy("page_id").count().where("count > 1").limit(1).count():
+            raise ValueError("page ids repeat, so the levels of the tree may never end")
         above = level.select(F.col("page_id").alias("parent_page_id"), F.col("folder").alias("up"))
         below = named.join(above, "parent_page_id")
         stem = F.concat("up", "slug")
@@ -92,6 +97,8 @@ def tree_paths(pages: DataFrame, most_levels: int = 64) -> DataFrame:
         if not level.limit(1).count():
             break
         out = out.unionByName(level)
+        if depth % 32 == 0:  # the plan of a deep tree stays small
+            out = settle(out)
     return out.select("page_id", "path", "depth")
 
 
