@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm.shared import materialize, small_batches
+from canopy.llm.shared import materialize, small_batches, trim_memory
 
 LANGUAGES = ("de", "en", "es", "fr")
 BUCKETS = 1 << 16
@@ -86,6 +86,7 @@ def train(docs: DataFrame) -> np.ndarray:
             for rows, bucket in _trigrams(b.column(0)):
                 total += np.bincount(kind[rows].astype(np.int64) * BUCKETS + bucket, minlength=total.size).reshape(total.shape)
         lang, bucket = np.nonzero(total)
+        trim_memory()
         yield pa.RecordBatch.from_arrays([pa.array(lang, pa.int32()), pa.array(bucket, pa.int32()), pa.array(total[lang, bucket])], ["lang", "bucket", "n"])
 
     which = F.array_position(F.array(*[F.lit(x) for x in LANGUAGES]), F.col("declared")) - 1

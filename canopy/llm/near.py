@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm.shared import materialize, pick, small_batches
+from canopy.llm.shared import as_id, drop_tables, join_counted, materialize, pick, release, small_batches, trim_memory
 from canopy.llm.urls import BLOCK, _places, bloom
 
 WORDS, SKETCHES, TUPLE, SIMILAR = 5, 16, 3, 0.8
@@ -175,6 +175,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), pa.array(n, pa.int64()), pa.array(sketch, pa.list_(pa.int64()))], ["id", "key", "n", "sketch"])
             if len(seen) > 500_000:
                 seen.clear()
+    trim_memory()
 
 
 def _shingled(wanted):
@@ -335,71 +336,113 @@ def components(links: DataFrame) -> DataFrame:
     both = materialize(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     label = materialize(both.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("m")).select("key", F.least("key", "m").alias("comp")), "labels")
     while True:
-        near = both.join(label, F.col("b") == F.col("key")).groupBy("a").agg(F.min("comp").alias("m"))
-        spread = label.join(near, F.col("key") == F.col("a"), "left").select("key", F.col("comp").alias("old"), F.least("comp", "m").alias("new"))
+        near = both.join(label.hint("merge"), F.col("b") == F.col("key")).groupBy("a").agg(F.min("comp").alias("m"))
+        spread = label.join(near.hint("merge"), F.col("key") == F.col("a"), "left").select("key", F.col("comp").alias("old"), F.least("comp", "m").alias("new"))
         step = label.select(F.col("key").alias("k"), F.col("comp").alias("next"))
-        jumped = spread.join(step, F.col("new") == F.col("k"), "left").select("key", "old", F.least("new", F.coalesce("next", "new")).alias("comp"))
+        jumped = spread.join(step.hint("merge"), F.col("new") == F.col("k"), "left").select("key", "old", F.least("new", F.coalesce("next", "new")).alias("comp"))
         jumped = materialize(jumped, "labels")
+        drop_tables(label)
+        done = not jumped.where("old != comp").limit(1).count()
         label = jumped.select("key", "comp")
-        if not jumped.where("old != comp").limit(1).count():
+        label._canopy_path = jumped._canopy_path
+        if done:
+            drop_tables(both)
             return label
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id (the least id of its class), class_size, n_links (verified links of its text), for each row."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    source = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("long"), F.col("text").cast("string"))
-    rows = materialize(source.mapInArrow(_sketch, SKETCHED), "sketched")
-    nodes = rows.where("n is not null").groupBy("key").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    nodes = materialize(nodes, "nodes")
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The links among ``pairs(a, b)``; the pairs are deleted."""
+    left = texts.select(F.col("k").alias("kl"), F.col("shingles").alias("left_shingles"))
+    right = texts.select(F.col("k").alias("kr"), F.col("shingles").alias("right_shingles"))
+    full = pairs.hint("merge").join(left, F.col("a") == F.col("kl")).hint("merge").join(right, F.col("b") == F.col("kr"))
+    links = materialize(full.select("a", "b", "left_shingles", "right_shingles").mapInArrow(_verify, "a binary, b binary"), "links")
+    drop_tables(pairs)
+    return links
+
+
+def _halves() -> list:
+    return [F.conv(F.hex(F.substring("a", s, 8)), 16, -10).cast("long") for s in (1, 9)]
+
+
+def _linked(source: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) and components (key, comp) of ``nodes(key, n, sketch)``, whose texts are in ``source(id, text)``."""
+    spark = source.sparkSession
     spots = nodes.select("key", F.posexplode("sketch").alias("j", "v")).select("key", F.xxhash64("j", "v").alias("bucket"))
-    shared = spots.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    placed = materialize(spots.join(shared, "bucket").select("bucket", "key", "size"), "buckets")
+    shared = spots.groupBy(F.col("bucket").alias("sb")).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    placed = materialize(join_counted(spots, shared, {"bucket": "sb"}, "size", SKETCHES * nodes.count()).select("bucket", "key", "size"), "buckets")
     first = _to_hubs(placed)
     few = nodes.where((F.col("n") > 0) & (F.col("n") <= int(FEW / SIMILAR + 1e-9))).select("key")
-    needed = first.select("a").union(first.select("b")).union(few).distinct()
+    needed = materialize(first.select("a").union(first.select("b")).union(few).distinct(), "needed")
     count = needed.count()
     if not count:
-        links, comp = first, first.select(F.col("a").alias("key"), F.col("b").alias("comp"))
-    else:
-        half = [F.conv(F.hex(F.substring("a", s, 8)), 16, -10).cast("long") for s in (1, 9)]
-        wanted = spark.sparkContext.broadcast(bloom(needed.select(half[0].alias("h1"), half[1].alias("h2")), count))
-        found = source.mapInArrow(_shingled(wanted), "k binary, shingles binary")
-        texts = found.join(needed, F.col("k") == F.col("a"), "left_semi").groupBy("k").agg(F.first("shingles").alias("shingles"))
-        texts = materialize(texts, "shingles", "none")
-
-        def verified(pairs: DataFrame) -> DataFrame:
-            left = texts.select(F.col("k").alias("kl"), F.col("shingles").alias("left_shingles"))
-            right = texts.select(F.col("k").alias("kr"), F.col("shingles").alias("right_shingles"))
-            full = pairs.join(left, F.col("a") == F.col("kl")).join(right, F.col("b") == F.col("kr")).select("a", "b", "left_shingles", "right_shingles")
-            return materialize(full.mapInArrow(_verify, "a binary, b binary"), "links")
-
-        links = verified(first)
-        comp = components(links)
-        left = _mixed(placed, comp)
-        owner = comp.select(F.col("key").alias("ck"), "comp")
-        few = few.join(owner, F.col("key") == F.col("ck"), "left").select("key", F.coalesce("comp", "key").alias("comp"))
-        tokens = _shared_tokens(left.select("key", "comp").union(few).distinct(), nodes, texts)
-        sizes = tokens.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi")
-        again = materialize(tokens.join(sizes, "bucket").select("bucket", "key", "n", "most", "size"), "tokens")
-        more = verified(_to_hubs(again, bounded=True))
-        links = links.unionByName(more).distinct()
-        comp = components(links)
-        rest = _mixed(again, comp).select("bucket", "n", "key", "comp", "most").repartition("bucket").sortWithinPartitions("bucket", "n")
-        rest = rest.mapInArrow(_pairs, "a binary, b binary").distinct()
-        more = verified(materialize(rest, "pairs"))
-        if more.limit(1).count():
-            links = materialize(links.unionByName(more).distinct(), "links")
-            comp = components(links)
+        drop_tables(placed, needed)
+        return first, materialize(first.select(F.col("a").alias("key"), F.col("b").alias("comp")), "labels")
+    h1, h2 = _halves()
+    wanted = spark.sparkContext.broadcast(bloom(needed.select(h1.alias("h1"), h2.alias("h2")), count))
+    found = source.mapInArrow(_shingled(wanted), "k binary, shingles binary")
+    texts = found.join(needed.hint("merge"), F.col("k") == F.col("a"), "left_semi").groupBy("k").agg(F.first("shingles").alias("shingles"))
+    texts = materialize(texts, "shingles", "none")
+    drop_tables(needed)
+    release(spark)
+    links = _verified(first, texts)
+    comp = components(links)
+    left = _mixed(placed, comp)
+    drop_tables(placed)
+    owner = comp.select(F.col("key").alias("ck"), "comp")
+    few = few.join(owner.hint("merge"), F.col("key") == F.col("ck"), "left").select("key", F.coalesce("comp", "key").alias("comp"))
+    every = materialize(left.select("key", "comp").union(few).distinct(), "residual-keys")
+    drop_tables(left, comp)
+    tokens = _shared_tokens(every, nodes, texts)
+    drop_tables(every)
+    sizes = tokens.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi")
+    sizes = sizes.select(F.col("bucket").alias("sb"), "size")
+    again = materialize(join_counted(tokens, sizes, {"bucket": "sb"}, "size", tokens.count()).select("bucket", "key", "n", "most", "size"), "tokens")
+    drop_tables(tokens)
+    release(spark)
+    more = _verified(_to_hubs(again, bounded=True), texts)
+    both = materialize(links.unionByName(more).distinct(), "links")
+    drop_tables(links, more)
+    comp = components(both)
+    rest = _mixed(again, comp)
+    drop_tables(again)
+    pairs = rest.select("bucket", "n", "key", "comp", "most").repartition("bucket").sortWithinPartitions("bucket", "n")
+    pairs = materialize(pairs.mapInArrow(_pairs, "a binary, b binary").distinct(), "pairs")
+    drop_tables(rest)
+    more = _verified(pairs, texts)
+    if more.limit(1).count():
+        every = materialize(both.unionByName(more).distinct(), "links")
+        drop_tables(both, comp)
+        both, comp = every, components(every)
+    drop_tables(more, texts)
+    return both, comp
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, class_id (the least id of its class), class_size, n_links (verified links of its text), for each row.
+
+    Ids are integers; others count as null.
+    """
+    small_batches(docs.sparkSession)
+    source = pick(docs, id=id_col, text=text_col).select(as_id(F.col("id")).alias("id"), F.col("text").cast("string"))
+    rows = materialize(source.mapInArrow(_sketch, SKETCHED), "sketched")
+    nodes = rows.where("n is not null").groupBy("key").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    nodes = materialize(nodes, "nodes")
+    slim = rows.select("id", "key")
+    links, comp = _linked(source, nodes)
+    drop_tables(nodes)
     degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("dk")).agg(F.count(F.lit(1)).alias("n_links"))
-    by_key = rows.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
-    comp = comp.select(F.col("key").alias("ck"), "comp")
-    by_key = by_key.join(comp, F.col("key") == F.col("ck"), "left").join(degree, F.col("key") == F.col("dk"), "left")
+    by_key = slim.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    owner = comp.select(F.col("key").alias("ck"), "comp")
+    by_key = by_key.join(owner.hint("merge"), F.col("key") == F.col("ck"), "left").join(degree.hint("merge"), F.col("key") == F.col("dk"), "left")
     by_key = materialize(by_key.select("key", F.coalesce("comp", "key").alias("comp"), "least", "copies", F.coalesce("n_links", F.lit(0)).alias("n_links")), "keys")
-    whole = by_key.groupBy(F.col("comp").alias("c")).agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
-    named = by_key.join(whole, F.col("comp") == F.col("c")).select(F.col("key").alias("nk"), "class_id", "class_size", "n_links")
-    return rows.select("id", "key").join(named, F.col("key") == F.col("nk")).select(F.col("id").alias("doc_id"), "class_id", "class_size", "n_links")
+    drop_tables(links, comp)
+    whole = by_key.groupBy(F.col("comp").alias("c")).agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("texts"))
+    named = join_counted(by_key, whole, {"comp": "c"}, "texts", by_key.count())
+    named = materialize(named.select(F.col("key").alias("nk"), "class_id", "class_size", "n_links", "copies"), "named")
+    drop_tables(by_key)
+    release(docs.sparkSession)
+    out = join_counted(slim, named, {"key": "nk"}, "copies", slim.count())
+    return out.select(F.col("id").alias("doc_id"), "class_id", "class_size", "n_links")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -408,10 +451,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     flat = docs.toDF(*[f"c{i}" for i in range(len(names))])
     stored = materialize(flat.withColumn("row", F.monotonically_increasing_id()), "documents")
     of = classes(stored.select("row", F.col(f"c{names.index(text_col)}").alias("text")), "row", "text")
-    ids = stored.select(F.col("row").alias("r"), F.coalesce(F.col(f"c{names.index(id_col)}").cast("long"), F.lit((1 << 63) - 1)).alias("id"))
-    best = of.join(ids, F.col("doc_id") == F.col("r")).groupBy("class_id").agg(F.min(F.struct("id", "r")).alias("m")).select(F.col("m.r").alias("kept"))
+    ids = stored.select(F.col("row").alias("r"), F.coalesce(as_id(F.col(f"c{names.index(id_col)}")), F.lit((1 << 63) - 1)).alias("id"))
+    best = of.join(ids.hint("merge"), F.col("doc_id") == F.col("r")).groupBy("class_id").agg(F.min(F.struct("id", "r")).alias("m")).select(F.col("m.r").alias("kept"))
     best = materialize(best, "kept")
-    return stored.join(best, F.col("row") == F.col("kept"), "left_semi").select(*flat.columns).toDF(*names)
+    release(docs.sparkSession)
+    return stored.join(best.hint("merge"), F.col("row") == F.col("kept"), "left_semi").select(*flat.columns).toDF(*names)
 
 
 def _to_hubs(placed: DataFrame, bounded: bool = False) -> DataFrame:
@@ -419,8 +463,9 @@ def _to_hubs(placed: DataFrame, bounded: bool = False) -> DataFrame:
     degree = placed.select("key", "size").groupBy("key").agg(F.sum("size").alias("degree")).withColumnRenamed("key", "dk")
     own = ["n", "most"] if bounded else []
     hub = F.max(F.struct("degree", "key", *own)).alias("hub")
-    hubs = placed.join(degree, F.col("key") == F.col("dk")).groupBy("bucket").agg(hub).select(F.col("bucket").alias("hb"), "hub")
-    pairs = placed.join(hubs, F.col("bucket") == F.col("hb")).where("key != hub.key")
+    ranked = placed.join(degree.hint("merge"), F.col("key") == F.col("dk")).groupBy("bucket")
+    hubs = ranked.agg(hub, F.count(F.lit(1)).alias("members")).select(F.col("bucket").alias("hb"), "hub", "members")
+    pairs = join_counted(placed, hubs, {"bucket": "hb"}, "members", placed.count()).where("key != hub.key")
     if bounded:
         pairs = pairs.where("n <= hub.most AND hub.n <= most")
     return materialize(pairs.select(F.greatest("key", "hub.key").alias("a"), F.least("key", "hub.key").alias("b")).distinct(), "pairs")
@@ -429,18 +474,24 @@ def _to_hubs(placed: DataFrame, bounded: bool = False) -> DataFrame:
 def _mixed(placed: DataFrame, comp: DataFrame) -> DataFrame:
     """Rows of ``placed`` in buckets of several components, plus comp."""
     owner = comp.select(F.col("key").alias("ck"), "comp")
-    of = materialize(placed.join(owner, F.col("key") == F.col("ck"), "left").withColumn("comp", F.coalesce("comp", "key")).drop("ck"), "owned")
-    mixed = of.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select(F.col("bucket").alias("mb"))
-    return of.join(mixed, F.col("bucket") == F.col("mb"), "left_semi")
+    of = materialize(placed.join(owner.hint("merge"), F.col("key") == F.col("ck"), "left").withColumn("comp", F.coalesce("comp", "key")).drop("ck"), "owned")
+    mixed = of.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo != hi")
+    mixed = mixed.select(F.col("bucket").alias("mb"), "members")
+    out = materialize(join_counted(of, mixed, {"bucket": "mb"}, "members", of.count()).drop("mb", "members"), "mixed-rows")
+    drop_tables(of)
+    return out
 
 
 def _shared_tokens(keys: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """bucket (a shingle), key, comp, n: prefix shingles of the nodes ``keys(key, comp)`` that several of them may have."""
-    sized = keys.join(nodes.select(F.col("key").alias("nk"), "n"), F.col("key") == F.col("nk")).join(texts, F.col("key") == F.col("k")).select("key", "comp", "n", "shingles")
+    sizes = nodes.select(F.col("key").alias("nk"), "n")
+    sized = keys.join(sizes.hint("merge"), F.col("key") == F.col("nk")).join(texts.hint("merge"), F.col("key") == F.col("k")).select("key", "comp", "n", "shingles")
     sized = materialize(sized, "residual", "none")
     total = sized.agg(F.sum("n")).first()[0] or 0
     counts = keys.sparkSession.sparkContext.broadcast(frequencies(sized, total))
-    return materialize(sized.mapInArrow(_prefix(counts), "bucket long, key binary, comp binary, n long, most long"), "tokens")
+    tokens = materialize(sized.mapInArrow(_prefix(counts), "bucket long, key binary, comp binary, n long, most long"), "tokens")
+    drop_tables(sized)
+    return tokens
 
 
 def op10_near(spark, sf_dir: str) -> DataFrame:

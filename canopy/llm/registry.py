@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-from canopy.llm import bpe, langid, licenses, lines, lm, media, mixing, near, topk, urls
+from canopy.llm import bpe, langid, licenses, lines, lm, media, mixing, near, pipeline, topk, urls
 
 
 def queries() -> dict:
@@ -18,7 +17,7 @@ def queries() -> dict:
         "op8_language": langid.op8_language,
         "op9_topk": topk.op9_topk,
         "op10_near": near.op10_near,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
         "pages_language": langid.pages_language,
     }
 

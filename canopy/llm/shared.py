@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import gc
 import tempfile
 import time
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,7 +50,7 @@ def _clean() -> None:
             return
 
 
-def materialize(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
+def materialize(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there, a lost executor loses nothing."""
     spark = df.sparkSession
     path = new_path(spark, label)
@@ -57,9 +60,29 @@ def materialize(df: DataFrame, label: str, compression: str = "snappy") -> DataF
     return out
 
 
-def drop_table(df: DataFrame) -> None:
+def drop_tables(*tables: DataFrame) -> None:
     """Delete what materialize() wrote, once nothing reads it any more."""
-    delete_path(df.sparkSession, df._canopy_path)
+    spark = tables[0].sparkSession
+    for path in {t._canopy_path for t in tables}:
+        delete_path(spark, path)
+        _WRITTEN.remove((spark, path))
+
+
+def written(spark: SparkSession) -> set[str]:
+    """Paths of all tables that are there still."""
+    return {path for session, path in _WRITTEN if session is spark}
+
+
+def drop_unread(docs: DataFrame, paths: set[str]) -> set[str]:
+    """Delete those of ``paths`` that ``docs`` does not read; the others come back."""
+    spark = docs.sparkSession
+    files = [f.removeprefix("file:").lstrip("/") for f in docs.inputFiles()] if paths else []
+    read = {p for p in paths if any(f.startswith(p.removeprefix("file:").lstrip("/") + "/") for f in files)}
+    for path in paths - read:
+        if (spark, path) in _WRITTEN:
+            delete_path(spark, path)
+            _WRITTEN.remove((spark, path))
+    return read
 
 
 def release(spark: SparkSession) -> None:
@@ -70,6 +93,14 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.3)
 
 
+def trim_memory() -> None:
+    """In a Python worker, at the end of a task: give free memory back, which idle workers would hold else."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def small_batches(spark: SparkSession) -> None:
     """At most 256 rows go to a Python worker at once: whole texts in the default of ten thousand take much memory."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -77,6 +108,11 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, "256")
 
 
+def as_id(column: Column) -> Column:
+    """Ids as integers; what is none counts as null."""
+    return column.try_cast("long")
+
+
 def pick(df: DataFrame, **cols: str) -> DataFrame:
     """``pick(df, id="doc_id")``: columns by exact name (the first of equal names) under new names.
 
@@ -91,11 +127,6 @@ def with_row_id(df: DataFrame, row_id: str) -> DataFrame:
     return df.withColumn(row_id, F.monotonically_increasing_id())
 
 
-def replace_text(df: DataFrame, internal: DataFrame) -> DataFrame:
-    """Give ``internal`` (columns c0..cn) the names of ``df`` again."""
-    return internal.toDF(*df.columns)
-
-
 def global_rank(df: DataFrame, by: list[str], rank: str, label: str) -> DataFrame:
     """Rows of ``df`` plus their 0-based place in the order of ``by``, without a single-task sort.
 
@@ -115,10 +146,28 @@ def global_rank(df: DataFrame, by: list[str], rank: str, label: str) -> DataFram
     for row in sizes:
         starts.append((row["__part"], total))
         total += row["n"]
-    if not starts:
-        return placed.withColumn(rank, F.lit(0).cast("long")).drop("__part", "__at")
     begin = df.sparkSession.createDataFrame(starts, "__part int, __start long")
-    return placed.join(F.broadcast(begin), "__part").withColumn(rank, F.col("__start") + F.col("__at")).drop("__part", "__at", "__start")
+    out = placed.join(F.broadcast(begin), "__part").withColumn(rank, F.col("__start") + F.col("__at")).drop("__part", "__at", "__start")
+    out._canopy_path = placed._canopy_path
+    return out
+
+
+#: A key with at least one in so many of all rows is hot; so there are no more hot keys than that.
+HOT = 1000
+
+
+def join_counted(rows: DataFrame, keys: DataFrame, on: dict[str, str], n: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``keys``, one row a key, whose column ``n`` counts the key's rows among ``total``.
+
+    ``on``: columns of rows and of keys that are equal. The few hot keys are broadcast, so that their rows stay where
+    they are; all others meet by sort-merge, at any size of the tables.
+    """
+    hot = F.col(n) * HOT >= total
+    some, rest = keys.where(hot), keys.where(~hot)
+    cond = [F.col(a) == F.col(b) for a, b in on.items()]
+    few = F.broadcast(some)
+    far = rows.join(F.broadcast(some.select(*on.values())), cond, "left_anti")
+    return rows.join(few, cond).unionByName(far.hint("merge").join(rest, cond))
 
 
 def ascii_lower(text: Column) -> Column:

@@ -6,7 +6,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
+from canopy.llm import pipeline as corpus_pipeline
 from canopy.llm import bpe, langid, licenses, lines, lm, media, mixing, near, shared, topk, urls
 
 LONG = "word and another one " * 20_000

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
+from canopy.llm import pipeline as corpus_pipeline
 from canopy.llm import bpe, langid, lines, lm, mixing, near, registry, topk
 from compare import oracle, same
 
@@ -171,34 +171,6 @@ def test_priors_help_short_texts(spark):
     assert got["h1"] > got["h2"]
 
 
-def brute_lines(rows, least):
-    """Delete every prefix of enough words that an earlier place has, line by line."""
-    seqs = {i: [(n, x) for n, x in enumerate(t.split("\n")) if x.strip(" \t\r")] for i, t in rows}
-    seen, gone = set(), defaultdict(set)
-    for i in sorted(seqs):
-        s = seqs[i]
-        for k in range(len(s)):
-            words, run = 0, []
-            for n, x in s[k:]:
-                words += x.count(" ") + 1
-                run.append(x)
-                if words >= least:
-                    if tuple(run) in seen:
-                        gone[i] |= {m for m, _ in s[k : k + len(run)]}
-                    seen.add(tuple(run))
-                    break
-    return {i: sorted(gone[i]) for i, _ in rows}
-
-
-@pytest.mark.parametrize("least", [1, 4, 10])
-def test_lines_equal_brute_force(spark, least):
-    rnd = random.Random(least)
-    pool = ["a", "b b", "c c c", "d d d d", "", " "]
-    rows = [(i, "\n".join(rnd.choice(pool) for _ in range(rnd.randint(1, 12)))) for i in range(60)]
-    out = lines.dedup(spark.createDataFrame(rows, "doc_id long, text string"), least_words=least).collect()
-    assert {r.c0: list(r.removed) for r in out} == brute_lines(rows, least)
-
-
 def test_pipeline_stages_do_what_they_say(spark):
     text = lambda s, n: " ".join(f"the word{(s * 7919 + k * 31) % 5003} and" for k in range(n))
     line = "this very line stands in many of the documents of this corpus again"

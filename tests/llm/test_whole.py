@@ -6,8 +6,7 @@ from collections import defaultdict
 
 import pytest
 
-import corpus_pipeline
-from canopy.llm import bpe, langid, lines, near
+from canopy.llm import bpe, langid, lines, near, pipeline, shared
 
 
 SF = "/root/testdata/sf0.01"
@@ -34,17 +33,41 @@ def test_whole_runs_equal_brute_force(spark, least):
     rnd = random.Random(least)
     pool = ["a", "b b", "c c c", "d d d d", "e e e e e e e e e e e", "", " "]
     rows = [(i, "\n".join(rnd.choice(pool) for _ in range(rnd.randint(1, 12)))) for i in range(60)]
-    out = lines.dedup(spark.createDataFrame(rows, "doc_id long, text string"), least_words=least, whole_runs=True).collect()
+    out = lines.dedup(spark.createDataFrame(rows, "doc_id long, text string"), least_words=least).collect()
     assert {r.c0: list(r.removed) for r in out} == brute_runs(rows, least)
 
 
 def test_pipeline_deletes_the_short_last_lines_of_a_run(spark):
     run = " ".join(f"w{i}" for i in range(40)) + "\nshort line"
     docs = spark.createDataFrame([(1, f"one\n{run}\nmore"), (2, f"two\n{run}\nelse"), (3, run)], "doc_id long, text string")
-    out = corpus_pipeline.line_dedup(spark, docs, "").collect()
+    out = pipeline.line_dedup(spark, docs, "").collect()
     assert {r.doc_id: r.text for r in out} == {1: f"one\n{run}\nmore", 2: "two\nelse", 3: ""}
 
 
+def test_lines_after_the_last_window_of_a_run_go(spark):
+    run = "a b c d e f g h i j\nb x\nc y"
+    docs = spark.createDataFrame([("p", f"{run}\none end"), ("q", f"{run}\nother end")], "doc_id string, text string")
+    assert {r.c0: list(r.removed) for r in lines.dedup(docs).collect()} == {"p": [], "q": [0, 1, 2]}
+
+
+def test_hot_lines_and_windows_are_whole(spark):
+    """A line in every text and a run in a third of them, so that both are joined by broadcast."""
+    run = "one two three four five\nsix seven eight nine ten"
+    rows = [(i, f"common line\n{run if i % 3 == 0 else 'x'}\nown {i}") for i in range(300)]
+    out = {r.c0: list(r.removed) for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {i: [0, 1, 2] if i % 3 == 0 and i else [] for i in range(300)}
+
+
+def test_pipeline_leaves_no_tables_but_those_still_read(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    before = shared.written(spark)
+    for n, (_, stage) in enumerate(pipeline.STAGES):
+        stage(spark, docs, "").write.parquet(f"{tmp_path}/{n}")
+        docs = spark.read.parquet(f"{tmp_path}/{n}")
+        assert docs.count() > 0
+    assert shared.written(spark) <= before  # the last stage writes none
+
+
 def test_other_languages_and_junk_are_rejected(spark):
     rnd = random.Random(2)
     junk = " ".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(3, 9))) for _ in range(40))
@@ -79,7 +102,7 @@ def test_bpe_special_tokens_in_any_case():
 
 def test_pipeline_returns_ids_and_decoded_text(spark):
     docs = spark.createDataFrame([(1, "two words"), (2, None)], "doc_id long, text string")
-    rows = {r.doc_id: r for r in corpus_pipeline.encode(spark, docs, "").collect()}
+    rows = {r.doc_id: r for r in pipeline.encode(spark, docs, "").collect()}
     assert rows[1].decoded == "two</w> words</w>" and rows[2].decoded == ""
     for r in rows.values():
         assert len(r.ids) == 4 * r.n_tokens and hashlib.sha256(r.ids).hexdigest() == r.ids_sha256
