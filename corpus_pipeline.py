@@ -1,69 +1,5 @@
-"""A corpus pipeline of five stages over ``documents``.
+"""The pipeline over ``documents``: its stages, its run and its SQL (see canopy.llm.pipeline)."""
 
-Language ID drops what it rejects; line dedup deletes later copies of repeated runs of lines; near-dedup keeps one
-document of each class (the least by doc_id); mixing repeats or drops documents until every source has its share; BPE
-encodes what is left and gives token ids, decoded text and the digests of both. Each stage works on all that the one before it kept. Each but the last returns the columns of its
-input; n_chars, where there is one, follows the text. An empty table passes through all stages.
-"""
+from canopy.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from canopy.llm import bpe, langid, lines, mixing, near
-from canopy.llm.shared import materialize
-
-WEIGHTS = [1, 2, 3]
-#: Of the encoder's cache; smaller than alone, since executors have other stages' memory still.
-CACHE_ENTRIES = 60_000
-
-
-def language_id(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = langid.identify_documents(docs).where("lang_ok").drop("lang_id", "lang_prob", "lang_ok")
-    return out.toDF(*docs.columns)
-
-
-def line_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    names = docs.columns
-    out = lines.dedup(docs, whole_runs=True).drop("n_lines", "n_removed", "removed")
-    if "n_chars" in names:
-        chars = f"c{names.index('n_chars')}"
-        out = out.withColumn(chars, F.length(f"c{names.index('text')}").cast(docs.schema[names.index("n_chars")].dataType))
-    return out.toDF(*names)
-
-
-def near_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near.keep_one(docs)
-
-
-def mix_sources(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    names = docs.columns
-    mixed = mixing.mix(docs, WEIGHTS, keep=names).where("copies > 0")
-    repeated = mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-    return repeated.select(*[F.col(f"k{i}") for i in range(len(names))]).toDF(*names)
-
-
-def encode(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
-    return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), entries=CACHE_ENTRIES)
-
-
-STAGES = [
-    ("language ID", language_id),
-    ("line dedup", line_dedup),
-    ("near dedup", near_dedup),
-    ("mixing", mix_sources),
-    ("BPE", encode),
-]
-
-#: Similarity classes and the seeded sample can't be said in SQL.
-ORACLE_SQL = None
-
-
-def run(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
