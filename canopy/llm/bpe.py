@@ -1,16 +1,17 @@
 """Byte-pair encoding and decoding by forced-boundary splitting.
 
-A pair of neighbouring bytes that occurs inside no token of the vocabulary can never be merged, so a cut between
-them is certain. Texts are cut there, the fragments are encoded one by one (each distinct one once for a worker,
-as far as its bounded cache reaches) and the results are put together again.
-
-A cut must also be a boundary of the tokenizer's pre-tokens, since the end of each pre-token carries a mark. The
-rules used: ASCII white space cuts always; between two ASCII characters of which at least one is a letter or a
-digit, a cut stands if their classes (letter, digit, other) differ or both are digits, the left one is not an
-apostrophe and the pair is in no token. Fragments that may hold a special token are not cut below white space.
-
-Nulls count as empty texts: no ids, an empty decoded text. Repeated rows give repeated results. Texts of any
-length are held one Arrow batch at a time. Other columns are ignored, whatever their names.
+A text is parted by white space, which no token crosses. The words, each distinct one once for a worker as far as its
+bounded cache reaches, go through the tokenizer's normalizer and pre-tokenizer. A pair of neighbouring bytes that occurs
+inside no token of the vocabulary can never be merged, so a cut between them is certain: each pre-token is cut there,
+wherever in a word that is. The fragments are encoded independently, and the results are put together again. Only the
+last fragment of a pre-token ends a word, so it alone is encoded with the mark that the model gives to ends of words;
+all others are encoded by the same model without that mark. Words that may hold a special token (the library finds these
+before anything else) are encoded whole by the library itself.
+
+Nulls count as empty texts: no ids, an empty decoded text. Repeated rows give repeated results. Texts of any length are
+held one Arrow batch at a time. Words of more than ``LONG`` characters (long texts without white space are one) are
+encoded each time they occur; the cache holds shorter ones, up to ``CACHE_BYTES`` in each of its two generations. Ids are
+integers; others count as null. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,20 +19,19 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import sys
-from array import array
+import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm.shared import pick, small_batches
+from canopy.llm.shared import as_id, pick, small_batches, trim_memory
 
-#: Entries of each of the two generations of a worker's cache; bounds memory, never the result.
-CACHE_ENTRIES = 320_000
+#: Of each of the two generations of a worker's cache, as estimated; and words beyond this length are not kept.
+#: Both bound memory, never the result.
+CACHE_BYTES, LONG = 96 << 20, 256
 
-LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 #: Python's split() takes these four for white space, Unicode and the tokenizers don't.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 BLANKS = re.compile("[ \t\n\x0b\x0c\r]+")
@@ -58,9 +58,9 @@ def inner_pairs(vocabulary: list[str], suffix: str) -> set[tuple[int, int]]:
 
 
 class Encoder:
-    """A tokenizer behind a cache of fragments."""
+    """A tokenizer behind a cache of words."""
 
-    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
+    def __init__(self, path: str, most: int = CACHE_BYTES):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -69,96 +69,87 @@ class Encoder:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.special = tuple(t["content"][:2] for t in spec["added_tokens"])
-        inner = inner_pairs(list(spec["model"]["vocab"]), spec["model"].get("end_of_word_suffix") or "")
-        kind = {b: "L" if chr(b).isalpha() else "N" if chr(b).isdigit() else "O" for b in range(33, 127)}
-        self.cut = {
-            chr(a) + chr(b)
-            for a in kind
-            for b in kind
-            if (kind[a] != kind[b] or kind[a] == "N") and chr(a) != "'" and (a, b) not in inner
-        }
-        self.names = {i: self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size())}
-        self.entries = entries
-        self.known: dict[str, tuple[bytes, str]] = {}  # words and fragments
+        suffix = spec["model"].get("end_of_word_suffix") or ""
+        unmarked = {**spec, "added_tokens": [], "model": {**spec["model"], "end_of_word_suffix": None}}
+        self.last, self.inner = self.tokenizer.model, Tokenizer.from_str(json.dumps(unmarked)).model
+        self.letters = {b: c for c, b in _byte_alphabet().items()}
+        self.joined = {self.letters[a] + self.letters[b] for a, b in inner_pairs(list(spec["model"]["vocab"]), suffix)}
+        self.names = [self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size())]
+        self.most, self.held = most, 0
+        self.known: dict[str, tuple[bytes, str]] = {}  # words
         self.older: dict[str, tuple[bytes, str]] = {}
 
-    def split(self, word: str) -> list[str]:
-        """The fragments of a word without white space, ASCII ones in lower case but for those that may hold a special token."""
-        if any(s in word for s in self.special):  # the library finds special tokens before it lower-cases
-            return [word]
-        if word.isascii():
-            word = word.lower()
-        if word.isalpha():
-            return [word]
-        if word[:-1].isalpha() and word[-2:] in self.cut:
-            return [word[:-1], word[-1]]
-        parts, start = [], 0
-        for i in range(1, len(word)):
-            if word[i - 1 : i + 1] in self.cut:
-                parts.append(word[start:i])
+    def pieces(self, word: str) -> list[str]:
+        """The pre-tokens of a word without white space and special tokens, in the letters that stand for bytes."""
+        if word.isascii():  # without the library where its rules are plain: letters alone, or with one sign after them
+            if word.isalpha():
+                return [word.lower()]
+            if word[:-1].isalpha() and not word[-1].isalnum() and word[-1] > " ":
+                return [word[:-1].lower(), word[-1]]
+        elif word.isalpha() and max(word) <= "\u00ff":
+            return [word.lower().encode().decode("latin-1").translate(self.letters)]
+        return [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(word))]
+
+    def split(self, piece: str) -> list[str]:
+        """The fragments of a pre-token."""
+        out, start = [], 0
+        for i in range(1, len(piece)):
+            if piece[i - 1 : i + 1] not in self.joined:
+                out.append(piece[start:i])
                 start = i
-        return [*parts, word[start:]]
-
-    def learn(self, words: list[str]) -> None:
-        """Put these words and their fragments into the cache."""
-        known, older, names = self.known, self.older, self.names
-        parts = [self.split(w) for w in words]
-        new = []
-        for p in {p for ps in parts for p in ps if p not in known}:
-            if p in older:
-                known[p] = older[p]
-            else:
-                new.append(p)
-        for start in range(0, len(new), 20_000):
-            some = new[start : start + 20_000]
-            for part, coded in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                ids = coded.ids
-                known[part] = (array("I", ids).tobytes() if LITTLE else b"".join(i.to_bytes(4, "little") for i in ids), " ".join([names[i] for i in ids]))
-        for w, ps in zip(words, parts, strict=True):
-            if len(ps) == 1:
-                known[w] = known[ps[0]]
-            else:
-                got = [known[p] for p in ps]
-                known[w] = (b"".join([g[0] for g in got]), " ".join([g[1] for g in got if g[0]]))
+        return [*out, piece[start:]]
+
+    def learn(self, word: str) -> tuple[bytes, str]:
+        """Ids (little-endian unsigned 32-bit integers) and tokens (joined by blanks) of a word."""
+        if any(s in word for s in self.special):
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        else:
+            ids = []
+            for piece in self.pieces(word):
+                *inner, last = self.split(piece)
+                for part in inner:
+                    ids += [t.id for t in self.inner.tokenize(part)]
+                ids += [t.id for t in self.last.tokenize(last)]
+        return struct.pack(f"<{len(ids)}I", *ids), " ".join([self.names[i] for i in ids])
 
     def encode(self, text: str) -> tuple[bytes, str]:
         """Ids as little-endian unsigned 32-bit integers, and the decoded text: the tokens joined by blanks."""
         words = text.split() if not SEPARATORS.search(text) else [w for w in BLANKS.split(text) if w]
-        known, older, unknown = self.known, self.older, []
+        known, older, long = self.known, self.older, {}
         for w in set(words):
             if w not in known:
-                if w in older:
-                    known[w] = older[w]
+                got = older.get(w) or self.learn(w)
+                if len(w) > LONG:
+                    long[w] = got
                 else:
-                    unknown.append(w)
-        if unknown:
-            self.learn(unknown)
-        got = [known[w] for w in words]
-        if len(known) > self.entries:  # what is used goes on from one generation to the next
-            self.older, self.known = known, {}
+                    known[w] = got
+                    self.held += 300 + 2 * len(w) + len(got[0]) + len(got[1])
+        got = [known[w] for w in words] if not long else [known.get(w) or long[w] for w in words]
+        if self.held > self.most:  # what is used goes on from one generation to the next
+            self.older, self.known, self.held = known, {}, 0
         return b"".join([g[0] for g in got]), " ".join([g[1] for g in got if g[0]])
 
     def rest(self) -> None:
         """Between tasks a worker holds no cache: the memory may be needed by other steps."""
-        self.known, self.older = {}, {}
-        pa.default_memory_pool().release_unused()
+        self.known, self.older, self.held = {}, {}, 0
+        trim_memory()
 
 
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def _encoder(path: str, entries: int) -> Encoder:
+def _encoder(path: str, most: int) -> Encoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
-    _ENCODERS[path].entries = entries
+    _ENCODERS[path].most = most
     return _ENCODERS[path]
 
 
-def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", digests_only: bool = False, entries: int = CACHE_ENTRIES) -> DataFrame:
+def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", digests_only: bool = False, cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """One row for each row of ``docs``: number of tokens, digests, and (unless ``digests_only``) ids and decoded text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _encoder(tokenizer_path, entries)
+        coder = _encoder(tokenizer_path, cache_bytes)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             rows: list[list] = [[] for _ in range(6)]
@@ -180,7 +171,7 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         coder.rest()
 
     small_batches(docs.sparkSession)
-    source = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("long"), F.col("text").cast("string"))
+    source = pick(docs, id=id_col, text=text_col).select(as_id(F.col("id")).alias("id"), F.col("text").cast("string"))
     return source.mapInArrow(run, DIGESTS if digests_only else SCHEMA)
 
 
