@@ -1,28 +1,34 @@
 """Language-model scoring by a weighted backoff automaton.
 
-Tokens: the words of a text (A-Z lower-cased, parted by blank and U+0009 to U+000D) and one end. The model is a bigram
-model, interpolated with weights by classes of context frequency (bucketed Jelinek-Mercer):
-
-    P0(w)   = (c(w) + 0.5) / (N + 0.5 (V + 1))
-    P(w|h)  = (1 - a(h)) c(hw) / c(h) + a(h) P0(w)
-
-where a(h) is the share of once-seen successors among all successors of contexts as frequent as h (powers of two). As an
-automaton: each known word (and the begin of a text) is a state; seen bigrams are its arcs, weighted log10 P(w|h); all
-other words leave by its failure arc, weighted log10 a(h), to the root, whose arcs weigh log10 P0(w). After word w the
-state is w's, or the root if w is unknown. One left-to-right pass carries the state and adds up the weights. As the state
-is settled by the last word alone, a block of texts is passed in one vectorized sweep; ``Automaton`` is the same in plain
-steps.
-
-No machine holds the model. Texts are packed into blocks of bounded size. Each block asks for the n-grams that occur in
-it, once each: it sends sorted 64-bit hashes with its own training counts to shards by range of hash; a shard adds up
-and answers with the totals, so a frequent n-gram is one entry for each block, however often it occurs. Each block is
-thus joined with just the part of the automaton that its texts can reach. Shards grow in number with the input.
-(Words have 64-bit hashes, bigrams 56-bit ones: two that share a hash add up their counts. Among 10^9 different words
-the chance of any such pair is 3 %; of 10^9 bigrams about 14 have a partner.)
+Tokens: the words of a text (A-Z lower-cased, parted by blank and U+0009 to U+000D) and one end. The model is of order
+``ORDER``, interpolated with weights by classes of context frequency (bucketed Jelinek-Mercer):
+
+    P0(w)    = (c(w) + 0.5) / (N + 0.5 (V + 1))
+    P(w|h)   = (1 - a(h)) c(hw) / c(h) + a(h) P(w|h')        h' is h without its first word; P(w|) = P0(w)
+
+where a(h) is the share of once-seen successors among all successors of contexts of the same length that are as frequent
+as h (powers of two). A text's first word has the context "begin", the second "begin" and the first word, and so on.
+
+The automaton: states are the contexts seen in training, from the root (no context) to ORDER - 1 words. A seen n-gram is
+an arc from its context, weighted log10 P(w|h), to the longest context that it ends in. Any other word leaves a state by
+its failure arc, weighted log10 a(h), to the state of h'. The root has an arc for every word, weighted log10 P0(w). One
+left-to-right pass carries the state, adds up weights, and follows failure arcs until a word's arc is found.
+
+No machine holds the whole automaton. Texts are packed into blocks of bounded size. For each order a block asks for its
+distinct n-grams: it sends sorted hashes with its own training counts to shards by range of hash; a shard adds up and
+answers with the totals. With these each block builds the part of the automaton that its texts can reach, and passes its
+texts through it, in lanes of ``LANE`` tokens at a time: as a state depends on the last ORDER - 1 words alone, a lane
+that starts inside a text takes a run-up of so many words, whose weights don't count, and is then in the state that a
+single pass would have reached. ``Automaton`` is the same over texts in memory, one word at a time.
+
+Shards grow in number with the input, so that none outgrows a task. Blocks times shards are the rows of an exchange, but
+never more than there are n-grams: a shard is sent nothing if a block has none for it. Words have 64-bit hashes, longer
+n-grams 56-bit ones; two that share a hash add up their counts. Among 10^9 different words the chance of any such pair
+is 3 %; of 10^9 n-grams about 14 have a partner. Counts are 64-bit integers.
 
 Rows whose id's CRC-32 (of its decimal text; null: of the empty text) is 1 modulo 5 are held out of training. Null texts
 count as empty: one token, the end. Repeated rows are separate texts. No training rows: N = V = 0, and all scores are
-those of P0. Empty table: empty result. Other columns are ignored.
+those of P0. Empty table: empty result. Ids are integers; others count as null. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +38,7 @@ import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -40,9 +47,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm.shared import materialize, pick, release, small_batches
+from canopy.llm.shared import as_id, drop_tables, materialize, pick, release, small_batches
 
-BLOCK_TOKENS, SHARD_CHARS, CLASSES = 1_000_000, 8 << 20, 64
+ORDER, BLOCK_TOKENS, SHARD_CHARS, CLASSES, LANE = 3, 1_000_000, 8 << 20, 64, 256
 END = np.uint64(0x9E3779B97F4A7C15)  # stands for the hash of the end, and of the begin as a context
 
 
@@ -81,12 +88,14 @@ def _unpack(b: bytes) -> np.ndarray:
 
 
 def _small(x: np.ndarray) -> bytes:
-    return len(x).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(x, "<u4").tobytes(), codec="zstd", asbytes=True)
+    """Numbers from 0 on, in as many bytes as the largest takes (4 or 8), compressed."""
+    kind = "<u8" if len(x) and int(x.max()) >= 1 << 32 else "<u4"
+    return kind[1:].encode() + len(x).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(x, kind), codec="zstd", asbytes=True)
 
 
 def _large(b: bytes) -> np.ndarray:
-    n = int.from_bytes(b[:8], "little")
-    return np.frombuffer(pa.decompress(b[8:], 4 * n, codec="zstd", asbytes=True), "<u4") if n else np.zeros(0, "<u4")
+    kind, n = "<" + b[:2].decode(), int.from_bytes(b[2:10], "little")
+    return np.frombuffer(pa.decompress(b[10:], n * int(kind[2]), codec="zstd", asbytes=True), kind).astype(np.int64) if n else np.zeros(0, np.int64)
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -95,6 +104,10 @@ def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
         yield {name: batch.column(name)[i].as_py() for name in batch.schema.names}
 
 
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
 D_SCHEMA = "block string, doc_ids binary, nulls binary, lengths binary, hashes binary, tokens binary"
 
 
@@ -112,7 +125,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = np.cumsum([0] + [len(h[2]) for h in held])[:-1]
         tokens = np.concatenate([inverse[s + h[3]] for s, h in zip(starts, held, strict=True)]) if size else np.zeros(0)
         row = (uuid.uuid4().hex, ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes(), ids.is_null().to_numpy(zero_copy_only=False).tobytes(), _small(lengths), _pack(hashes), _small(tokens))
-        return pa.RecordBatch.from_arrays([pa.array([row[0]])] + [pa.array([x], pa.binary()) for x in row[1:]], [x.split()[0] for x in D_SCHEMA.split(", ")])
+        return pa.RecordBatch.from_arrays([pa.array([row[0]])] + [pa.array([x], pa.binary()) for x in row[1:]], _names(D_SCHEMA))
 
     for batch in batches:
         start = 0
@@ -135,32 +148,36 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Block:
-    """What a block row holds, with ends put in: ``token`` are places in ``unigrams``, ``pair`` in ``bigrams``."""
+    """A block's texts with ends put in: ``token`` are places in ``words``, the sorted hashes of its words and the end."""
 
     def __init__(self, row):
         self.ids = np.frombuffer(row["doc_ids"], "<i8")
         self.nulls = np.frombuffer(row["nulls"], bool)
-        self.lengths = _large(row["lengths"]).astype(np.int64) + 1
-        words = _unpack(row["hashes"])
-        place = _large(row["tokens"])
-        self.unigrams = np.unique(np.append(words, END))
-        ends = np.cumsum(self.lengths) - 1
+        self.lengths = _large(row["lengths"]) + 1
+        hashes = _unpack(row["hashes"])
+        self.words = np.unique(np.append(hashes, END))
+        self.end = int(np.searchsorted(self.words, END))
+        self.starts = np.cumsum(self.lengths) - self.lengths
         total = int(self.lengths.sum())
         is_end = np.zeros(total, bool)
-        is_end[ends] = True
-        self.token = np.full(total, np.searchsorted(self.unigrams, END), np.int32)
-        self.token[~is_end] = np.searchsorted(self.unigrams, words).astype(np.int32)[place]
-        # the begin of a text, as a context, is the end of the text before
-        self.context = np.concatenate((self.token[ends[-1:]], self.token[:-1]))
+        is_end[self.starts + self.lengths - 1] = True
+        self.token = np.full(total, self.end, np.int32)
+        self.token[~is_end] = np.searchsorted(self.words, hashes).astype(np.int32)[_large(row["tokens"])]
+        self.offset = np.arange(total) - np.repeat(self.starts, self.lengths)
         self.held = np.array([held_out(None if null else int(i)) for i, null in zip(self.ids, self.nulls, strict=True)], bool)
         self.train = np.repeat(~self.held, self.lengths)
-        # 56 bits of a bigram's hash, kept at the top: they pack to fewer bytes
-        hashes = (_mix(self.unigrams[self.context], self.unigrams[self.token]) >> np.uint64(8)) << np.uint64(8)
-        self.bigrams, pair = np.unique(hashes, return_inverse=True)
-        self.pair = pair.astype(np.int32)
 
-    def counts(self) -> tuple[np.ndarray, np.ndarray]:
-        return (np.bincount(self.token[self.train], minlength=len(self.unigrams)), np.bincount(self.pair[self.train], minlength=len(self.bigrams)))
+    def grams(self, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """By order: sorted hashes of the distinct n-grams, where n-grams end, and which of the distinct each is."""
+        every = np.arange(len(self.token))
+        yield 1, self.words, every, self.token
+        own = self.words[self.token]
+        hashes = np.where(self.offset > 0, np.roll(own, 1), END)  # the begin has the hash of the end
+        for n in range(2, most + 1):
+            hashes = _mix(hashes if n == 2 else np.roll(hashes, 1), own)
+            ends = every if n == 2 else np.flatnonzero(self.offset >= n - 2)
+            distinct, which = np.unique((hashes[ends] >> np.uint64(8)) << np.uint64(8), return_inverse=True)
+            yield n, distinct, ends, which.astype(np.int32)
 
 
 def _cuts(x: np.ndarray, shards: int) -> np.ndarray:
@@ -170,82 +187,76 @@ def _cuts(x: np.ndarray, shards: int) -> np.ndarray:
     return np.concatenate(([0], np.searchsorted(x, edges), [len(x)]))
 
 
-ASK = "shard int, block string, uh binary, uc binary, bh binary, bc binary"
+ASK = "shard int, block string, h binary, c binary"
 
 
-def _ask(shards: int):
+def _ask(order: int, shards: int):
+    """What each block sends to each shard: hashes of its distinct n-grams, and how often they occur in training."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _rows(batch):
                 b = _Block(row)
-                (uc, bc), ucut, bcut = b.counts(), _cuts(b.unigrams, shards), _cuts(b.bigrams, shards)
-                rows = [
-                    (s, row["block"], _pack(b.unigrams[u0:u1]), _small(uc[u0:u1]), _pack(b.bigrams[b0:b1] >> np.uint64(8)), _small(bc[b0:b1]))
-                    for s, (u0, u1, b0, b1) in enumerate(zip(ucut, ucut[1:], bcut, bcut[1:], strict=False))
-                    if u1 > u0 or b1 > b0
-                ]
-                cols = list(zip(*rows, strict=True))
-                kinds = (pa.int32(), pa.string(), *[pa.binary()] * 4)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in ASK.split(", ")])
+                *_, (_, distinct, ends, which) = b.grams(order)
+                counts, cut = np.bincount(which[b.train[ends]], minlength=len(distinct)), _cuts(distinct, shards)
+                if order > 1:
+                    distinct = distinct >> np.uint64(8)
+                rows = [(s, row["block"], _pack(distinct[lo:hi]), _small(counts[lo:hi])) for s, (lo, hi) in enumerate(zip(cut, cut[1:], strict=False)) if hi > lo]
+                cols = list(zip(*rows, strict=True)) or [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.string(), pa.binary(), pa.binary()), strict=True)], _names(ASK))
 
     return run
 
 
-ANSWER = "shard int, block string, ut binary, bt binary, n long, v long"
+ANSWER = "shard int, block string, t binary, n long, v long"
 
 
 def _answer(asked: pd.DataFrame) -> pd.DataFrame:
-    """A shard's totals for each block that asked; n and v (of the shard) stand in its first row."""
-    out = {}
-    for hashes, counts in (("uh", "uc"), ("bh", "bc")):
-        parts = [_unpack(x) for x in asked[hashes]]
-        every, inverse = np.unique(np.concatenate(parts), return_inverse=True)
-        total = np.bincount(inverse, weights=np.concatenate([_large(x) for x in asked[counts]]), minlength=len(every)).astype(np.int64)
-        ends = np.cumsum([len(p) for p in parts])
-        out[hashes] = [_small(np.minimum(total[inverse[e - len(p) : e]], 2**32 - 1)) for p, e in zip(parts, ends, strict=True)]
-        if hashes == "uh":
-            n, v = int(total.sum()), int((total > 0).sum())
+    """A shard's totals for each block that asked; in its first row n (occurrences) and v (distinct n-grams) of the shard."""
+    parts = [_unpack(x) for x in asked["h"]]
+    every, inverse = np.unique(np.concatenate(parts), return_inverse=True)
+    total = np.bincount(inverse, weights=np.concatenate([_large(x) for x in asked["c"]]), minlength=len(every)).astype(np.int64)  # exact below 2^53
+    ends = np.cumsum([len(p) for p in parts])
     first = np.arange(len(asked)) == 0
-    return pd.DataFrame({"shard": asked["shard"], "block": asked["block"], "ut": out["uh"], "bt": out["bh"], "n": np.where(first, n, 0), "v": np.where(first, v, 0)})
+    answers = [_small(total[inverse[e - len(p) : e]]) for p, e in zip(parts, ends, strict=True)]
+    return pd.DataFrame({"shard": asked["shard"], "block": asked["block"], "t": answers, "n": np.where(first, total.sum(), 0), "v": np.where(first, (total > 0).sum(), 0)})
 
 
-KNOWN = "block string, doc_ids binary, nulls binary, lengths binary, cw binary, chw binary"
+KNOWN = D_SCHEMA + ", counts array<binary>, successors array<long>, once array<long>"
 
 
-def _join(blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-    """For each token of a block: counts of the word, and of it with its context."""
-    if not len(blocks):
-        return pd.DataFrame(columns=[x.split()[0] for x in KNOWN.split(", ")])
-    row = blocks.iloc[0]
-    b = _Block(row)
-    answers = answers.sort_values("shard")
-    unigrams, bigrams = (np.concatenate([_large(x) for x in answers[c]]) for c in ("ut", "bt"))
-    return pd.DataFrame([(row["block"], row["doc_ids"], row["nulls"], row["lengths"], _small(unigrams[b.token]), _small(bigrams[b.pair]))], columns=[x.split()[0] for x in KNOWN.split(", ")])
+def _class(c: np.ndarray) -> np.ndarray:
+    return np.log2(np.maximum(c, 1)).astype(np.int64)
 
 
-def _counted(row: dict):
-    ids, nulls = np.frombuffer(row["doc_ids"], "<i8"), np.frombuffer(row["nulls"], bool)
-    held = np.array([held_out(None if null else int(i)) for i, null in zip(ids, nulls, strict=True)], bool)
-    lengths = _large(row["lengths"]).astype(np.int64) + 1
-    cw, chw = (_large(row[c]).astype(np.int64) for c in ("cw", "chw"))
-    ch = np.concatenate((cw[-1:], cw[:-1]))  # the context is the token before; the begin counts as often as the end
-    return ids, nulls, held, lengths, cw, ch, chw
+def _context(b: _Block, n: int, ends: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+    """Which (n-1)-grams are the contexts of the n-grams that end at ``ends``; ``shorter``: by where they end."""
+    return np.where(b.offset[ends] > 0, shorter[ends - 1], b.end) if n == 2 else shorter[ends - 1]
 
 
-def _class(ch: np.ndarray) -> np.ndarray:
-    return np.log2(np.maximum(ch, 1)).astype(np.int64)
+def _join(order: int):
+    """A block with the counts of its distinct n-grams, and its training successors by length and frequency of contexts."""
 
+    def run(blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        if not len(blocks):
+            return pd.DataFrame(columns=_names(KNOWN))
+        row = blocks.iloc[0]
+        answers = answers.sort_values(["order", "shard"])
+        none = np.zeros(0, np.int64)  # a block of empty texts has no longer n-grams
+        counts = [np.concatenate([none, *[_large(x) for x in answers["t"][answers["order"] == n]]]) for n in range(1, order + 1)]
+        b, successors, once = _Block(row), [], []
+        for n, _, ends, which in b.grams(order):
+            if n > 1:
+                train = ends[b.train[ends]]
+                mine = which[b.train[ends]]
+                kind = _class(counts[n - 2][_context(b, n, train, by_end)])
+                successors.append(np.bincount(kind, minlength=CLASSES))
+                once.append(np.bincount(kind[counts[n - 1][mine] == 1], minlength=CLASSES))
+            by_end = np.zeros(len(b.token), np.int32)
+            by_end[ends] = which
+        return pd.DataFrame([(*[row[x] for x in _names(D_SCHEMA)], [_small(c) for c in counts], np.concatenate(successors), np.concatenate(once))], columns=_names(KNOWN))
 
-def _novelty(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """By class of context frequency: training successors, and those seen once."""
-    total = np.zeros((2, CLASSES), np.int64)
-    for batch in batches:
-        for row in _rows(batch):
-            _, _, held, lengths, _, ch, chw = _counted(row)
-            train = np.repeat(~held, lengths)
-            kind = _class(ch[train])
-            total += np.stack([np.bincount(kind, minlength=CLASSES), np.bincount(kind[chw[train] == 1], minlength=CLASSES)])
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES), pa.int32()), pa.array(total[0]), pa.array(total[1])], ["kind", "n", "once"])
+    return run
 
 
 def leaving(n: float, once: float) -> float:
@@ -253,71 +264,160 @@ def leaving(n: float, once: float) -> float:
     return (once + 0.5) / (n + 1.0)
 
 
+class _Machine:
+    """The part of the automaton that a block's texts can reach. State 0 is the root, 1 + w the context of word w alone."""
+
+    def __init__(self, b: _Block, counts: list[np.ndarray], leave: np.ndarray, n: int, v: int):
+        words, order = len(b.words), len(counts)
+        self.words = words
+        p = (counts[0] + 0.5) / (n + 0.5 * (v + 1))
+        self.root_weight = np.log10(p)
+        self.root_next = np.where(counts[0] > 0, np.arange(words) + 1, 0)
+        self.begin = int(self.root_next[b.end])
+        fail_weight, fail = [np.zeros(1), np.log10(leave[0][_class(counts[0])])], [np.zeros(1 + words, np.int64)]
+        keys, weights, nexts = [], [], []
+        base = 1  # states of the contexts one word shorter
+        for k, distinct, ends, which in b.grams(order):
+            if k > 1:
+                at = np.zeros(len(distinct), np.int64)
+                at[which] = ends  # a place of each n-gram
+                mine, word = counts[k - 1], b.token[at]
+                context, suffix = _context(b, k, at, by_end), by_end[at]
+                a = leave[k - 2][_class(counts[k - 2][context])]
+                p = (1 - a) * mine / np.maximum(counts[k - 2][context], 1) + a * p[suffix]
+                seen = np.flatnonzero(mine > 0)
+                keys.append((base + context[seen]).astype(np.int64) * words + word[seen])
+                weights.append(np.log10(p[seen]))
+                if k < order:
+                    above = base + len(counts[k - 2])
+                    nexts.append(above + seen)
+                    fail_weight.append(np.log10(leave[k - 1][_class(mine)]))
+                    fail.append(base + suffix)
+                    base = above
+                else:
+                    nexts.append(base + suffix[seen])
+            by_end = np.zeros(len(b.token), np.int32)
+            by_end[ends] = which
+        self.fail_weight, self.fail = np.concatenate(fail_weight), np.concatenate(fail).astype(np.int64)
+        key = np.concatenate(keys)
+        by = np.argsort(key)
+        self.key = np.append(key[by], np.int64((1 << 63) - 1))
+        self.weight, self.next = np.concatenate(weights)[by], np.concatenate(nexts)[by].astype(np.int64)
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states, and the weights of the arcs taken, failure arcs among them."""
+        weight, after, state = np.zeros(len(state)), np.zeros(len(state), np.int64), state.copy()
+        todo = np.arange(len(state))
+        while len(todo):
+            top = state[todo] == 0
+            here = todo[top]
+            weight[here] += self.root_weight[word[here]]
+            after[here] = self.root_next[word[here]]
+            todo = todo[~top]
+            key = state[todo] * self.words + word[todo]
+            at = np.searchsorted(self.key, key)
+            hit = self.key[at] == key
+            here, at = todo[hit], at[hit]
+            weight[here] += self.weight[at]
+            after[here] = self.next[at]
+            todo = todo[~hit]
+            weight[todo] += self.fail_weight[state[todo]]
+            state[todo] = self.fail[state[todo]]
+        return after, weight
+
+    def run(self, b: _Block, run_up: int) -> np.ndarray:
+        """Scores of the block's texts."""
+        pieces = -(-b.lengths // LANE)
+        text = np.repeat(np.arange(len(b.lengths)), pieces)
+        inside = (np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * LANE
+        before = np.minimum(inside, run_up)
+        length = before + np.minimum(b.lengths[text] - inside, LANE)
+        by = np.argsort(-length, kind="stable")
+        text, inside, before, length = text[by], inside[by], before[by], length[by]
+        first = b.starts[text] + inside - before
+        state = np.where(inside == before, self.begin, 0)  # others are set right by their run-up
+        score = np.zeros(len(text))
+        for t in range(int(length[0]) if len(length) else 0):
+            lanes = int(np.searchsorted(-length, -t, side="left"))  # those longer than t
+            state[:lanes], weight = self.step(state[:lanes], b.token[first[:lanes] + t])
+            score[:lanes] += np.where(before[:lanes] <= t, weight, 0.0)
+        return np.bincount(text, weights=score, minlength=len(b.lengths))
+
+
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``docs``, see SCORES; base_score is that of P0 alone."""
-    small_batches(docs.sparkSession)
-    source = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("long"), F.col("text").cast("string"))
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
+    """One row for each row of ``docs``, see SCORES; base_score is that of P0 alone. ``order``: 2 or more."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    source = pick(docs, id=id_col, text=text_col).select(as_id(F.col("id")).alias("id"), F.col("text").cast("string"))
     chars = source.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = 1 << max(0, math.ceil(math.log2(max(1, chars / SHARD_CHARS))))
     blocks = materialize(source.mapInArrow(_blocks, D_SCHEMA), "lm-blocks", "none")
-    answers = materialize(blocks.mapInArrow(_ask(shards), ASK).groupBy("shard").applyInPandas(_answer, ANSWER), "lm-answers", "none")
-    release(docs.sparkSession)
-    sums = answers.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
+    answers = []
+    for n in range(1, order + 1):
+        answers.append(materialize(blocks.mapInArrow(_ask(n, shards), ASK).groupBy("shard").applyInPandas(_answer, ANSWER), "lm-answers", "none"))
+        release(spark)
+    sums = answers[0].agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n, v = sums["n"] or 0, sums["v"] or 0
-    known = blocks.groupBy("block").cogroup(answers.select("block", "shard", "ut", "bt").groupBy("block")).applyInPandas(_join, KNOWN)
-    known = materialize(known, "lm-known", "none")
-    release(docs.sparkSession)
-    classes = known.mapInArrow(_novelty, "kind int, n long, once long").groupBy("kind").agg(F.sum("n").alias("n"), F.sum("once").alias("once")).collect()  # CLASSES rows
-    leave = np.ones(CLASSES)
-    for r in classes:
+    every = reduce(DataFrame.unionByName, [a.select("block", "shard", "t", F.lit(i + 1).alias("order")) for i, a in enumerate(answers)])
+    known = materialize(blocks.groupBy("block").cogroup(every.groupBy("block")).applyInPandas(_join(order), KNOWN), "lm-known", "none")
+    drop_tables(blocks, *answers)
+    release(spark)
+    size = (order - 1) * CLASSES
+    kinds = known.select(F.posexplode(F.arrays_zip("successors", "once")).alias("kind", "s"))
+    kinds = kinds.groupBy("kind").agg(F.sum("s.successors").alias("n"), F.sum("s.once").alias("once")).collect()  # (order - 1) x CLASSES rows
+    leave = np.full(size, leaving(0, 0))
+    for r in kinds:
         leave[r["kind"]] = leaving(r["n"], r["once"])
+    leave = leave.reshape(order - 1, CLASSES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in _rows(batch):
-                ids, nulls, held, lengths, cw, ch, chw = _counted(row)
-                p0 = (cw + 0.5) / (n + 0.5 * (v + 1))
-                base = np.log10(p0)
-                a = leave[_class(ch)]
-                arc = np.log10((1 - a) * chw / np.maximum(ch, 1) + a * p0)
-                weight = np.where(ch == 0, base, np.where(chw > 0, arc, np.log10(a) + base))
-                starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+            for row in _rows(batch.select([*_names(D_SCHEMA), "counts"])):
+                b, counts = _Block(row), [_large(c) for c in row["counts"]]
+                base = np.log10((counts[0] + 0.5) / (n + 0.5 * (v + 1)))[b.token]
                 cols = [
-                    pa.array(ids, pa.int64(), mask=nulls), pa.array(held), pa.array(lengths), pa.array(np.add.reduceat((cw > 0).astype(np.int64), starts)),
-                    pa.array(np.full(len(ids), n, np.int64)), pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(weight, starts)),
+                    pa.array(b.ids, pa.int64(), mask=b.nulls), pa.array(b.held), pa.array(b.lengths), pa.array(np.add.reduceat((counts[0] > 0)[b.token].astype(np.int64), b.starts)),
+                    pa.array(np.full(len(b.ids), n, np.int64)), pa.array(np.add.reduceat(base, b.starts)), pa.array(_Machine(b, counts, leave, n, v).run(b, order - 1)),
                 ]
-                yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in SCORES.split(", ")])
+                yield pa.RecordBatch.from_arrays(cols, _names(SCORES))
 
-    return known.mapInArrow(run, SCORES)
+    return known.drop("successors", "once").mapInArrow(run, SCORES)
 
 
 class Automaton:
-    """The same model over texts in memory, state by state."""
+    """The same model over texts in memory, state by state. States are tuples of words; the begin is one."""
 
-    ROOT, BEGIN, STOP = None, ("begin",), ("end",)
+    ROOT, BEGIN, STOP = (), ("begin",), ("end",)
 
-    def __init__(self, training: list[str | None]):
-        self.c: Counter = Counter()
-        pairs: Counter = Counter()
+    def __init__(self, training: list[str | None], order: int = ORDER):
+        self.order = order
+        grams = [Counter() for _ in range(order + 1)]
         for text in training:
-            words = [*self.words(text), self.STOP]
-            self.c.update(words)
-            pairs.update(zip([self.BEGIN, *words], words, strict=False))
+            words = [self.BEGIN, *self.words(text), self.STOP]
+            for k in range(1, order + 1):
+                grams[k].update(tuple(words[i : i + k]) for i in range(len(words) - k + 1))
+        self.c = Counter({g[0]: n for g, n in grams[1].items() if g[0] != self.BEGIN})
         self.n, self.v = sum(self.c.values()), len(self.c)
-        self.of = lambda h: self.c[self.STOP if h == self.BEGIN else h]
-        n, once = [0] * CLASSES, [0] * CLASSES
-        for (h, _), k in pairs.items():
-            n[self.of(h).bit_length() - 1] += k
-            once[self.of(h).bit_length() - 1] += k == 1
-        leave = [leaving(a, b) for a, b in zip(n, once, strict=True)]
-        self.fail = {h: math.log10(leave[self.of(h).bit_length() - 1]) for h in {h for h, _ in pairs}}
-        self.arcs: dict = {h: {} for h in self.fail}
-        for (h, w), k in pairs.items():
-            a = leave[self.of(h).bit_length() - 1]
-            self.arcs[h][w] = math.log10((1 - a) * k / self.of(h) + a * self.p0(w))
+        leave = [[0.5] * CLASSES for _ in range(order + 1)]
+        for k in range(2, order + 1):
+            n, once = [0] * CLASSES, [0] * CLASSES
+            for g, count in grams[k].items():
+                kind = grams[k - 1][g[:-1]].bit_length() - 1
+                n[kind] += count
+                once[kind] += count == 1
+            leave[k - 1] = [leaving(a, b) for a, b in zip(n, once, strict=True)]
+        away = lambda h: leave[len(h)][grams[len(h)][h].bit_length() - 1]
+        self.fail = {g: math.log10(away(g)) for k in range(1, order) for g in grams[k]}
+        self.p = {(w,): self.p0(w) for w in self.c}
+        self.arcs: dict = {}
+        for k in range(2, order + 1):
+            for g, count in grams[k].items():
+                a = away(g[:-1])
+                self.p[g] = (1 - a) * count / grams[k - 1][g[:-1]] + a * self.p[g[1:]]
+                self.arcs.setdefault(g[:-1], {})[g[-1]] = math.log10(self.p[g])
 
     @staticmethod
     def words(text: str | None) -> list:
@@ -326,17 +426,19 @@ class Automaton:
     def p0(self, w) -> float:
         return (self.c[w] + 0.5) / (self.n + 0.5 * (self.v + 1))
 
-    def step(self, state, word) -> tuple[object, float]:
+    def step(self, state: tuple, word) -> tuple[tuple, float]:
         """The next state, and the weight of the arcs taken."""
         weight = 0.0
-        if state is not self.ROOT:
-            if (arc := self.arcs[state].get(word)) is not None:
-                return word, arc
-            weight = self.fail[state]
-        return (word if word in self.arcs else self.ROOT), weight + math.log10(self.p0(word))
+        while True:
+            arc = math.log10(self.p0(word)) if state == self.ROOT else self.arcs.get(state, {}).get(word)
+            if arc is not None:
+                after = (*state, word)[-(self.order - 1) :]
+                return (after if after in self.fail else self.ROOT), weight + arc
+            weight += self.fail[state]
+            state = state[1:]
 
     def score(self, text: str | None) -> float:
-        state, total = (self.BEGIN if self.BEGIN in self.arcs else self.ROOT), 0.0
+        state, total = ((self.BEGIN,) if (self.BEGIN,) in self.fail else self.ROOT), 0.0
         for w in [*self.words(text), self.STOP]:
             state, weight = self.step(state, w)
             total += weight
