@@ -2,7 +2,9 @@
 
 Order: decode, compose, line ends; remote only: rich tags, then unknown tags; page tags; title line, HTML tables, prose
 between code fences; then the lines: image lines (remote), link lines and page lines go, ends are trimmed; one newline
-at the end. ``canonical`` keeps rows that need no Python (no character beyond U+02FF, no tag) in the JVM altogether.
+at the end. What takes Python is given only the texts that need it (characters beyond U+02FF, tags, tables); of all
+others nothing crosses to a worker. Every step is bound to a name of its own, so that no expression is repeated inside
+another and generated code stays small.
 """
 
 from __future__ import annotations
@@ -15,7 +17,11 @@ from pyspark.sql import functions as F
 from canopy.functions import kernels
 from canopy.functions import patterns as P
 
-NEEDS_PYTHON = r"[^\x{0}-\x{2FF}]|<[A-Za-z]"
+def bound(text: Column, *steps) -> Column:
+    """The steps one after the other, each over a value that is computed once."""
+    for step in steps:
+        text = F.get(F.transform(F.array(text), step), F.lit(0))
+    return text
 
 
 def decode(content: Column) -> Column:
@@ -62,8 +68,10 @@ def strip_title(text: Column, title: Column) -> Column:
     top = r"^((?:[^\S\n]*\n)*) {0,3}#[ \t]+"
     # the heading and what it says, from the text's begin only
     head = F.regexp_extract(text, "(?U)" + top + r"([^\n]+?)[ \t]*(?:\n|\z)", 2)
-    cut = F.regexp_replace(text, "(?U)" + top + r"[^\n]*(?:\n|\z)(?:[^\S\n]*(?:\n|\z))?", "$1")
-    ended = F.when(F.endswith(cut, F.lit("\n")) & ~F.endswith(text, F.lit("\n")) & F.regexp_replace(cut, r"(?U)\s", "").eqNullSafe(F.lit("")), F.regexp_replace(cut, r"\n\z", "")).otherwise(cut)
+    rest = F.regexp_replace(text, "(?U)" + top + r"[^\n]*(?:\n|\z)(?:[^\S\n]*(?:\n|\z))?", "$1")
+    # nothing but blanks is left of a text that had no newline at its end
+    bare = F.endswith(rest, F.lit("\n")) & ~F.endswith(text, F.lit("\n")) & ~rest.rlike(r"(?U)\S")
+    ended = F.when(bare, F.regexp_replace(rest, r"\n\z", "")).otherwise(rest)
     return F.when((title != "") & (head == title), ended).otherwise(text)
 
 
@@ -97,9 +105,8 @@ def collapse_blank_lines(text: Column) -> Column:
 
 
 def prose(text: Column) -> Column:
-    text = unescape_prose(table_separators(text))
-    linked = unwrap_autolinks(unwrap_bare_domains(text))
-    return collapse_blank_lines(F.when(F.contains(text, F.lit("](")), linked).otherwise(text))
+    unwrapped = lambda x: F.when(F.contains(x, F.lit("](")), unwrap_autolinks(unwrap_bare_domains(x))).otherwise(x)
+    return bound(text, table_separators, unescape_prose, unwrapped, collapse_blank_lines)
 
 
 def fenced(block: Column) -> Column:
@@ -129,53 +136,45 @@ def line_pass(text: Column, remote: bool, dialect: P.Dialect = P.DEFAULT) -> Col
 
 
 def last_newline(text: Column) -> Column:
-    bare = F.regexp_replace(text, r"\n+\z", "")
-    return F.when(bare == "", F.lit("")).otherwise(F.concat(bare, F.lit("\n")))
+    return bound(F.regexp_replace(text, r"\n+\z", ""), lambda bare: F.when(bare == "", bare).otherwise(F.concat(bare, F.lit("\n"))))
 
 
-def _steps(mode: str, title: Column | None, dialect: P.Dialect, python: bool) -> list:
-    """The steps in order, each from a column to a column."""
-    remote = mode == "remote"
-    steps = [kernels.nfc] if python else []
-    steps.append(line_ends)
-    if remote:
-        steps += [strip_rich_tags] + [kernels.swept] * python
-    steps.append(strip_page_tags)
-    if title is not None:
-        steps.append(lambda text: strip_title(text, title))
-    if python:
-        steps.append(kernels.pipe_tables)
-    return [*steps, prose_and_code, lambda text: line_pass(text, remote, dialect), last_newline]
-
-
-def _check(mode: str) -> None:
+def _where(pattern: str, kernel):
+    """``kernel`` for the texts that have the pattern; it sees nulls in place of the others.
+
+    Marked as not deterministic, so that its projection is not merged into others and it runs once.
+    """
+    once = kernel.asNondeterministic()
+    return lambda text: F.coalesce(once(F.when(text.rlike(pattern), text)), text)
+
+
+#: What Python does, and the texts that need it.
+COMPOSE, SWEEP, TABLES = (r"[^\x{0}-\x{2FF}]", kernels.nfc), ("<[A-Za-z]", kernels.swept), ("(?i)<table", kernels.pipe_tables)
+
+
+def _steps(mode: str, title: Column | None, dialect: P.Dialect, python) -> list:
+    """Steps in order, each from a column to a column; ``python(pattern, kernel)`` makes those of Python."""
     if mode not in {"local", "remote"}:
         raise ValueError(mode)
+    remote = mode == "remote"
+    titled = [] if title is None else [lambda text: strip_title(text, title)]
+    tags = [lambda text: bound(text, line_ends, strip_rich_tags), python(*SWEEP), lambda text: bound(text, strip_page_tags, *titled)]
+    plain = [lambda text: bound(text, line_ends, strip_page_tags, *titled)]
+    lines = lambda text: bound(text, prose_and_code, lambda x: line_pass(x, remote, dialect), last_newline)
+    return [python(*COMPOSE), *(tags if remote else plain), python(*TABLES), lines]
 
 
 def normalize(text: Column, mode: str = "local", title: Column | None = None, dialect: P.Dialect = P.DEFAULT) -> Column:
-    """The canonical form as one column, through Arrow. For whole tables ``canonical`` makes a far smaller plan."""
-    _check(mode)
-    return reduce(lambda c, step: step(c), _steps(mode, title, dialect, True), text)
+    """The canonical form as one column; every text goes through Python. For whole tables take ``canonical``."""
+    return reduce(lambda c, step: step(c), _steps(mode, title, dialect, lambda pattern, kernel: kernel), text)
 
 
 def canonical(df: DataFrame, text: str, out: str, mode: str = "local", title: Column | None = None, dialect: P.Dialect = P.DEFAULT) -> DataFrame:
-    """``df`` plus column ``out`` (or with it replaced). Rows without tags and composable characters never leave the JVM.
-
-    Each step is a projection over the one before, so that no expression is repeated inside another.
-    """
-    _check(mode)
-    hard = F.coalesce(F.col(text).rlike(NEEDS_PYTHON), F.lit(False))
-    named = df if title is None else df.withColumn("__title", title)
-    said = None if title is None else F.col("__title")
-
-    def through(rows: DataFrame, python: bool) -> DataFrame:
-        rows = rows.withColumn("__text", F.col(text))
-        for step in _steps(mode, said, dialect, python):
-            rows = rows.withColumn("__text", step(F.col("__text")))
-        return rows.withColumn(out, F.col("__text")).drop("__text", "__title")
-
-    return through(named.where(~hard), False).unionByName(through(named.where(hard), True))
+    """``df`` plus column ``out`` (or with it replaced), in one pass over ``df``. Null texts stay null."""
+    rows = df.withColumn("__text", F.col(text)) if title is None else df.withColumns({"__text": F.col(text), "__title": title})
+    for step in _steps(mode, None if title is None else F.col("__title"), dialect, _where):
+        rows = rows.withColumn("__text", step(F.col("__text")))
+    return rows.withColumn(out, F.col("__text")).drop("__text", "__title")
 
 
 def fingerprint(text: Column) -> Column:

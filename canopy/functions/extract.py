@@ -30,8 +30,10 @@ def is_escaped(text: Column) -> Column:
 def recover(text: Column, unescape: bool = True) -> Column:
     """The envelope as it was before it was wrapped in JSON or its escapes were left undecoded."""
     found = recover_json(text)
-    untouched = found.eqNullSafe(text)
-    return F.when(untouched & is_escaped(text), kernels.unescape(text)).otherwise(found) if unescape else found
+    if not unescape:
+        return found
+    # only what is escaped goes through Python
+    return F.coalesce(kernels.unescape(F.when(found.eqNullSafe(text) & is_escaped(text), text)), found)
 
 
 def element(text: Column, tag: str) -> Column:
@@ -41,7 +43,7 @@ def element(text: Column, tag: str) -> Column:
 
 
 def body(text: Column, unescape: bool = True) -> Column:
-    return element(recover(text, unescape), "content")
+    return canon.bound(recover(text, unescape), lambda whole: element(whole, "content"))
 
 
 def title(text: Column) -> Column:

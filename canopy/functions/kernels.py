@@ -9,6 +9,7 @@ import difflib
 import re
 import unicodedata
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -25,8 +26,7 @@ SPANS = T.ArrayType(T.StructType().add("begin", _INT).add("end", _INT).add("type
 
 _KEEP_PAIRED = set(P.PAIRED_TAGS) | {"page"} | P.HTML_TAGS
 _KEEP_SINGLE = _KEEP_PAIRED | set(P.SINGLE_TAGS)
-_ANY_PAIRED = re.compile(r"<([a-z][a-z0-9_-]*)\b[^>]*>.*?</\1>", re.S | re.I)
-_ANY_SINGLE = re.compile(r"<([a-z][a-z0-9_-]*)\b[^>]*?/?>", re.I)
+_TAG = re.compile(r"<([a-z][a-z0-9_-]*)\b[^>]*>", re.I)
 _TABLE = re.compile(r"<table\b[^>]*>.*?</table>", re.S | re.I)
 
 
@@ -40,24 +40,46 @@ def nfc(text: pa.Array) -> pa.Array:
     return _strings(text, lambda x: unicodedata.normalize("NFC", x))
 
 
-def sweep(text: str) -> tuple[str, list[str]]:
-    """``text`` without spans and tags of unknown names, and these names in order of their finding.
+def _names(tag: str) -> list[str]:
+    """What a tag may be closed by: its name, or a beginning of it that ends with a word (``a`` of ``a-b``)."""
+    ends = [i for i in range(len(tag), 0, -1) if i == len(tag) or (tag[i - 1] == "-") != (tag[i] == "-")]
+    return [tag[:i] for i in ends if i < len(tag) or tag[-1] != "-"]
 
-    A span of a known name is skipped whole, with whatever stands in it.
-    """
-    gone: dict[str, None] = {}
 
-    def decide(keep: set[str]):
-        def one(m: re.Match) -> str:
-            name = m[1].lower()
-            if name in keep:
-                return m[0]
-            gone[name] = None
-            return ""
+def _spans(text: str):
+    """Begin, end and name of elements, from left to right; none lies in or over another."""
+    folded, at = text.lower(), 0
+    if len(folded) != len(text):  # a letter whose lower case is two
+        folded = "".join(c.lower() if c.isascii() else c for c in text)
+    while tag := _TAG.search(text, at):
+        at = tag.start() + 1
+        for name in _names(tag[1].lower()):
+            close = folded.find(f"</{name}>", tag.end())
+            if close >= 0:
+                at = close + len(name) + 3
+                yield tag.start(), at, name
+                break
 
-        return one
 
-    return _ANY_SINGLE.sub(decide(_KEEP_SINGLE), _ANY_PAIRED.sub(decide(_KEEP_PAIRED), text)), list(gone)
+def sweep(text: str) -> tuple[str, list[str]]:
+    """``text`` without elements and single tags of unknown names, and these names in order of their finding.
+
+    An element of a known name is kept whole; single tags of unknown names go inside it as well.
+    """
+    gone, kept, last = [], [], 0
+    for begin, end, name in _spans(text):
+        if name not in _KEEP_PAIRED:
+            kept.append(text[last:begin])
+            gone.append(name)
+            last = end
+    kept.append(text[last:])
+    pieces, last, left = [], 0, "".join(kept)
+    for tag in _TAG.finditer(left):
+        if tag[1].lower() not in _KEEP_SINGLE:
+            pieces.append(left[last : tag.start()])
+            gone.append(tag[1].lower())
+            last = tag.end()
+    return "".join([*pieces, left[last:]]), list(dict.fromkeys(gone))
 
 
 @F.arrow_udf(T.StringType())
@@ -70,58 +92,52 @@ def unknown_tags(text: pa.Array) -> pa.Array:
     return pa.array([None if x is None else sweep(x)[1] for x in text.to_pylist()], pa.list_(pa.string()))
 
 
-class _Grid(HTMLParser):
-    """Collects the cells of one table; ``plain`` turns False where a pipe table can't show it."""
+class _Events(HTMLParser):
+    """The tokens of some markup: ("open", tag, names of its attributes), ("close", tag) and ("text", data)."""
 
-    def __init__(self) -> None:
+    def __init__(self, html: str) -> None:
         super().__init__(convert_charrefs=True)
-        self.grid: list[list[str]] = []
-        self.row: list[str] | None = None
-        self.cell: str | None = None
-        self.open = 0
-        self.plain = True
-
-    def handle_starttag(self, tag, attrs):
-        if tag == "table":
-            self.open += 1
-            self.plain &= self.open == 1
-        elif tag == "tr":
-            self.row = []
-        elif tag in {"td", "th"}:
-            self.plain &= not {"rowspan", "colspan"} & {name for name, _ in attrs}
-            self.cell = ""
-        elif tag in {"rowspan", "colspan"}:
-            self.plain = False
-
-    def handle_endtag(self, tag):
-        if tag == "table":
-            self.open -= 1
-        elif tag == "tr" and self.row is not None:
-            self.grid.append(self.row)
-            self.row = None
-        elif tag in {"td", "th"}:
-            if self.cell is not None and self.row is not None:
-                self.row.append(self.cell.strip().replace("\n", " ").replace("|", "\\|"))
-            self.cell = None
-
-    def handle_data(self, data):
-        if self.cell is not None:
-            self.cell += data
+        self.seen: list[tuple] = []
+        self.handle_starttag = lambda tag, attrs: self.seen.append(("open", tag, {a for a, _ in attrs}))
+        self.handle_endtag = lambda tag: self.seen.append(("close", tag))
+        self.handle_data = lambda data: self.seen.append(("text", data))
+        self.feed(html)
+        self.close()
 
 
 def pipe_table(html: str) -> str | None:
-    """The table as a pipe table whose first row is the header; None if it can't be shown as one."""
-    grid = _Grid()
+    """The table as a pipe table whose first row is the header; None if it can't be shown as one.
+
+    That is: one table, no cell over several rows or columns, rows of one width. Only cells that end inside a row count.
+    """
     try:
-        grid.feed(html)
-        grid.close()
+        events = _Events(html).seen
     except Exception:  # a parser error means: leave it as it is
         return None
-    widths = {len(row) for row in grid.grid}
-    if not grid.plain or len(widths) != 1:
+    if [e[:2] for e in events].count(("open", "table")) > 1:
         return None
-    head, *rest = grid.grid
-    return "".join("| " + " | ".join(row) + " |\n" for row in [head, ["---"] * len(head), *rest])
+    table, row, cell = [], None, None
+    for event in events:
+        match event:
+            case "open", "td" | "th", attributes:
+                if attributes & {"rowspan", "colspan"}:
+                    return None
+                cell = []
+            case "text", data if cell is not None:
+                cell.append(data)
+            case "close", "td" | "th":
+                if row is not None and cell is not None:
+                    row.append("".join(cell).strip().replace("\n", " ").replace("|", "\\|"))
+                cell = None
+            case "open", "tr", _:
+                row = []
+            case "close", "tr" if row is not None:
+                table.append(row)
+                row = None
+    if not table or len({len(r) for r in table}) > 1:
+        return None
+    table.insert(1, ["---"] * len(table[0]))
+    return "".join(f"| {' | '.join(r)} |\n" for r in table)
 
 
 @F.arrow_udf(T.StringType())
@@ -139,11 +155,14 @@ def unescape(text: pa.Array) -> pa.Array:
 
 
 def build_hunks(snapshot: str, local: str) -> list[tuple[int, str, str]]:
-    """Changed groups of lines with one line of context on each side."""
-    a, b = snapshot.splitlines(keepends=True), local.splitlines(keepends=True)
-    changes = [x for x in difflib.SequenceMatcher(a=a, b=b, autojunk=False).get_opcodes() if x[0] != "equal"]
-    around = lambda lines, lo, hi: "".join(lines[max(lo - 1, 0) : hi + 1])
-    return [(n, around(a, i1, i2), around(b, j1, j2)) for n, (_, i1, i2, j1, j2) in enumerate(changes)]
+    """What lies between the lines that both texts share, with one shared line on each side where there is one."""
+    old, new = snapshot.splitlines(keepends=True), local.splitlines(keepends=True)
+    out, i, j = [], 0, 0
+    for shared in difflib.SequenceMatcher(None, old, new, False).get_matching_blocks():
+        if (i, j) != (shared.a, shared.b):
+            out.append((len(out), "".join(old[max(i - 1, 0) : shared.a + 1]), "".join(new[max(j - 1, 0) : shared.b + 1])))
+        i, j = shared.a + shared.size, shared.b + shared.size
+    return out
 
 
 _SPANS = [re.compile(P.paired(t)) for t in P.PAIRED_TAGS] + [re.compile("(?m)" + P.IMAGE_LINE)]
@@ -155,27 +174,53 @@ def rich_spans(text: str) -> list[tuple[int, int, str]]:
     return [(*m.span(), name) for name, pattern in zip(names, _SPANS, strict=True) for m in pattern.finditer(text)]
 
 
-def _whole_line_places(text: str, part: str) -> list[int]:
-    """Places of ``part`` in ``text`` that begin and end with lines; they may overlap."""
-    places, at = [], text.find(part)
-    while at >= 0:
-        end = at + len(part)
-        begins = at == 0 or text[at - 1] == "\n"
-        ends = end == len(text) or text[end] == "\n" or text[end - 1] == "\n"
-        if begins and ends:
-            places.append(at)
-        at = text.find(part, at + 1)
-    return places
+def line_places(part: str, text: str) -> list[tuple[int, int]]:
+    """Where the lines of ``part`` stand in ``text`` as whole lines: begin and end in characters, overlaps among them."""
+    lines, wanted = text.split("\n"), part.removesuffix("\n").split("\n")
+    if not part:  # nothing stands at the begin of every line
+        wanted = []
+    begins = list(accumulate((len(x) + 1 for x in lines), initial=0))
+    last = len(lines) - len(wanted) - (1 if part.endswith("\n") else 0)  # the last line has no newline after it
+    return [(begins[n], begins[n] + len(part)) for n in range(min(last, len(lines) - 1) + 1) if lines[n : n + len(wanted)] == wanted]
 
 
 def judge_hunk(old: str, remote: str, spans: list[tuple[int, int, str]]) -> tuple[str, int | None, list[int] | None]:
     """Verdict, number of matches if ambiguous, and the rich span met if any."""
-    places = _whole_line_places(remote, old)
-    if len(places) != 1:
-        return ("ambiguous", len(places), None) if places else ("race_lost", None, None)
-    begin, end = places[0], places[0] + len(old)
-    met = next(([s, e] for s, e, _ in spans if begin < e and end > s), None)
-    return ("rich_block_overlap", None, met) if met else ("ok", None, None)
+    match line_places(old, remote):
+        case []:
+            return "race_lost", None, None
+        case [(begin, end)]:
+            inside = [[s, e] for s, e, _ in spans if max(s, begin) < min(e, end)]
+            return ("rich_block_overlap", None, inside[0]) if inside else ("ok", None, None)
+        case several:
+            return "ambiguous", len(several), None
+
+
+RULES = T.ArrayType(_TEXT)
+
+
+def broken_rules(old: str, snapshot: str, remote: str) -> list[str]:
+    """Which rules a hunk's ``old`` breaks: whole_lines and context (in the snapshot), line_bounded and unique (in the remote text)."""
+    out, mine = [], line_places(old, snapshot)
+    if not mine:
+        out.append("whole_lines")
+    elif not any((b == 0 or old.count("\n") > 1) and (e >= len(snapshot) or old.count("\n") > 1) for b, e in mine):
+        out.append("context")
+    there = line_places(old, remote)
+    if old not in remote:
+        out.append("unique")
+    elif not there or remote.count(old) > len(there):
+        out.append("line_bounded")
+    if len(there) > 1:
+        out.append("unique")
+    return out
+
+
+@F.arrow_udf(RULES)
+def hunk_rules(old: pa.Array, snapshot: pa.Array, remote: pa.Array) -> pa.Array:
+    """The rules that each hunk breaks; null where a text is null."""
+    rows = zip(old.to_pylist(), snapshot.to_pylist(), remote.to_pylist(), strict=True)
+    return pa.array([None if None in r else broken_rules(*r) for r in rows], pa.list_(pa.string()))
 
 
 HUNK = pa.struct([("hunk_index", pa.int32()), ("old_str", pa.string()), ("new_str", pa.string()), ("verdict", pa.string()), ("match_count", pa.int32()), ("overlap", pa.list_(pa.int32()))])
@@ -212,3 +257,25 @@ def unified_diff(snapshot: pa.Array, local: pa.Array) -> pa.Array:
 def rich_block_spans(text: pa.Array) -> pa.Array:
     kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("type", pa.string())]))
     return pa.array([None if x is None else [{"begin": s, "end": e, "type": t} for s, e, t in rich_spans(x)] for x in text.to_pylist()], kind)
+
+
+CATALOGUE = T.ArrayType(T.StructType().add("type", _TEXT).add("anchor", _TEXT).add("summary", _TEXT))
+_HEADING = re.compile(r"^#{1,6}[ \t]+(.*?)[ \t]*$", re.M)
+#: Characters of a block's summary.
+SUMMARY = 80
+
+
+@F.arrow_udf(CATALOGUE)
+def rich_catalogue(text: pa.Array) -> pa.Array:
+    """Of the rich spans in order: type, the heading before (empty if none), and the beginning of what they say."""
+
+    def one(x: str) -> list[dict]:
+        heads, out = [(m.end(), m[1]) for m in _HEADING.finditer(x)], []
+        for begin, end, kind in sorted(rich_spans(x)):
+            anchor = next((name for at, name in reversed(heads) if at <= begin), "")
+            said = " ".join(re.sub(r"<[^>]*>|^!\[|\]\(.*$", " ", x[begin:end]).split())
+            out.append({"type": kind, "anchor": anchor, "summary": said[:SUMMARY]})
+        return out
+
+    kind = pa.list_(pa.struct([("type", pa.string()), ("anchor", pa.string()), ("summary", pa.string())]))
+    return pa.array([None if x is None else one(x) for x in text.to_pylist()], kind)

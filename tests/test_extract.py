@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from canopy.functions import extract, kernels
 from canopy.operators import graph, ignore
 
-ENVELOPE = 'Here it is:\n<page url="https://wiki.example/x">\n<properties>{"title":"Hello World"}</properties>\n<content>\nHELLO BODY LINE 1\nHELLO BODY LINE 2\n</content>\n</page>\n'
+ENVELOPE = 'What I found:\n<page url="https://wiki.example/tea">\n<properties>{"owner":{"title":"no"},"title":"Tea \\u0026 Cups"}</properties>\n<content>\nBoil.\n\nPour.\nWait five minutes.\n</content>\n</page>\n'
 A = "1234abcd-5678-ef90-1234-abcd5678ef90"
 HEX = A.replace("-", "")
 
@@ -16,21 +16,21 @@ def value(spark, column):
 @pytest.mark.parametrize(
     "text,want",
     [
-        (ENVELOPE, "HELLO BODY LINE 1\nHELLO BODY LINE 2"),
-        ("just a body\nno wrapper\n", "just a body\nno wrapper\n"),
-        ('<page url="x"><content>\n</content></page>\n', ""),
-        ('<page url="x"><content>body line</content></page>\n', "body line"),
+        (ENVELOPE, "Boil.\n\nPour.\nWait five minutes."),
+        ("Boil, then\npour\n", "Boil, then\npour\n"),
+        ('<page url="tea"><content lang="en">\n</content></page>\n', ""),
+        ("<CONTENT>Boil</content> <content>Pour</content>", "Boil"),
         ('{"title":"t","text":"<content>\\na\\\\nb\\n</content>"}', "a\\nb"),
         ('{"text": 5} <content>x</content>', "x"),
         ("{not json \"text\"} <content>y</content>", "y"),
-        (ENVELOPE.replace("\n", "\\n").replace('"', '\\"'), "HELLO BODY LINE 1\nHELLO BODY LINE 2"),
+        (ENVELOPE.replace("\n", "\\n").replace('"', '\\"'), "Boil.\n\nPour.\nWait five minutes."),
     ],
 )
 def test_body(spark, text, want):
     assert value(spark, extract.body(F.lit(text))) == want
 
 
-@pytest.mark.parametrize("text,want", [(ENVELOPE, "Hello World"), ("no properties", None), ('<properties>{"title": 3}</properties>', None), ("<properties>{bad}</properties>", None)])
+@pytest.mark.parametrize("text,want", [(ENVELOPE, "Tea & Cups"), ("no properties", None), ('<properties>{"title": 3}</properties>', None), ("<properties>{bad}</properties>", None)])
 def test_title(spark, text, want):
     assert value(spark, extract.title(F.lit(text))) == want
 
@@ -40,7 +40,7 @@ def test_title(spark, text, want):
     [
         (f"https://wiki.example/{HEX}", [A]),
         (f"&lt;page url=&quot;https://wiki.example/{A}&quot;&gt;", [A]),
-        (f"https://wiki.example/no-uuid wiki.example/page-{HEX} wiki.example/p/{HEX.upper()}", [A, A]),
+        (f"https://wiki.example/teapot wiki.example/page-{HEX} wiki.example/p/{HEX.upper()}", [A, A]),
         (f"https://wiki.example/dead-beef-{HEX}?v=1", [A]),
         ("https://wiki.example/1234", []),
         (f"https://other.example/{HEX}", []),
@@ -50,7 +50,7 @@ def test_ids(spark, text, want):
     assert value(spark, extract.ids(F.lit(text))) == want
 
 
-@pytest.mark.parametrize("name,want", [("My Doc Title", "my-doc-title"), ("Foo / Bar: Baz!", "foo--bar-baz"), ("", "untitled"), ("x" * 99, "x" * 80), ("a\u00a0b", "a-b")])
+@pytest.mark.parametrize("name,want", [("Tea & Two  Cups", "tea--two-cups"), ("v1.2_b-C!", "v1.2_b-c"), ("", "untitled"), ("x" * 99, "x" * 80), ("a\u00a0b", "a-b")])
 def test_slug(spark, name, want):
     assert value(spark, extract.slugify(F.lit(name))) == want
 
@@ -69,8 +69,8 @@ def test_normal_path(spark, folder, target, want):
 
 
 def test_managed_links(spark):
-    inside = extract.managed_link(F.lit("index.md"), F.lit(A), F.lit("Hello"), F.lit("engineering/hello.md"))
-    assert value(spark, inside) == f'[Hello](./engineering/hello.md) <!-- tree:child page_id="{A}" -->'
+    inside = extract.managed_link(F.lit("index.md"), F.lit(A), F.lit("Kettle"), F.lit("kitchen/kettle.md"))
+    assert value(spark, inside) == f'[Kettle](./kitchen/kettle.md) <!-- tree:child page_id="{A}" -->'
     outside = extract.managed_link(F.lit("index.md"), F.lit(A), F.lit(" O]u)t\n"), F.lit(None).cast("string"))
     assert value(spark, outside) == f'[O\\]u\\)t](https://wiki.example/{A}) <!-- tree:child page_id="{A}" external -->'
 
@@ -107,18 +107,38 @@ def test_ignore_lines():
 @pytest.mark.parametrize(
     "remote,want",
     [
-        ("alpha\nbeta\ngamma\n", ("ok", None, None)),
-        ("alpha\nDELTA\ngamma\n", ("race_lost", None, None)),
-        ("alpha\nbeta\ngamma\nalpha\nbeta\ngamma\n", ("ambiguous", 2, None)),
-        ("<callout>\nalpha\nbeta\ngamma\n</callout>\n", ("rich_block_overlap", None, [0, 37])),
+        ("boil\npour\nwait\n", ("ok", None, None)),
+        ("boil\npour\nwait", ("race_lost", None, None)),
+        ("reboil\npour\nwait\n", ("race_lost", None, None)),
+        ("boil\nstir\nwait\n", ("race_lost", None, None)),
+        ("boil\npour\nwait\nsip\nboil\npour\nwait\n", ("ambiguous", 2, None)),
+        ("<toggle>\nboil\npour\nwait\n</toggle>\n", ("rich_block_overlap", None, [0, 33])),
+        ("boil\npour\nwait\n![cup](c.png)\n", ("ok", None, None)),
     ],
 )
 def test_hunks(remote, want):
-    ((n, old, new),) = kernels.build_hunks("alpha\nbeta\ngamma\n", "alpha\nbravo\ngamma\n")
-    assert (n, old, new) == (0, "alpha\nbeta\ngamma\n", "alpha\nbravo\ngamma\n")
+    ((n, old, new),) = kernels.build_hunks("boil\npour\nwait\n", "boil\npour slowly\nwait\n")
+    assert (n, old, new) == (0, "boil\npour\nwait\n", "boil\npour slowly\nwait\n")
     assert kernels.judge_hunk(old, remote, kernels.rich_spans(remote)) == want
 
 
+def test_hunks_at_the_ends_and_apart():
+    assert kernels.build_hunks("a\nb\n", "a\nb\nc\n") == [(0, "b\n", "b\nc\n")]
+    assert kernels.build_hunks("a\nb\nc\nd\ne\n", "A\nb\nc\nd\n") == [(0, "a\nb\n", "A\nb\n"), (1, "d\ne\n", "d\n")]
+    assert kernels.build_hunks("", "x\n") == [(0, "", "x\n")] and kernels.build_hunks("x", "x") == []
+    assert kernels.judge_hunk("", "", []) == ("ok", None, None) and kernels.judge_hunk("", "a\nb", [])[0] == "ambiguous"
+
+
+def test_broken_rules():
+    text = "boil\npour\nwait\n"
+    assert kernels.broken_rules("boil\npour\n", text, text) == []
+    assert kernels.broken_rules("pour\n", text, text) == ["context"]
+    assert kernels.broken_rules("boil\npo", text, text) == ["whole_lines", "line_bounded"]
+    assert kernels.broken_rules("boil\npour\n", text, text + text) == ["unique"]
+    assert kernels.broken_rules("boil\npour\n", text, "re" + text) == ["line_bounded"]
+    assert kernels.broken_rules("boil\npour\n", text, "sip\n") == ["unique"]
+
+
 def test_natural_key(spark):
     df = spark.createDataFrame([("a/10.md",), ("a/9.md",), ("a/b.md",)], "p string")
     assert [r.p for r in df.orderBy(graph.natural_key(F.col("p"))).collect()] == ["a/9.md", "a/10.md", "a/b.md"]
