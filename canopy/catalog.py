@@ -29,4 +29,4 @@ def oracle_sql() -> dict:
 
 
 def _load() -> None:
-    from canopy.plans import tree_queries  # noqa: F401
+    from canopy.plans import sync_queries, tree_queries  # noqa: F401

@@ -1,6 +1,8 @@
 """Link lines: page tags rendered as links, placeholders filled in, and the links of a parent brought up to date.
 
-Texts are taken apart by line, joined on page ids or paths, and put together again in their order.
+Only ids and paths of link lines are exploded and joined, small rows all of them; what was found comes back as one list
+for each page, and the text is rewritten within its row. So a text is moved once, to meet its list. Pages whose body is
+null keep it.
 """
 
 from __future__ import annotations
@@ -9,32 +11,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from canopy.functions import canon, extract
+from canopy.functions import canon, extract, kernels
 from canopy.functions import patterns as P
 
+PAGE_TAG_LINE = r'(?i)^(\s*)<page\s+url="([^"]+)"(?:\s+icon="[^"]*")?\s*>([^<]*)</page>\s*$'
 
-def lines_of(bodies: DataFrame, text: str = "body") -> DataFrame:
-    return bodies.select("page_id", "path", F.posexplode(F.split(text, "\n")).alias("pos", "line"))
 
+def _lines(text: Column) -> Column:
+    return F.split(text, "\n")
 
-def text_of(lines: DataFrame, out: str = "body") -> DataFrame:
-    """Lines (page_id, path, pos, line) as texts again, in the order of pos."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda s: s["line"])
-    return lines.groupBy("page_id", "path").agg(F.array_join(ordered, "\n").alias(out))
+
+def _found(rows: DataFrame, key: str, *values: str) -> DataFrame:
+    """``rows(page_id, key, values...)`` as one map a page: found, from the key to its values."""
+    entries = F.collect_list(F.struct(F.col(key).alias("key"), F.struct(*values).alias("value")))
+    return rows.groupBy("page_id").agg(F.map_from_entries(entries).alias("found"))
 
 
 def substitute_page_tags(bodies: DataFrame, pages: DataFrame, dialect: P.Dialect = P.DEFAULT) -> DataFrame:
     """``bodies(page_id, path, body)`` with page-tag lines as managed links to ``pages(page_id, path)``."""
-    pattern = r'(?i)^(\s*)<page\s+url="([^"]+)"(?:\s+icon="[^"]*")?\s*>([^<]*)</page>\s*$'
-    rows = lines_of(bodies)
-    is_tag = F.col("line").rlike(pattern)
-    target = F.when(is_tag, F.get(extract.ids(F.regexp_extract("line", pattern, 2), dialect), F.lit(0)))
-    rows = rows.withColumn("target", F.coalesce(target, F.concat(F.lit("line "), F.xxhash64("page_id", "pos").cast("string"))))
+    target = lambda line: F.get(extract.ids(F.regexp_extract(line, PAGE_TAG_LINE, 2), dialect), F.lit(0))
+    targets = F.array_distinct(F.array_compact(F.transform(F.filter(_lines(F.col("body")), lambda x: x.rlike(PAGE_TAG_LINE)), target)))
+    asked = bodies.where(F.contains(F.lower("body"), F.lit("<page"))).select("page_id", F.explode(targets).alias("target"))
     to = pages.select(F.col("page_id").alias("target"), F.col("path").alias("target_path"))
-    joined = rows.join(to, "target", "left")
-    link = F.concat(F.regexp_extract("line", pattern, 1), extract.managed_link(F.col("path"), F.col("target"), canon.trim_both(F.regexp_extract("line", pattern, 3)), F.col("target_path"), dialect))
-    line = F.when(is_tag & ~F.startswith("target", F.lit("line ")), link).otherwise(F.col("line"))
-    return text_of(joined.select("page_id", "path", "pos", line.alias("line")))
+    found = _found(asked.join(to, "target"), "target", "target_path")
+
+    def link(line: Column) -> Column:
+        to = F.try_element_at(F.col("found"), target(line))["target_path"]
+        name = canon.trim_both(F.regexp_extract(line, PAGE_TAG_LINE, 3))
+        return F.concat(F.regexp_extract(line, PAGE_TAG_LINE, 1), extract.managed_link(F.col("path"), target(line), name, to, dialect))
+
+    rewritten = F.transform(_lines(F.col("body")), lambda x: F.when(x.rlike(PAGE_TAG_LINE) & target(x).isNotNull(), link(x)).otherwise(x))
+    body = F.when(F.contains(F.lower("body"), F.lit("<page")), F.array_join(rewritten, "\n")).otherwise(F.col("body"))
+    return bodies.select("page_id", "path", "body").join(found, "page_id", "left").select("page_id", "path", body.alias("body"))
 
 
 def placeholders(bodies: DataFrame, pages: DataFrame, root_id: str, dialect: P.Dialect = P.DEFAULT) -> DataFrame:
@@ -42,9 +50,10 @@ def placeholders(bodies: DataFrame, pages: DataFrame, root_id: str, dialect: P.D
 
     ``pages(page_id, path, title, parent_page_id)``. Children of the root page's file name ``root_id`` as their parent.
     """
-    rows = lines_of(bodies).where(canon.trim_both(F.col("line")).rlike("(?U)" + dialect.placeholder))
-    raw = F.regexp_extract(canon.trim_both(F.col("line")), "(?U)" + dialect.placeholder, 1)
-    rows = rows.select("page_id", "path", "pos", "line", extract.normal_path(extract.dirname(F.col("path")), raw).alias("target"))
+    hollow = "(?U)" + dialect.placeholder
+    numbered = F.transform(_lines(F.col("body")), lambda x, i: F.struct(i.alias("pos"), canon.trim_both(x).alias("line")))
+    rows = bodies.where(F.contains("body", F.lit("<!--"))).select("page_id", "path", F.inline(F.filter(numbered, lambda s: s["line"].rlike(hollow))))
+    rows = rows.select("page_id", "path", "pos", extract.normal_path(extract.dirname(F.col("path")), F.regexp_extract("line", hollow, 1)).alias("target"))
     to = pages.select(F.col("path").alias("target"), F.col("page_id").alias("found"), F.col("title").alias("found_title"), F.col("parent_page_id").alias("found_parent"))
     own = pages.select("page_id", F.when(F.col("parent_page_id").isNull(), F.lit(root_id)).otherwise(F.col("page_id")).alias("own_id"))
     joined = rows.join(to, "target", "left").join(own, "page_id", "left")
@@ -56,9 +65,15 @@ def backfill(bodies: DataFrame, pages: DataFrame, root_id: str, dialect: P.Diale
     """``bodies`` with good placeholders turned into managed links; the others stay as they are."""
     good = placeholders(bodies, pages, root_id, dialect).where("good")
     link = extract.managed_link(F.col("path"), F.col("found"), F.coalesce("found_title", F.lit("")), F.col("target"), dialect)
-    new = good.select("page_id", "pos", link.alias("new_line"))
-    joined = lines_of(bodies).join(new, ["page_id", "pos"], "left")
-    return text_of(joined.select("page_id", "path", "pos", F.coalesce("new_line", "line").alias("line")))
+    found = _found(good.select("page_id", "pos", link.alias("new_line")), "pos", "new_line")
+    filled = F.transform(_lines(F.col("body")), lambda x, i: F.coalesce(F.try_element_at(F.col("found"), i)["new_line"], x))
+    body = F.when(F.col("found").isNotNull(), F.array_join(filled, "\n")).otherwise(F.col("body"))
+    return bodies.select("page_id", "path", "body").join(found, "page_id", "left").select("page_id", "path", body.alias("body"))
+
+
+def _child(line: Column, dialect: P.Dialect) -> Column:
+    """The id that a managed line names; null for other lines."""
+    return F.nullif(F.lower(F.regexp_extract(canon.trim_both(line), "(?U)" + dialect.managed, 1)), F.lit(""))
 
 
 def regenerate(bodies: DataFrame, expected: DataFrame, pages: DataFrame, dialect: P.Dialect = P.DEFAULT) -> DataFrame:
@@ -68,47 +83,48 @@ def regenerate(bodies: DataFrame, expected: DataFrame, pages: DataFrame, dialect
     last link or placeholder line, or else the last line that is not blank, in the order of seq.
     """
     want = expected.groupBy("page_id", F.lower("child").alias("child")).agg(F.min("seq").alias("seq"))
-    to = pages.select(F.col("page_id").alias("child"), F.col("path").alias("child_path"), F.col("title").alias("child_title"))
-    want = want.join(to, "child", "left").select("page_id", "child", "seq", "child_path", F.coalesce("child_title", F.lit("")).alias("child_title"))
-    rows = lines_of(bodies)
-    trimmed = canon.trim_both(F.col("line"))
-    managed, hollow = trimmed.rlike("(?U)" + dialect.managed), trimmed.rlike("(?U)" + dialect.placeholder)
-    rows = rows.withColumn("child", F.when(managed, F.lower(F.regexp_extract(trimmed, "(?U)" + dialect.managed, 1)))).withColumn("hollow", hollow)
-    mine = want.withColumnRenamed("page_id", "of").withColumnRenamed("child", "known")
-    joined = rows.join(mine, (F.col("page_id") == F.col("of")) & (F.col("child") == F.col("known")), "left")
-    link = extract.managed_link(F.col("path"), F.col("child"), F.col("child_title"), F.col("child_path"), dialect)
-    kept = joined.where(F.col("child").isNull() | F.col("known").isNotNull())
-    kept = kept.withColumn("line", F.when(F.col("child").isNotNull(), link).otherwise(F.col("line")))
-    ends = kept.groupBy("page_id", "path").agg(
-        F.max(F.when(F.col("child").isNotNull() | F.col("hollow"), F.col("pos"))).alias("last_link"),
-        F.max(F.when(~canon.is_blank(F.col("line")), F.col("pos"))).alias("last_text"),
-        F.max("pos").alias("last"),
-    )
-    gone = joined.groupBy("page_id").agg(F.count(F.when(F.col("child").isNotNull() & F.col("known").isNull(), 1)).alias("dropped"))
-    here = rows.where("child IS NOT NULL").select("page_id", "child").distinct()
-    missing = want.join(here, ["page_id", "child"], "left_anti").join(ends, "page_id")
-    at = F.coalesce("last_link", "last_text", "last")
-    new = missing.select("page_id", "path", at.alias("pos"), F.col("seq"), extract.managed_link(F.col("path"), F.col("child"), F.col("child_title"), F.col("child_path"), dialect).alias("line"))
-    every = kept.select("page_id", "path", F.struct(F.col("pos"), F.lit(-1).cast("long").alias("seq")).alias("pos"), "line").unionByName(
-        new.select("page_id", "path", F.struct(F.col("pos"), F.col("seq").cast("long").alias("seq")).alias("pos"), "line")
+    to = pages.select(F.col("page_id").alias("child"), F.col("path").alias("child_path"), F.coalesce("title", F.lit("")).alias("child_title"))
+    want = want.join(to, "child", "left").select("page_id", F.struct("seq", "child", "child_path", F.coalesce("child_title", F.lit("")).alias("child_title")).alias("w"))
+    want = want.groupBy("page_id").agg(F.sort_array(F.collect_list("w")).alias("want"))
+    rows = bodies.select("page_id", "path", "body").join(want, "page_id", "left")
+    hollow = lambda x: canon.trim_both(x).rlike("(?U)" + dialect.placeholder)
+    read = F.transform(_lines(F.col("body")), lambda x: F.struct(x.alias("x"), _child(x, dialect).alias("child"), hollow(x).alias("hollow")))
+    rows = rows.select("page_id", "path", "body", "want", F.transform("want", lambda w: w["child"]).alias("ids"), read.alias("read"))
+    fits = lambda s: s["child"].isNull() | F.coalesce(F.array_contains("ids", s["child"]), F.lit(False))
+    rows = rows.withColumn("kept", F.filter("read", fits))
+    link = lambda w: extract.managed_link(F.col("path"), w["child"], w["child_title"], w["child_path"], dialect)
+    of = lambda s: F.get(F.col("want"), (F.array_position("ids", s["child"]) - 1).cast("int"))
+    here = F.transform("read", lambda s: s["child"])
+    places = lambda test: F.array_max(F.transform("kept", lambda s, i: F.when(test(s), i)))
+    rows = rows.select(
+        "page_id", "path", "body",
+        F.transform("kept", lambda s: F.when(s["child"].isNotNull(), link(of(s))).otherwise(s["x"])).alias("lines"),
+        F.coalesce(F.transform(F.filter("want", lambda w: ~F.coalesce(F.array_contains(here, w["child"]), F.lit(False))), link), F.array().cast("array<string>")).alias("new"),
+        F.coalesce(places(lambda s: s["child"].isNotNull() | s["hollow"]), places(lambda s: ~canon.is_blank(s["x"])), F.size("kept") - 1).alias("last"),
+        (F.size("read") - F.size("kept")).alias("dropped"),
+    )
+    lines = F.concat(F.slice("lines", F.lit(1), F.col("last") + 1), F.col("new"), F.slice("lines", F.col("last") + 2, F.size("lines")))
+    there = F.col("body").isNotNull()
+    return rows.select(
+        "page_id",
+        "path",
+        F.when(there, F.array_join(lines, "\n")).alias("body"),
+        F.when(there, F.size("new")).otherwise(0).cast("long").alias("added"),
+        F.when(there, F.col("dropped")).otherwise(0).cast("long").alias("dropped"),
     )
-    counts = new.groupBy("page_id").agg(F.count(F.lit(1)).alias("added"))
-    out = text_of(every).join(counts, "page_id", "left").join(gone, "page_id", "left")
-    return out.select("page_id", "path", "body", F.coalesce("added", F.lit(0)).alias("added"), F.coalesce("dropped", F.lit(0)).alias("dropped"))
 
 
 def links_to_update(bodies: DataFrame, expected: DataFrame, dialect: P.Dialect = P.DEFAULT) -> DataFrame:
     """page_id of pages whose managed lines name other children than expected."""
-    rows = lines_of(bodies).select("page_id", F.lower(F.regexp_extract(canon.trim_both(F.col("line")), "(?U)" + dialect.managed, 1)).alias("child")).where("child <> ''").distinct()
-    want = expected.select("page_id", F.lower("child").alias("child")).distinct()
-    return rows.exceptAll(want).union(want.exceptAll(rows)).select("page_id").distinct()
+    none = F.array().cast("array<string>")
+    named = F.transform(_lines(F.col("body")), lambda x: _child(x, dialect))
+    have = bodies.select("page_id", F.coalesce(F.array_sort(F.array_distinct(F.array_compact(named))), none).alias("have"))
+    want = expected.groupBy("page_id").agg(F.array_sort(F.collect_set(F.lower("child"))).alias("want"))
+    both = have.join(want, "page_id", "full")
+    return both.where(F.coalesce("have", none) != F.coalesce("want", none)).select("page_id")
 
 
 def rich_block_catalogue(bodies: DataFrame, text: Column) -> DataFrame:
-    """page_id, type, anchor, seq: rich blocks in order, each with the heading before it."""
-    pieces = F.regexp_extract_all(text, F.lit(r"(?m)^#{1,6}[ \t]+.*$|(?is:<(?:" + "|".join(P.PAIRED_TAGS) + r")\b[^>]*>)"), F.lit(0))
-    rows = bodies.select("page_id", F.posexplode(pieces).alias("seq", "piece"))
-    head = F.when(F.startswith("piece", F.lit("#")), F.trim(F.regexp_replace("piece", "^#+", "")))
-    before = Window.partitionBy("page_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("anchor", F.last(head, ignorenulls=True).over(before))
-    return rows.where(~F.startswith("piece", F.lit("#"))).select("page_id", "seq", F.lower(F.regexp_extract("piece", r"^<([a-zA-Z_]+)", 1)).alias("type"), F.coalesce("anchor", F.lit("")).alias("anchor"))
+    """page_id, seq, type, anchor, summary: rich blocks and image lines in order, each with the heading before it."""
+    rows = bodies.select("page_id", F.posexplode(kernels.rich_catalogue(text)).alias("seq", "b"))
+    return rows.select("page_id", "seq", "b.type", "b.anchor", "b.summary")

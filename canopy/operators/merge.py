@@ -1,7 +1,8 @@
 """State transitions as functions from tables to tables: (manifest, local, snapshots, trash) before and after.
 
-Nothing is updated in place; publish the results with canopy.sources.durable.publish. Time stamps are arguments, so that
-a task run twice gives the same rows.
+``local(path, text, hash)`` are files, ``snapshots(page_id, body)`` the canonical texts at the last sync, which the next
+commit takes its hunks from. Nothing is updated in place; publish the results with canopy.sources.durable.publish. Time
+stamps are arguments, so that a task run twice gives the same rows.
 """
 
 from __future__ import annotations
@@ -11,8 +12,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from canopy.functions import canon
+from canopy.functions import patterns as P
+
 #: What a trash entry says about a chosen disposition.
-TRASHED_BY = {"O": "orphaned-to-workspace", "M": "remote-trashed", "T": "untracked-no-remote-action"}
+TRASHED_BY = {"O": "orphaned-to-workspace", "T": "remote-trashed", "M": "untracked-no-remote-action"}
 
 
 @dataclass
@@ -20,9 +24,18 @@ class Applied:
     manifest: DataFrame
     local: DataFrame
     report: DataFrame
+    snapshots: DataFrame | None = None
     trash: DataFrame | None = None
 
 
+def _with_bodies(snapshots: DataFrame | None, new: DataFrame) -> DataFrame:
+    """``snapshots`` with the rows of ``new(page_id, body)`` in place of those of the same pages."""
+    if snapshots is None:
+        return new
+    kept = snapshots.select("page_id", "body").join(new.select("page_id"), "page_id", "left_anti")
+    return kept.unionByName(new)
+
+
 def actions(states: DataFrame, decisions: DataFrame) -> DataFrame:
     """page_id, action: overwrite, keep_local, keep_remote, merge or stamp for each page that a pull touches.
 
@@ -35,44 +48,69 @@ def actions(states: DataFrame, decisions: DataFrame) -> DataFrame:
     return states.join(last, "page_id", "left").select("page_id", action.alias("action")).where("action IS NOT NULL")
 
 
-def pull_apply(manifest: DataFrame, local: DataFrame, states: DataFrame, bodies: DataFrame, decisions: DataFrame, now: str) -> Applied:
+def pull_apply(manifest: DataFrame, local: DataFrame, states: DataFrame, bodies: DataFrame, decisions: DataFrame, now: str, snapshots: DataFrame | None = None) -> Applied:
     """Apply a pull. ``bodies(page_id, remote_text, remote_hash, merged_text, merged_hash)`` hold fetched and merged texts.
 
     Pages that need a body which is not there are reported and stay as they are. Keeping the local or a merged text leaves
-    ``push_pending`` behind: the next commit pushes it, and the next pull does not overwrite it.
+    ``push_pending`` behind: the page counts as changed locally until a commit has pushed it, so the next pull does not
+    overwrite it. Snapshots become the remote text, or the local one where that is kept. Pages whose two sides have come
+    to the same content get both hashes and the snapshot of it.
     """
     act = actions(states, decisions)
     got = bodies.select("page_id", "remote_text", F.col("remote_hash").alias("got_remote"), "merged_text", F.col("merged_hash").alias("got_merged"))
     here = local.select("path", F.col("hash").alias("now_local"), F.col("text").alias("now_text"))
     rows = manifest.join(act, "page_id", "left").join(got, "page_id", "left").join(here, "path", "left")
-    needs = F.col("action").isin("overwrite", "keep_remote", "keep_local", "merge")
-    missing = needs & (F.col("got_remote").isNull() | ((F.col("action") == "merge") & F.col("got_merged").isNull()))
-    do = F.when(~F.coalesce(missing, F.lit(False)), F.col("action"))
+    takes, keeps = F.col("action").isin("overwrite", "keep_remote"), F.col("action").isin("keep_local", "merge")
+    missing = (takes | keeps) & (F.col("got_remote").isNull() | ((F.col("action") == "merge") & F.col("got_merged").isNull()))
+    moved = ~(F.col("now_local").eqNullSafe(F.col("local_hash")) & F.col("got_remote").eqNullSafe(F.col("remote_hash")))
+    same = (F.col("action") == "stamp") & F.coalesce(F.col("now_local") == F.col("got_remote"), F.lit(False)) & moved
+    do = F.when(F.coalesce(missing, F.lit(False)), F.lit(None)).when(same, "converged").otherwise(F.col("action"))
     rows = rows.withColumn("error", F.when(missing, F.lit("body missing"))).withColumn("do", do)
-    new_local = F.when(F.col("do").isin("overwrite", "keep_remote"), F.col("got_remote")).when(F.col("do") == "merge", F.col("got_merged")).when(F.col("do") == "keep_local", F.col("now_local"))
-    new_remote = F.when(F.col("do").isin("overwrite", "keep_remote", "keep_local", "merge"), F.col("got_remote"))
+    takes, merged, kept, both = F.col("do").isin("overwrite", "keep_remote"), F.col("do") == "merge", F.col("do") == "keep_local", F.col("do") == "converged"
+    new_local = F.when(takes, F.col("got_remote")).when(merged, F.col("got_merged")).when(kept | both, F.col("now_local"))
     fields = [c for c in manifest.columns if c not in {"local_hash", "remote_hash", "last_synced_at", "push_pending"}]
     after = rows.select(
         *fields,
         F.coalesce(new_local, "local_hash").alias("local_hash"),
-        F.coalesce(new_remote, "remote_hash").alias("remote_hash"),
+        F.coalesce(F.when(takes | merged | kept | both, F.col("got_remote")), "remote_hash").alias("remote_hash"),
         F.when(F.col("do").isNotNull(), F.lit(now)).otherwise(F.col("last_synced_at")).alias("last_synced_at"),
-        F.when(F.col("do").isin("keep_local", "merge"), True).when(F.col("do").isin("overwrite", "keep_remote"), False).otherwise(F.coalesce("push_pending", F.lit(False))).alias("push_pending"),
+        F.when(kept | merged, True).when(takes | both, False).otherwise(F.coalesce("push_pending", F.lit(False))).alias("push_pending"),
     )
-    text = F.when(F.col("do").isin("overwrite", "keep_remote"), F.col("remote_text")).when(F.col("do") == "merge", F.col("merged_text"))
+    text = F.when(takes, F.col("remote_text")).when(merged, F.col("merged_text"))
     changed = rows.where(text.isNotNull()).select("path", text.alias("text"), new_local.alias("hash"))
     untouched = local.select("path", "text", "hash").join(changed.select("path"), "path", "left_anti")
-    report = rows.where("action IS NOT NULL").select("page_id", "path", F.coalesce("do", F.lit("error")).alias("action"), "error")
-    return Applied(after, untouched.unionByName(changed), report)
+    body = F.when(takes | merged | both, F.col("remote_text")).when(kept, F.col("now_text"))
+    seen = _with_bodies(snapshots, rows.where(body.isNotNull()).select("page_id", body.alias("body")))
+    report = rows.where("action IS NOT NULL").select("page_id", "path", F.coalesce(F.when(both, F.lit("stamp")).otherwise(F.col("do")), F.lit("error")).alias("action"), "error")
+    return Applied(after, untouched.unionByName(changed), report, seen)
 
 
-def commit_apply(manifest: DataFrame, trash: DataFrame, local: DataFrame, modified: DataFrame, new: DataFrame, deleted: DataFrame, now: str) -> Applied:
+def rewrite_files(tables: Applied, changed: DataFrame, now: str | None = None, dialect: P.Dialect = P.DEFAULT) -> Applied:
+    """``tables`` after files were rewritten: ``changed(page_id, path, body)``, such as regenerated or filled-in link lines.
+
+    The file takes the body, the snapshot its canonical text, the hash of that becomes the local one. ``now``: stamped.
+    """
+    titled = changed.join(tables.manifest.select("page_id", "title"), "page_id")
+    done = canon.canonical(titled, "body", "canonical", "local", F.coalesce("title", F.lit("")), dialect)
+    done = done.select("page_id", "path", "body", "canonical", canon.fingerprint(F.col("canonical")).alias("new_hash"))
+    rows = tables.manifest.join(done.select("page_id", "new_hash"), "page_id", "left")
+    touched = F.col("new_hash").isNotNull()
+    stamp = F.col("last_synced_at") if now is None else F.when(touched, F.lit(now)).otherwise(F.col("last_synced_at"))
+    after = rows.withColumns({"local_hash": F.coalesce("new_hash", "local_hash"), "last_synced_at": stamp}).select(*tables.manifest.columns)
+    files = done.select("path", F.col("body").alias("text"), F.col("new_hash").alias("hash"))
+    local = tables.local.select("path", "text", "hash").join(files.select("path"), "path", "left_anti").unionByName(files)
+    seen = _with_bodies(tables.snapshots, done.select("page_id", F.col("canonical").alias("body")))
+    return Applied(after, local, tables.report, seen, tables.trash)
+
+
+def commit_apply(manifest: DataFrame, trash: DataFrame, local: DataFrame, modified: DataFrame, new: DataFrame, deleted: DataFrame, now: str, snapshots: DataFrame | None = None) -> Applied:
     """Apply what a commit did: ``modified(page_id, pushed, new_remote_hash, error)``, ``new`` (rows of the manifest), ``deleted(page_id, choice)``.
 
-    Choices O, M and T move a page to the trash log; R and E (its body was emptied) and any other leave the record.
+    Choices O, M and T move a page to the trash log; R and E (its body was emptied) and any other leave the record. A
+    pushed or new page's snapshot becomes its file's text. A push without a new hash leaves the remote hash as it is.
     """
-    push = modified.select("page_id", F.coalesce("pushed", F.lit(False)).alias("pushed"), "new_remote_hash", F.col("error").alias("push_error"))
-    here = local.select("path", F.col("hash").alias("now_local"))
+    push = modified.select("page_id", F.coalesce("pushed", F.lit(False)).alias("pushed"), F.nullif("new_remote_hash", F.lit("")).alias("new_remote_hash"), F.col("error").alias("push_error"))
+    here = local.select("path", F.col("hash").alias("now_local"), F.col("text").alias("now_text"))
     gone = deleted.where(F.col("choice").isin(*TRASHED_BY)).groupBy("page_id").agg(F.max("choice").alias("choice"))
     rows = manifest.join(push, "page_id", "left").join(here, "path", "left")
     done = F.coalesce("pushed", F.lit(False))
@@ -80,7 +118,7 @@ def commit_apply(manifest: DataFrame, trash: DataFrame, local: DataFrame, modifi
     after = rows.select(
         *fields,
         F.when(done, F.coalesce("now_local", "local_hash")).otherwise(F.col("local_hash")).alias("local_hash"),
-        F.when(done, F.col("new_remote_hash")).otherwise(F.col("remote_hash")).alias("remote_hash"),
+        F.when(done, F.coalesce("new_remote_hash", "remote_hash")).otherwise(F.col("remote_hash")).alias("remote_hash"),
         F.when(done, F.lit(now)).otherwise(F.col("last_synced_at")).alias("last_synced_at"),
         (~done & F.coalesce("push_pending", F.lit(False))).alias("push_pending"),
     ).join(gone.select("page_id"), "page_id", "left_anti")
@@ -88,9 +126,37 @@ def commit_apply(manifest: DataFrame, trash: DataFrame, local: DataFrame, modifi
     after = after.join(added.select("page_id"), "page_id", "left_anti").unionByName(added)
     by = F.create_map(*[F.lit(x) for kv in TRASHED_BY.items() for x in kv])
     entries = manifest.join(gone, "page_id").select("page_id", "path", F.lit(now).alias("trashed_at"), F.element_at(by, F.col("choice")).alias("trashed_by"), "title", F.col("local_hash").alias("last_local_hash"))
+    texts = rows.where(done & F.col("now_text").isNotNull()).select("page_id", F.col("now_text").alias("body"))
+    texts = texts.unionByName(added.select("page_id", "path").join(here, "path").select("page_id", F.col("now_text").alias("body")))
+    seen = _with_bodies(snapshots, texts.dropDuplicates(["page_id"])).join(gone.select("page_id"), "page_id", "left_anti")
     failed = push.join(manifest.select("page_id", "path"), "page_id", "left").where(~F.col("pushed") | F.col("path").isNull())
     report = failed.select("page_id", F.coalesce("push_error", F.when(F.col("path").isNull(), F.lit("unknown page")).otherwise(F.lit("not pushed"))).alias("error"))
-    return Applied(after, local, report, trash.unionByName(entries))
+    return Applied(after, local, report, seen, trash.unionByName(entries))
+
+
+def disposals(manifest: DataFrame, deleted: DataFrame) -> DataFrame:
+    """page_id, path, url, action for ``deleted(page_id, choice)``: what has to be done with the remote page.
+
+    move_to_workspace (O), ask_for_trash (M: a person must do it, at the url), none (T: it is gone already), restore_file
+    (R) and empty_body (E). The root page is never moved or trashed: O, M and T are refused.
+    """
+    root = F.col("parent_page_id").isNull()
+    named = {"O": "move_to_workspace", "M": "ask_for_trash", "T": "none", "R": "restore_file", "E": "empty_body"}
+    action = F.element_at(F.create_map(*[F.lit(x) for kv in named.items() for x in kv]), F.col("choice"))
+    chosen = deleted.where(F.col("choice").isin(*named)).groupBy("page_id").agg(F.max("choice").alias("choice"))
+    refused = root & F.col("choice").isin(*TRASHED_BY)
+    return manifest.join(chosen, "page_id").select("page_id", "path", "url", F.when(refused, F.lit("refused")).otherwise(action).alias("action"))
+
+
+def post_write(manifest: DataFrame, reread: DataFrame, snapshots: DataFrame, now: str) -> Applied:
+    """After a push: ``reread(page_id, remote_text, remote_hash)`` give the remote hash and the snapshot of the pages pushed."""
+    got = reread.select("page_id", F.col("remote_hash").alias("got"))
+    rows = manifest.join(got, "page_id", "left")
+    stamp = F.when(F.col("got").isNotNull(), F.lit(now)).otherwise(F.col("last_synced_at"))
+    after = rows.withColumns({"remote_hash": F.coalesce("got", "remote_hash"), "last_synced_at": stamp}).select(*manifest.columns)
+    known = reread.join(manifest.select("page_id"), "page_id", "left_semi")
+    report = reread.join(manifest.select("page_id"), "page_id", "left_anti").select("page_id", F.lit("unknown page").alias("error"))
+    return Applied(after, None, report, _with_bodies(snapshots, known.select("page_id", F.col("remote_text").alias("body"))))
 
 
 def init_seed(fetched: DataFrame, now: str) -> DataFrame:

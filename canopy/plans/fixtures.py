@@ -109,7 +109,7 @@ WITH RECURSIVE d AS (
   FROM manifest m LEFT JOIN remote r ON m.page_id = r.page_id LEFT JOIN local_files l ON m.path = l.path WHERE NOT m.local_ignored
 ), pull AS (
   SELECT doc_id, page_id, path, new_local, new_remote, local_hash, remote_hash,
-    CASE WHEN new_local IS NOT DISTINCT FROM new_remote THEN 'clean' WHEN NOT local_dirty AND NOT remote_moved THEN 'clean'
+    CASE WHEN new_local = new_remote THEN 'clean' WHEN NOT local_dirty AND NOT remote_moved THEN 'clean'
       WHEN NOT local_dirty THEN 'auto_merge_remote' WHEN NOT remote_moved THEN 'auto_merge_local' ELSE 'conflict' END AS state
   FROM joined WHERE was_read
 ), status AS (

@@ -64,7 +64,7 @@ _parity("canon_separator_parity", _plus("\n|a|b|c|\n |:--|-:|  :-:|"), "text ||
 _parity("canon_h1_parity", lambda t: F.concat(F.lit("  # "), F.col("title"), F.lit("  \n\n"), t), "text", title="title")
 _parity("canon_rich_tag_parity", _plus('\n<callout icon="i">\nhidden <b>x</b>\n</callout><embed src="u"/><empty-block/>'), "text", mode="remote")
 _parity("canon_rich_tag_local", _plus('\n<callout icon="i">\nshown\n</callout>'), "text || " + _lit('\n<callout icon="i">\nshown\n</callout>'))
-_parity("canon_unknown_tag_parity", _plus('\n<frobnicator a="b">inner</frobnicator><x-y z/>\n<b>kept</b>'), "text || " + _lit("\n<b>kept</b>"), mode="remote")
+_parity("canon_unknown_tag_parity", _plus('\n<gadget-box a="b">inner</gadget-box><x-y z/>\n<b>kept</b>'), "text || " + _lit("\n<b>kept</b>"), mode="remote")
 _parity("canon_link_line_parity", lambda t: F.concat(F.lit(f"[A](./a.md) {MARK}\n"), t, F.lit('\n  [B](./b.md) <!-- tree:child -->\n<page url="https://wiki.example/x">C</page>')), "text")
 _parity("canon_image_line_parity", _plus("\n![alt](https://x/y.png) {w=1}\nsee ![i](u) here"), "text || " + _lit("\nsee ![i](u) here"), mode="remote")
 _parity(
@@ -86,9 +86,10 @@ def local_vs_remote_modes(spark, sf_dir):
     return both.select("doc_id", canon.fingerprint(F.col("l")).alias("local_hash"), canon.fingerprint(F.col("r")).alias("remote_hash"))
 
 
-@query("unknown_tag_report", SQL + "SELECT 'frobnicator' AS tag, count(*) AS pages FROM d WHERE doc_id % 3 = 0 UNION ALL SELECT 'x-y' AS tag, count(*) AS pages FROM d WHERE doc_id % 3 = 0")
+@query("unknown_tag_report", SQL + "SELECT 'gadget-box' AS tag, count(*) AS pages FROM d WHERE doc_id % 3 = 0 UNION ALL SELECT 'x-y' AS tag, count(*) AS pages FROM d")
 def unknown_tag_report(spark, sf_dir):
-    rows = _d(spark, sf_dir).where("doc_id % 3 = 0").select(F.concat("text", F.lit("\n<frobnicator>i</frobnicator><x-y/>")).alias("raw"))
+    more = F.when(F.col("doc_id") % 3 == 0, "\n<gadget-box>i</gadget-box><x-y/>").otherwise("\n<x-y/><b>z</b>")
+    rows = _d(spark, sf_dir).select(F.concat("text", more).alias("raw"))
     return rows.select(F.explode(kernels.unknown_tags(F.col("raw"))).alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("pages"))
 
 
@@ -268,11 +269,9 @@ def status_counts(spark, sf_dir):
     return state.state_counts(status_scan(spark, sf_dir))
 
 
-@query("status_buckets", SQL + "SELECT state, string_agg(page_id, ',' ORDER BY page_id) AS ids FROM status WHERE state <> 'clean' GROUP BY state")
+@query("status_buckets", SQL + "SELECT state, substr(page_id, 1, 2) AS bucket, string_agg(page_id, ',' ORDER BY page_id) AS ids FROM status GROUP BY 1, 2")
 def status_buckets(spark, sf_dir):
-    """A report for people; pages in step are counted elsewhere."""
-    rows = status_scan(spark, sf_dir).where("state <> 'clean'")
-    return rows.groupBy("state").agg(F.array_join(F.sort_array(F.collect_list("page_id")), ",").alias("ids"))
+    return state.buckets(status_scan(spark, sf_dir)).select("state", "bucket", F.array_join("page_ids", ",").alias("ids"))
 
 
 @query("refetch_list", SQL + "SELECT page_id, state AS reason FROM pull WHERE state IN ('auto_merge_remote', 'conflict')")
@@ -398,10 +397,10 @@ def create_waves(spark, sf_dir):
     return graph.create_waves(every, graph.tree_paths(fx.tree(d)))
 
 
-@query("natural_order", SQL + "SELECT page_id, concat(source, '/', lang, '/doc-', lpad(CAST(doc_id AS VARCHAR), 20, '0'), '.md') AS k FROM d WHERE source IS NULL")
+@query("natural_order", SQL + r"SELECT page_id, concat(regexp_replace(coalesce(source, ''), '[0-9]+', ''), lpad(regexp_extract(coalesce(source, ''), '[0-9]+'), 20, '0'), '/', lang, '/doc-', lpad(CAST(doc_id AS VARCHAR), 20, '0'), '.md') AS k FROM d")
 def natural_order(spark, sf_dir):
-    d = _d(spark, sf_dir).where("source IS NULL")
-    return d.select("page_id", graph.natural_key(F.col("path")).alias("k"))
+    """Sources are a word and a number."""
+    return _d(spark, sf_dir).select("page_id", graph.natural_key(F.col("path")).alias("k"))
 
 
 def _reach(d: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -510,11 +509,12 @@ def unified_diff_stats(spark, sf_dir):
 
 @query(
     "child_link_regen",
-    SQL + f"""SELECT doc_id, {sha('''concat(text, chr(10), '[Parent](https://wiki.example/', parent_page_id, ') <!-- tree:child page_id="', parent_page_id, '" external -->', chr(10),
-'[', title, '](./doc-', CAST(doc_id AS VARCHAR), '.md) <!-- tree:child page_id="', page_id, '" -->', chr(10), 'end')''').replace("[Parent]", "[]")} AS hash, CAST(1 AS BIGINT) AS added, CAST(1 AS BIGINT) AS dropped FROM d WHERE doc_id % 19 <> 0""",
+    SQL + f"""SELECT doc_id, {sha('''concat(text, chr(10), '[](https://wiki.example/', parent_page_id, ') <!-- tree:child page_id="', parent_page_id, '" external -->', chr(10),
+'[', CASE WHEN doc_id % 19 = 0 THEN '' ELSE title END, '](', CASE WHEN doc_id % 19 = 0 THEN concat('https://wiki.example/', page_id) ELSE concat('./doc-', CAST(doc_id AS VARCHAR), '.md') END,
+') <!-- tree:child page_id="', page_id, CASE WHEN doc_id % 19 = 0 THEN '" external -->' ELSE '" -->' END, chr(10), 'end')''')} AS hash, CAST(1 AS BIGINT) AS added, CAST(1 AS BIGINT) AS dropped FROM d""",
 )
 def child_link_regen(spark, sf_dir):
-    d = _d(spark, sf_dir).where("doc_id % 19 <> 0")
+    d = _d(spark, sf_dir)
     line = lambda target: F.concat(F.lit("[old \\] name](./x.md) <!-- tree:child page_id=\""), target, F.lit('" -->'))
     body = F.concat("text", F.lit("\n"), line(F.lit("aaaaaaaa-bbbb-cccc-dddd-eeeeeeeeeeee")), F.lit("\n"), line(F.col("parent_page_id")), F.lit("\nend"))
     bodies = d.select("page_id", "path", body.alias("body"))
@@ -567,7 +567,8 @@ def _pulled(d: DataFrame) -> merge.Applied:
     bodies = remote.where("doc_id % 37 <> 0").select("page_id", "remote_text", "remote_hash", merged.alias("merged_text"), canon.fingerprint(merged).alias("merged_hash"))
     choice = F.element_at(F.array(*[F.lit(x) for x in "LRES"]), (F.col("doc_id") % 4 + 1).cast("int"))
     decisions = d.select("page_id", F.explode(F.array(F.struct(F.lit("S").alias("choice"), F.lit(0).alias("pos")), F.struct(choice.alias("choice"), F.lit(1).alias("pos")))).alias("x")).select("page_id", "x.*")
-    return merge.pull_apply(m, local.select("path", "text", "hash"), states, bodies, decisions, NOW)
+    before = m.select("page_id", F.concat(F.lit("old "), "page_id").alias("body"))
+    return merge.pull_apply(m, local.select("path", "text", "hash"), states, bodies, decisions, NOW, before)
 
 
 PULL_SQL = f""", act AS (
@@ -640,7 +641,7 @@ def commit_apply(spark, sf_dir):
 
 @query(
     "trash_log",
-    SQL + COMMIT_SQL + f"""SELECT m.page_id, m.path, '{NOW}' AS trashed_at, CASE m.doc_id % 5 WHEN 0 THEN 'orphaned-to-workspace' WHEN 1 THEN 'remote-trashed' ELSE 'untracked-no-remote-action' END AS trashed_by, m.title, m.local_hash AS last_local_hash
+    SQL + COMMIT_SQL + f"""SELECT m.page_id, m.path, '{NOW}' AS trashed_at, CASE m.doc_id % 5 WHEN 0 THEN 'orphaned-to-workspace' WHEN 1 THEN 'untracked-no-remote-action' ELSE 'remote-trashed' END AS trashed_by, m.title, m.local_hash AS last_local_hash
 FROM part p JOIN manifest m ON p.page_id = m.page_id WHERE p.kind = 'deleted' AND m.doc_id % 5 < 3""",
 )
 def trash_log(spark, sf_dir):
@@ -659,13 +660,20 @@ def init_seed(spark, sf_dir):
     return merge.init_seed(d, NOW).select("page_id", "path", "local_hash", "remote_hash", "last_synced_at")
 
 
-@query("valid_records", SQL + "SELECT page_id, CASE WHEN doc_id % 3 = 0 THEN 'remote_hash' WHEN doc_id % 5 = 0 THEN 'has_children' END AS problem FROM d WHERE doc_id % 17 <> 0")
+@query("valid_records", SQL + "SELECT page_id, CASE WHEN doc_id % 3 = 0 THEN 'remote_hash' WHEN doc_id % 5 = 0 THEN 'has_children' WHEN doc_id % 2 = 0 THEN 'extra note' END AS problem FROM d WHERE doc_id % 17 <> 0")
 def valid_records(spark, sf_dir):
     d = _d(spark, sf_dir)
-    rows = fx.remote_records(d).join(d.select("page_id", "doc_id"), "page_id")
+    rows = fx.remote_records(d).join(d.select("page_id", "doc_id", "path"), "page_id")
     rows = rows.withColumn("remote_hash", F.when(F.col("doc_id") % 3 == 0, F.substring("remote_hash", 1, 20)).otherwise(F.col("remote_hash")))
-    rows = rows.withColumn("has_children", F.when(F.col("doc_id") % 5 != 0, F.col("has_children")))
-    return state.valid_records(rows).select("page_id", "problem")
+    rows = rows.withColumns({"has_children": F.when(F.col("doc_id") % 5 != 0, F.col("has_children")), "note": F.when(F.col("doc_id") % 2 == 0, "x")})
+    return state.valid_records(rows, carried=("doc_id",)).select("page_id", "problem")
+
+
+@query("valid_write_results", SQL + "SELECT page_id, CASE doc_id % 4 WHEN 0 THEN 'warnings' WHEN 1 THEN 'new_remote_hash' END AS problem FROM d")
+def valid_write_results(spark, sf_dir):
+    n = F.col("doc_id") % 4
+    rows = _d(spark, sf_dir).select("page_id", "path", F.lit(True).alias("pushed"), F.when(n != 0, F.array(F.lit("w"))).alias("warnings"), F.when(n == 1, "md5:1").when(n == 2, "").otherwise(fx.digest(F.col("text"))).alias("new_remote_hash"))
+    return state.valid_records(rows, "write").select("page_id", "problem")
 
 
 @query("new_page_titles", SQL + "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN concat('Head ', CAST(doc_id AS VARCHAR)) ELSE concat('doc-', CAST(doc_id AS VARCHAR)) END AS title FROM d")

@@ -51,6 +51,22 @@ def test_pull_then_status_is_clean(spark):
     kept = merge.pull_apply(m, local, state.pull_classify(m, local, read), bodies, choices.where("choice = 'L'"), "t1")
     row = kept.manifest.where("page_id = 'p2'").first()
     assert (row.local_hash, row.remote_hash, row.push_pending) == ("x", "y", True)
+    assert {r.page_id: r.state for r in state.pull_classify(kept.manifest, kept.local, read).collect()} == {"p1": "clean", "p2": "auto_merge_local"}
+    assert [(r.page_id, r.kind) for r in state.commit_partition(kept.manifest, kept.local).collect()] == [("p2", "modified")]
+
+
+def test_missing_on_both_sides_is_not_clean(spark):
+    m = manifest(spark, [("p1", "1", "a", "b", False)])
+    none = spark.createDataFrame([], "path string, hash string")
+    read = spark.createDataFrame([("p1", None)], "page_id string, remote_hash string")
+    assert [r.state for r in state.pull_classify(m, none, read).collect()] == ["conflict"]
+    assert state.illusory_conflicts(m, none, read).count() == 0
+
+
+def test_root_page_is_not_trashed(spark):
+    m = manifest(spark, [("p1", "1", "a", "b", False)]).unionByName(manifest(spark, [("r", "index.md", "a", "b", False)]).withColumn("parent_page_id", F.lit(None).cast("string")))
+    chosen = spark.createDataFrame([("p1", "O"), ("r", "O"), ("x", "M")], "page_id string, choice string")
+    assert {(r.page_id, r.action) for r in merge.disposals(m, chosen).collect()} == {("p1", "move_to_workspace"), ("r", "refused")}
 
 
 def test_closure_handles_cycles_and_caps(spark):
