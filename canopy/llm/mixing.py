@@ -3,18 +3,21 @@
 Every source gets a target: its share, by weight, of the words of all sources, stopped at ``most`` times its own
 words, with the excess shared out again by weight until no target is above that stop. A source takes
 ``floor(target / words)`` whole copies of all its documents; the rest of its target comes from a sample without
-replacement. Document i is to be included with probability p_i in proportion to the square root of its size (between
-equal chances and chances by size, so that neither short nor long documents crowd the mix), and the sample takes the
-documents of lowest Pareto rank (u/(1-u)) / (p/(1-p)) with u uniform, as far as they fit in the words still wanted;
-the last one is, of those left, the one nearest to what is missing then. So the sample's size in words is fixed. u comes from a hash of id, size and seed: runs agree.
+replacement. Document i is to be included with a probability p_i in proportion to the square root of its size (between
+equal chances and chances by size, so that neither short nor long documents crowd the mix), such that the expected words
+are those wanted. Documents for which that is 1 or more are certain: they get one copy more, and the words left over are
+shared out among the others in the same way, until no more become certain. Of the others the sample takes those of lowest
+Pareto rank (u/(1-u)) / (p/(1-p)) with u uniform, one after the other, up to the first that doesn't fit the words
+still wanted; then ``LAST`` times the next in rank that fits what is missing, the last time one that comes nearer to it. So the
+sample's size in words is fixed, and near the target. u comes from a hash of id, size and
+seed: runs agree.
 
 No window sees a whole source: documents fall into bins by rank, the words of bins are summed, the one bin of a source
-in which its sample ends is divided again, and only the one small bin left is put in order. Sources are ranked by code point (null last) for their weights
-through range partitions.
+in which its sample ends is divided again, and only the one small bin left is put in order. Chances come from counts by
+source and size. Sources are ranked by code point (null last) for their weights through range partitions.
 
 Nulls: a null text has size 0, a null source is a source of its own, a null id hashes as itself. Documents of size 0
-take 0 words. Rows equal in id,
-source and size share their draw: they are taken or left together. An empty table
+take 0 words. Rows equal in id, source and size share their draw: they are taken or left together. An empty table
 gives an empty result. Other columns are ignored.
 """
 
@@ -28,6 +31,8 @@ from canopy.llm.shared import global_rank, materialize, pick
 
 #: A source's ranks fall into so many bins, and the one in which its sample ends into as many again.
 BINS, LEVELS = 1024, 2
+#: So many documents are looked for, by rank, that fit what is missing in the end.
+LAST = 4
 
 
 def word_count(text):
@@ -65,6 +70,30 @@ def targets(sizes: DataFrame, weights: list[int], most: int) -> DataFrame:
     return ranked.select("source", "words", goal.alias("target"))
 
 
+def _certain(plan: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``plan(s, wanted, ...)`` plus cut (the size from which documents are certain), rest (words wanted of the others) and tilt.
+
+    ``sizes(source, size, n)``. Each pass gathers the sums of the documents below the cuts of the pass before.
+    """
+    plan = plan.withColumn("cut", F.lit((1 << 62)).cast("long"))
+    while True:
+        below = F.col("size") < F.col("cut")
+        sums = (
+            sizes.join(plan.select("s", "cut"), F.col("source").eqNullSafe(F.col("s")))
+            .groupBy("source")
+            .agg(F.sum(F.when(~below, F.col("size") * F.col("n"))).alias("sure"), F.sum(F.when(below, F.pow("size", F.lit(1.5)) * F.col("n"))).alias("tilt"))
+            .select(F.col("source").alias("s2"), F.coalesce("sure", F.lit(0)).alias("sure"), F.coalesce("tilt", F.lit(0.0)).alias("tilt"))
+        )
+        now = plan.join(sums, F.col("s").eqNullSafe(F.col("s2")), "left").withColumn("rest", F.greatest(F.lit(0.0), F.col("wanted") - F.coalesce("sure", F.lit(0))))
+        edge = F.when((F.col("rest") > 0) & (F.col("tilt") > 0), F.ceil(F.least(F.lit(2.0**62), F.pow(F.col("tilt") / F.col("rest"), F.lit(2.0))) - F.lit(1e-9)))
+        now = materialize(now.withColumn("next", F.least("cut", F.coalesce(edge.cast("long"), "cut"))).drop("s2", "sure"), "certain")
+        # a cut moves only where it meets another size
+        moved = sizes.join(now.select("s", "cut", "next"), F.col("source").eqNullSafe(F.col("s"))).where("size >= next AND size < cut").limit(1).count()
+        if not moved:
+            return now.drop("next")
+        plan = now.select(*[c for c in plan.columns if c != "cut"], F.col("next").alias("cut"))
+
+
 def mix(
     docs: DataFrame,
     weights: list[int],
@@ -86,29 +115,21 @@ def mix(
     if not carried:
         sized = materialize(sized, "sizes")
     slim = sized.select("doc_id", "source", "size")
-    by_source = slim.groupBy("source").agg(F.sum("size").alias("words"), F.sum(F.pow("size", F.lit(1.5))).alias("tilt"))
-    by_source = materialize(by_source, "by-source")
-    goals = targets(by_source.select("source", "words"), weights, most)
-    plan = (
-        goals.withColumnRenamed("source", "s")
-        .join(by_source.select(F.col("source").alias("s2"), "tilt"), F.col("s").eqNullSafe(F.col("s2")))
-        .select(
-            "s",
-            "words",
-            "target",
-            "tilt",
-            F.when(F.col("words") > 0, F.floor(F.col("target") / F.col("words") + F.lit(1e-9))).otherwise(F.lit(0)).cast("long").alias("whole"),
-        )
-        .withColumn("wanted", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("words")))
-    )
-    plan = materialize(plan, "plan")
-    chance = F.least(F.lit(0.999999), F.greatest(F.lit(1e-12), F.col("wanted") * F.sqrt("size") / F.col("tilt")))
+    sizes = materialize(slim.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "by-size")
+    by_source = materialize(sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words")), "by-source")
+    goals = targets(by_source, weights, most)
+    whole = F.when(F.col("words") > 0, F.floor(F.col("target") / F.col("words") + F.lit(1e-9))).otherwise(F.lit(0)).cast("long")
+    plan = goals.select(F.col("source").alias("s"), "words", "target", whole.alias("whole"))
+    plan = plan.withColumn("wanted", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("words")))
+    plan = _certain(plan, sizes)
+    sure = F.col("size") >= F.col("cut")
+    chance = F.least(F.lit(1 - 1e-12), F.greatest(F.lit(1e-12), F.col("rest") * F.sqrt("size") / F.col("tilt")))
     draw = (F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
     odds = (draw / (1 - draw)) / (chance / (1 - chance))
-    joined = sized.join(plan, F.col("source").eqNullSafe(F.col("s")), "left").withColumn(
-        "at", F.when((F.col("wanted") > 0) & (F.col("size") > 0), odds / (1 + odds))
+    joined = sized.join(plan, F.col("source").eqNullSafe(F.col("s")), "left").withColumns(
+        {"sure": F.coalesce(sure, F.lit(False)), "at": F.when((F.col("rest") > 0) & (F.col("size") > 0) & ~sure, odds / (1 + odds))}
     )  # the rank, brought into 0 to 1
-    ranked = materialize(joined.select("source", "size", "wanted", "at", "doc_id").where("at is not null"), "ranks")
+    ranked = materialize(joined.select("source", "size", F.col("rest").alias("wanted"), "at", "doc_id").where("at is not null"), "ranks")
     inside = ranked.withColumn("before", F.lit(0).cast("long"))
     for level in range(1, LEVELS + 1):
         cell = F.floor(F.col("at") * float(BINS**level)).cast("long")
@@ -133,30 +154,25 @@ def mix(
         .agg(F.max(F.struct("at", "doc_id", "size")).alias("lim"), F.max("upto").alias("upto"))
         .select(F.col("source").alias("ls"), "lim", "upto")
     )
-    limits = ends.join(last, F.col("es").eqNullSafe(F.col("ls")), "left").select("es", "end_bin", "lim", F.coalesce("upto", "end_before").alias("upto"))
+    ones = F.array().cast("array<struct<at: double, doc_id: " + dict(ranked.dtypes)["doc_id"] + ", size: bigint>>")
+    limits = ends.join(last, F.col("es").eqNullSafe(F.col("ls")), "left").select("es", "end_bin", "lim", F.coalesce("upto", "end_before").alias("upto"), ones.alias("ones"))
     limits = materialize(limits, "limits")
-    # of the documents left, the one that comes nearest to the words still missing
-    cell = F.floor(F.col("at") * float(BINS**LEVELS)).cast("long")
-    here = F.struct("at", "doc_id", "size")
-    missing = F.col("wanted") - F.col("upto")
-    nearest = (
-        ranked.join(limits, F.col("source").eqNullSafe(F.col("es")))
-        .where((cell > F.col("end_bin")) | ((cell == F.col("end_bin")) & ~F.coalesce(here <= F.col("lim"), F.lit(False))))
-        .where(F.col("size") < 2 * missing)
-        .groupBy("es")
-        .agg(F.min(F.struct(F.abs(F.col("size") - missing).alias("off"), here.alias("one"))).alias("best"))
-        .select(F.col("es").alias("ns"), F.col("best.one").alias("one"))
-    )
-    limits = materialize(limits.join(nearest, F.col("es").eqNullSafe(F.col("ns")), "left").select("es", "end_bin", "lim", "one"), "limits")
     cell = F.floor(F.col("at") * float(BINS**LEVELS)).cast("long")
     here = F.struct("at", "doc_id", "size")
+    for n in range(LAST):
+        left = (cell > F.col("end_bin")) | ((cell == F.col("end_bin")) & ~F.coalesce(here <= F.col("lim"), F.lit(False)))
+        fits = ranked.join(limits, F.col("source").eqNullSafe(F.col("es"))).where(left & (F.col("size") < (F.col("wanted") - F.col("upto")) * (2 if n == LAST - 1 else 1)) & ~F.array_contains("ones", here))
+        next_one = fits.groupBy("es").agg(F.min(here).alias("one")).select(F.col("es").alias("ns"), "one")
+        found = limits.join(next_one, F.col("es").eqNullSafe(F.col("ns")), "left")
+        added = F.when(F.col("one").isNotNull(), F.array("one")).otherwise(ones)
+        limits = materialize(found.select("es", "end_bin", "lim", (F.col("upto") + F.coalesce("one.size", F.lit(0))).alias("upto"), F.concat("ones", added).alias("ones")), "limits")
     extra = (
         F.when(F.col("at").isNull(), False)
         .when(F.col("end_bin").isNull() | (cell < F.col("end_bin")), True)
         .when(cell > F.col("end_bin"), False)
         .otherwise(F.coalesce(here <= F.col("lim"), F.lit(False)))
-    ) | F.coalesce(here == F.col("one"), F.lit(False))
-    out = joined.join(limits, F.col("source").eqNullSafe(F.col("es")), "left").withColumn("copies", F.col("whole") + extra.cast("long"))
+    ) | F.coalesce(F.array_contains("ones", here), F.lit(False))
+    out = joined.join(limits, F.col("source").eqNullSafe(F.col("es")), "left").withColumn("copies", F.col("whole") + (extra | F.col("sure")).cast("long"))
     return out.select("doc_id", "size", F.col("words").alias("source_size"), "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *carried)
 
 

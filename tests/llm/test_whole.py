@@ -6,7 +6,7 @@ from collections import defaultdict
 
 import pytest
 
-from canopy.llm import bpe, langid, lines, near, pipeline, shared
+from canopy.llm import bpe, langid, licenses, lines, lm, media, mixing, near, pipeline, shared
 
 
 SF = "/root/testdata/sf0.01"
@@ -123,3 +123,106 @@ def test_near_finds_short_texts_that_agree_in_no_sketch(spark):
     assert near.similarity(*(near.shingles([t])[0] for t in pair)) >= near.SIMILAR - 1e-9
     docs = spark.createDataFrame([(1, pair[0]), (2, pair[1]), (3, "other words stand here alone"), (4, "")], "doc_id long, text string")
     assert {r.doc_id: (r.class_id, r.class_size) for r in near.classes(docs).collect()} == {1: (1, 2), 2: (1, 2), 3: (3, 1), 4: (4, 1)}
+
+
+def test_bpe_cuts_inside_words():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, ours = Tokenizer.from_file(path), bpe.Encoder(path)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    never = [a + b for a in letters for b in letters if a + b not in ours.joined]
+    assert never
+    for pair in never:
+        word = f"the{pair}ing"
+        assert len(ours.split(word)) > 1
+        raw, _ = ours.encode(word)
+        ids = plain.encode(word, add_special_tokens=False).ids
+        assert [int.from_bytes(raw[j : j + 4], "little") for j in range(0, len(raw), 4)] == ids, word
+
+
+def test_bpe_cache_is_bounded_by_bytes():
+    import public_tokenizers
+
+    coder = bpe.Encoder(public_tokenizers.path("word_bpe_49k.json"), most=20_000)
+    long = "x" * 5000
+    for i in range(200):
+        raw, _ = coder.encode(f"{long} w{i} v{i}")
+        assert raw[-4:] and long not in coder.known and coder.held <= 20_000 + 2000
+
+
+def test_lm_over_many_blocks_and_lanes(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_CHARS", 400)
+    rnd = random.Random(4)
+    texts = [(i, " ".join(rnd.choice("a b c d e f g".split()) for _ in range(rnd.randint(0, 600)))) for i in range(60)] + [(100, None)]
+    model = lm.Automaton([t for i, t in texts if not lm.held_out(i)])
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.score for r in lm.score(docs).collect()}
+    assert all(abs(got[i] - model.score(t)) <= 1e-9 * max(1.0, abs(got[i])) for i, t in texts)
+
+
+def test_lm_counts_beyond_four_bytes():
+    import numpy as np
+
+    x = np.array([0, 1, 2**32, 2**40 + 7])
+    assert (lm._large(lm._small(x)) == x).all() and (lm._large(lm._small(x[:2])) == x[:2]).all() and len(lm._large(lm._small(x[:0]))) == 0
+
+
+def brute_licences(text):
+    """Every template at every place."""
+    import re
+
+    lowered = "".join(c.lower() if c.isascii() else c for c in text or "")
+    words = re.findall("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", lowered)
+    labels, score = set(), 0.0
+    for label, template, keys in licenses._entries():
+        for s in range(-len(template), len(words)):
+            if all(s + at >= 0 and words[s + at : s + at + len(k)] == k for at, k in keys):
+                labels.add(label)
+                score = max(score, sum(0 <= s + i < len(words) and words[s + i] == w for i, w in enumerate(template)) / len(template))
+    return ",".join(sorted(labels)), score
+
+
+def test_licences_equal_brute_force(spark):
+    rnd = random.Random(9)
+    notices = [" ".join(t) for _, t, _ in licenses._entries()]
+    rows = [(0, None), (1, ""), (2, "general public license")]
+    for i in range(3, 150):
+        parts = [" ".join(rnd.choices("the license public version 2 3 gnu by cc rights software".split(), k=rnd.randint(0, 8)))]
+        for _ in range(rnd.randint(0, 3)):
+            words = rnd.choice(notices).split()
+            for _ in range(rnd.choice([0, 0, 1, 3])):
+                words[rnd.randrange(len(words))] = rnd.choice(["xx", "license", "2"])
+            parts.append(rnd.choice([" ", ", ", "\n"]).join(words).upper())
+        rows.append((i, " ".join(parts)))
+    got = {r.doc_id: (r.labels, round(r.score, 9)) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (a, round(b, 9)) for i, t in rows for a, b in [brute_licences(t)]}
+
+
+
+def test_media_query_equals_plain_python(spark):
+    import zlib
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = media.op4_media(spark, sf).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        raw = (texts[r.doc_id] or "").encode()
+        payload = raw + b" " * (-len(raw) % 192 if raw else 192)
+        stored = media.to_png(payload)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
+        assert (r.tail_crc32, r.media_bytes, r.media_sha256) == (zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest())
+        assert (r.feature, r.width, r.height) == (media.feature_of(payload), 192, len(payload) // 192)
+
+
+def test_certain_documents_get_a_copy_more(spark):
+    """One source of a large document and many small ones: the large one's chance is 1."""
+    rows = [(0, "w " * 3000, "a")] + [(i, "w " * 10, "a") for i in range(1, 101)] + [(i, "w " * 10, "b") for i in range(101, 900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for seed in range(3):
+        got = {r.doc_id: r for r in mixing.mix(docs, [7, 17], seed=seed).collect()}
+        goal = got[0].target
+        assert 3000 < goal < 4000 and got[0].copies == 1 and {r.copies for i, r in got.items() if 0 < i <= 100} == {0, 1}
+        assert abs(sum(r.taken for i, r in got.items() if i <= 100) - goal) <= 10
