@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 
 from canopy.llm.shared import as_id, drop_tables, materialize, pick, release, small_batches
 
-ORDER, BLOCK_TOKENS, SHARD_CHARS, CLASSES, LANE = 3, 1_000_000, 8 << 20, 64, 256
+ORDER, BLOCK_TOKENS, SHARD_CHARS, CLASSES, LANE = 3, 500_000, 8 << 20, 64, 256
 END = np.uint64(0x9E3779B97F4A7C15)  # stands for the hash of the end, and of the begin as a context
 
 
@@ -88,14 +88,18 @@ def _unpack(b: bytes) -> np.ndarray:
 
 
 def _small(x: np.ndarray) -> bytes:
-    """Numbers from 0 on, in as many bytes as the largest takes (4 or 8), compressed."""
-    kind = "<u8" if len(x) and int(x.max()) >= 1 << 32 else "<u4"
-    return kind[1:].encode() + len(x).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(x, kind), codec="zstd", asbytes=True)
+    """Numbers from 0 on, of 4 bytes or 8 where one needs them; all first bytes, then all second ones, ..., compressed."""
+    width = 8 if len(x) and int(x.max()) >= 1 << 32 else 4
+    planes = np.ascontiguousarray(x, f"<u{width}").view(np.uint8).reshape(-1, width).T
+    return bytes([width]) + len(x).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
 def _large(b: bytes) -> np.ndarray:
-    kind, n = "<" + b[:2].decode(), int.from_bytes(b[2:10], "little")
-    return np.frombuffer(pa.decompress(b[10:], n * int(kind[2]), codec="zstd", asbytes=True), kind).astype(np.int64) if n else np.zeros(0, np.int64)
+    width, n = b[0], int.from_bytes(b[1:9], "little")
+    if not n:
+        return np.zeros(0, np.int64)
+    planes = np.frombuffer(pa.decompress(b[9:], n * width, codec="zstd", asbytes=True), np.uint8).reshape(width, n)
+    return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.int64)
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
