@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm.shared import materialize, new_path, pick
+from canopy.llm.shared import as_id, materialize, new_path, pick
 
 ROW, SHARD_BYTES, HEADER = 192, 256 << 20, 33
 PNG = b"\x89PNG\r\n\x1a\n"
@@ -156,7 +156,7 @@ def store(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
         shards.close()
         yield out()
 
-    source = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("long"), F.col("text").cast("string"))
+    source = pick(docs, id=id_col, text=text_col).select(as_id(F.col("id")).alias("id"), F.col("text").cast("string"))
     index = materialize(source.mapInArrow(run, INDEX), "media-index")
     address = index.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("a"))
     return index.select("doc_id", "n_bytes", F.col("digest").alias("d")).join(address, F.col("d") == F.col("digest")).select("doc_id", "n_bytes", "digest", "a.shard", "a.offset", "a.length")

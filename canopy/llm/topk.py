@@ -5,13 +5,14 @@ part of the inner product over a slice is the local score of that slice, and the
 
 1. Every partition lists, for each query and slice, the k rows of highest local score, completes the scores of these
    rows and hands over its k best. The k-th best of all partitions is a floor below which no result can lie.
-2. That floor is broadcast. A row whose score reaches it has a local score of at least floor/SLICES in some slice; all
+2. That floor is broadcast. Rows whose norms by slice keep them below every query's floor (Cauchy-Schwarz) are passed
+   over unscored. A row whose score reaches the floor has a local score of at least floor/SLICES in some slice; the other
    rows are asked for entries that reach this uniform threshold.
 3. The scores of these rows alone are completed exactly; those at or above the floor compete for the k places.
 
 Queries are a stated set against all rows, and come in blocks of ``QUERY_BLOCK`` at most: a block and its floors are all
 that is ever broadcast or held at the driver. Scores are exact: floating-point products are used only while all sums
-stay below 2^53, 64-bit integers beyond.
+stay below 2^53, 64-bit integers beyond. Components so large that a sum could pass 64 bits are an error.
 
 Vectors that are null or hold a null or non-finite component take no part, neither as query nor as candidate. Vectors
 meet only vectors of their own length. A query's own row is no candidate, another row with the same id is. Ties go to
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from canopy.llm.shared import materialize, pick, with_row_id
+from canopy.llm.shared import as_id, materialize, pick, with_row_id
 
 SLICES, QUERY_BLOCK, ROW_BLOCK = 4, 1024, 1024
 LOWEST = -(1 << 62)
@@ -53,11 +54,19 @@ def _local(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Local scores, SLICES x queries x rows."""
     cuts = np.linspace(0, q.shape[1], SLICES + 1).astype(int)
     big = max(1.0, np.abs(q).max(initial=0)) * max(1.0, np.abs(c).max(initial=0)) * max(1, q.shape[1])
+    if big >= 2**63:
+        raise ValueError("components are too large: inner products may pass 64 bits")
     if big >= 2**53:
         q, c = q.astype(np.int64), c.astype(np.int64)
     return np.stack([q[:, a:b] @ c[:, a:b].T for a, b in zip(cuts, cuts[1:], strict=False)])
 
 
+def _norms(x: np.ndarray) -> np.ndarray:
+    """Norms by slice, SLICES x rows."""
+    cuts = np.linspace(0, x.shape[1], SLICES + 1).astype(int)
+    return np.stack([np.sqrt((x[:, a:b] ** 2).sum(axis=1)) for a, b in zip(cuts, cuts[1:], strict=False)])
+
+
 def _best(query: np.ndarray, score: np.ndarray, vec: np.ndarray, row: np.ndarray, k: int) -> np.ndarray:
     """Places of the k best entries of each query."""
     order = np.lexsort((row, vec, -score, query))
@@ -70,7 +79,7 @@ def _best(query: np.ndarray, score: np.ndarray, vec: np.ndarray, row: np.ndarray
 def search(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score for the rows of ``vectors`` where ``is_query`` (over columns id and vec)."""
     spark = vectors.sparkSession
-    base = pick(vectors, id=id_col, vec=vector_col).select(F.col("id").cast("long"), "vec", is_query.alias("asks"))
+    base = pick(vectors, id=id_col, vec=vector_col).select(as_id(F.col("id")).alias("id"), "vec", is_query.alias("asks"))
     base = materialize(with_row_id(base, "row"), "vectors")
     asking = base.where("asks").select("row", "id", "vec")
     per_part = {r["p"]: r["n"] for r in asking.groupBy((F.shiftright("row", 33)).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a partition
@@ -162,6 +171,9 @@ def _search_block(spark, base: DataFrame, rows: list, k: int) -> DataFrame:
         def parts():
             for q_row, q, row, vec, x in scan(batches):
                 least = floor.value[q.shape[1]]
+                high = _norms(q).T @ _norms(x)
+                near = (high * (1 + 1e-9) + 1 >= least[:, None]).any(axis=0)
+                row, vec, x = row[near], vec[near], x[near]
                 local = _local(q, x)
                 reach = (local >= (least / SLICES - 1)[None, :, None]).any(axis=0)  # 1 below: rounding must not lose any
                 qi, ci = np.nonzero(reach)

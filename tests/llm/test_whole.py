@@ -5,8 +5,9 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
-from canopy.llm import bpe, langid, licenses, lines, lm, media, mixing, near, pipeline, shared
+from canopy.llm import bpe, langid, licenses, lines, lm, media, mixing, near, pipeline, shared, topk
 
 
 SF = "/root/testdata/sf0.01"
@@ -226,3 +227,15 @@ def test_certain_documents_get_a_copy_more(spark):
         goal = got[0].target
         assert 3000 < goal < 4000 and got[0].copies == 1 and {r.copies for i, r in got.items() if 0 < i <= 100} == {0, 1}
         assert abs(sum(r.taken for i, r in got.items() if i <= 100) - goal) <= 10
+
+
+def test_topk_tells_of_components_beyond_64_bits(spark):
+    df = spark.createDataFrame([(0, [1e300, 1.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="too large"):
+        topk.search(df, F.col("id") % 50 == 0, 5).collect()
+
+
+def test_ids_that_are_no_integers(spark):
+    df = spark.createDataFrame([("a", "same words stand here twice"), ("7", "same words stand here twice")], "doc_id string, text string")
+    assert sorted((str(r.doc_id), r.class_size) for r in near.classes(df).collect()) == [("7", 2), ("None", 2)]
+    assert {r.doc_id for r in lm.score(df).collect()} == {None, 7}
