@@ -2,7 +2,9 @@
 
 import hashlib
 import random
+import re
 from collections import defaultdict
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -239,3 +241,27 @@ def test_ids_that_are_no_integers(spark):
     df = spark.createDataFrame([("a", "same words stand here twice"), ("7", "same words stand here twice")], "doc_id string, text string")
     assert sorted((str(r.doc_id), r.class_size) for r in near.classes(df).collect()) == [("7", 2), ("None", 2)]
     assert {r.doc_id for r in lm.score(df).collect()} == {None, 7}
+
+
+def test_release_gives_native_memory_back(spark):
+    """What the driver's JVM freed in pieces between others returns to the system, so many runs in one driver don't pile up."""
+    jvm = spark.sparkContext._jvm
+    status = Path(f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/smaps_rollup")
+
+    def held():
+        return int(re.search(r"\nAnonymous:\s+(\d+)", status.read_text())[1]) / 1024
+
+    shared.release(spark)
+    memory = jvm.org.apache.spark.unsafe.Platform
+    blocks = [memory.allocateMemory(100_000) for _ in range(2000)]
+    for block in blocks:
+        memory.setMemory(block, 1, 100_000)
+    kept = blocks[::50]
+    for block in set(blocks) - set(kept):
+        memory.freeMemory(block)
+    before = held()
+    shared.release(spark)
+    after = held()
+    for block in kept:
+        memory.freeMemory(block)
+    assert before - after > 120
