@@ -171,6 +171,7 @@ def normalize(text: Column, mode: str = "local", title: Column | None = None, di
 
 def canonical(df: DataFrame, text: str, out: str, mode: str = "local", title: Column | None = None, dialect: P.Dialect = P.DEFAULT) -> DataFrame:
     """``df`` plus column ``out`` (or with it replaced), in one pass over ``df``. Null texts stay null."""
+    kernels.small_batches(df.sparkSession)
     rows = df.withColumn("__text", F.col(text)) if title is None else df.withColumns({"__text": F.col(text), "__title": title})
     for step in _steps(mode, None if title is None else F.col("__title"), dialect, _where):
         rows = rows.withColumn("__text", step(F.col("__text")))

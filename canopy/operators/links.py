@@ -126,5 +126,6 @@ def links_to_update(bodies: DataFrame, expected: DataFrame, dialect: P.Dialect =
 
 def rich_block_catalogue(bodies: DataFrame, text: Column) -> DataFrame:
     """page_id, seq, type, anchor, summary: rich blocks and image lines in order, each with the heading before it."""
+    kernels.small_batches(bodies.sparkSession)
     rows = bodies.select("page_id", F.posexplode(kernels.rich_catalogue(text)).alias("seq", "b"))
     return rows.select("page_id", "seq", "b.type", "b.anchor", "b.summary")
